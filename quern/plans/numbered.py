@@ -108,7 +108,7 @@ _FIRSTS = f"""
       min(CASE WHEN regexp_full_match(trim(requestBeginTime, ' ' || chr(9)), '[0-9]{{13}}') THEN trim(requestBeginTime, ' ' || chr(9))::BIGINT // 3600000 END) AS h
     FROM impressions WHERE {_ID.format('impressionId')} IS NOT NULL GROUP BY 1),
   clk AS (SELECT {_ID.format('impressionId')} AS id, min(dt) AS dt FROM clicks WHERE {_ID.format('impressionId')} IS NOT NULL GROUP BY 1),
-  ev AS (SELECT 'impressions' AS src, id, h, epoch(strptime(dt, '%Y-%m-%d-%H-%M'))::BIGINT // 60 AS at FROM imp WHERE h IS NOT NULL
+  ev AS (SELECT 'impressions' AS src, id, h, epoch(strptime(dt, '%Y-%m-%d-%H-%M'))::BIGINT // 60 AS arr FROM imp WHERE h IS NOT NULL
     UNION ALL SELECT 'clicks', id, h, epoch(strptime(clk.dt, '%Y-%m-%d-%H-%M'))::BIGINT // 60 FROM imp JOIN clk USING (id) WHERE h IS NOT NULL)"""
 _HOUR = "strftime(make_timestamp(h * 3600000000), '%Y-%m-%d-%H')"
 _VISITS = """
@@ -131,10 +131,10 @@ ORACLE = {
     "p3_found": f"""WITH {_FIRSTS},
       jn AS (SELECT DISTINCT 'joined_impressions' AS src, {_ID.format('impressionId')} AS id, epoch(strptime(day || '-' || hour, '%Y-%m-%d-%H'))::BIGINT // 3600 AS h
         FROM joined_impressions WHERE clicked IS NOT TRUE)
-      SELECT src, id AS impression_id, {_HOUR} AS evhour FROM ev WHERE at >= h * 60 + 80 AND at < h * 60 + 1500
-      UNION ALL SELECT src, id, {_HOUR} FROM (SELECT jn.*, epoch(strptime(clk.dt, '%Y-%m-%d-%H-%M'))::BIGINT // 60 AS at FROM jn JOIN clk USING (id)) WHERE at < h * 60 + 1500""",
+      SELECT src, id AS impression_id, {_HOUR} AS evhour FROM ev WHERE arr >= h * 60 + 80 AND arr < h * 60 + 1500
+      UNION ALL SELECT src, id, {_HOUR} FROM (SELECT jn.*, epoch(strptime(clk.dt, '%Y-%m-%d-%H-%M'))::BIGINT // 60 AS arr FROM jn JOIN clk USING (id)) WHERE arr < h * 60 + 1500""",
     "p3_hourly_figures": f"""WITH {_FIRSTS} SELECT {_HOUR} AS evhour, {', '.join(
-        f"(count(*) FILTER (src = '{s}' AND {w}))::BIGINT AS {s}_{k}" for s in ('impressions', 'clicks') for k, w in (('provisional', 'at < h * 60 + 80'), ('final', 'at < h * 60 + 1500'), ('dropped', 'at >= h * 60 + 1500')))}
+        f"(count(*) FILTER (src = '{s}' AND {w}))::BIGINT AS {s}_{k}" for s in ('impressions', 'clicks') for k, w in (('provisional', 'arr < h * 60 + 80'), ('final', 'arr < h * 60 + 1500'), ('dropped', 'arr >= h * 60 + 1500')))}
       FROM ev GROUP BY h""",
     "p5_found": f'SELECT "userCookie", start_ms, end_ms FROM ({_VISITS})',
     "p5_visits": _VISITS,
