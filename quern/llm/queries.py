@@ -3,14 +3,119 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mojibake
+from ..functions.ids import present, trimmed
+from ..scratch import Scratch
+from . import digests, distinct, heavy, mixing, mojibake, packing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "local_metrics").select("hostname", "dt", F.col("requestTime").alias("value")).where("hostname is not null and dt is not null")
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per hostname and day, each quantile with its certified rank error."""
+    return digests.certified_percentiles(_times(spark, d), ["hostname", "dt"])
+
+
+def p4_host_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per hostname over all days, from the merged digests of the days."""
+    values = _times(spark, d)
+    daily = Scratch(spark).write(digests.build_digests(values, ["hostname", "dt"]), "daily")
+    merged = digests.merge_digests(daily, ["hostname"])
+    return digests.certified(values, digests.estimates(merged, ["hostname"]), ["hostname"])
+
+
+def p4_within_stated_error(spark: SparkSession, d: str) -> DataFrame:
+    """Per hostname and day: rows and whether every quantile is within the stated rank error, a row at least being one rank."""
+    found = p4_percentiles(spark, d)
+    ok = F.col("rank_error") <= F.greatest(F.lit(digests.STATED_RANK_ERROR), 1 / F.col("n"))
+    return found.groupBy("hostname", "dt").agg(F.max("n").alias("n"), F.every(ok).alias("within"))
+
+
+def _memberships(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda c: present(trimmed(F.col(c)))
+    ad, referrer = ("adId", name("adId")), ("referrer", name("referrer"))
+    counts = {f"{c}/{per}": (name(c), keys) for c in ("userCookie", "ip") for per, keys in (("day", []), ("ad", [ad]), ("ad_referrer", [ad, referrer]))}
+    return distinct.memberships(table(spark, d, "impressions"), counts | {"adId/day": (name("adId"), [])}, F.substring("dt", 1, 10))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    what = F.split("what", "/")
+    return df.withColumns({"field": what[0], "per": what[1]}).withColumnsRenamed({"k1": "adId", "k2": "referrer"}).drop("what")
+
+
+def p6_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct userCookie and ip per day, ad, and ad and referrer, and adId per day; exact (error 0)."""
+    patterns = Scratch(spark).write(distinct.pattern_totals(_memberships(spark, d)), "patterns")
+    daily = distinct.distinct_by_day(patterns.where("k1 is null"))
+    whole = distinct.distinct_over(patterns.where("k1 is not null")).withColumn("day", F.lit(None).cast("string"))
+    return _named(daily.unionByName(whole)).select("field", "per", "day", "adId", "referrer", "n_distinct", F.lit(0.0).alias("error"))
+
+
+def p6_two_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts over two unions of days, 2009-03-02 to 08 and 2009-03-09 to 15, from pattern totals."""
+    patterns = Scratch(spark).write(distinct.pattern_totals(_memberships(spark, d)), "patterns")
+    weeks = {"2009-03-02": [f"2009-03-{x:02}" for x in range(2, 9)], "2009-03-09": [f"2009-03-{x:02}" for x in range(9, 16)]}
+    out = [_named(distinct.distinct_over(patterns, days)).withColumn("week", F.lit(w)) for w, days in weeks.items()]
+    return out[0].unionByName(out[1]).select("week", "field", "per", "adId", "referrer", "n_distinct")
+
+
+def p6_ad_series(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct cookies of each series of ads (first four characters of adId), through patterns over all ads."""
+    rows = table(spark, d, "impressions").select(present(trimmed(F.col("userCookie"))).alias("cookie"), present(trimmed(F.col("adId"))).alias("ad"))
+    totals, members = distinct.group_patterns(rows, F.col("cookie"), F.col("ad"))
+    combos = rows.where("ad is not null").select(F.substring("ad", 1, 4).alias("combo"), F.col("ad").alias("grp")).distinct()
+    return distinct.distinct_in_groups(totals, members, combos).select(F.col("combo").alias("series"), "n_distinct")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_frequent(spark, d).select("field", "item")
+
+
+def p7_frequent(spark: SparkSession, d: str) -> DataFrame:
+    return heavy.frequent_items(table(spark, d, "logs_base"), ["referrer", "remoteAddr"])
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return Scratch(spark).write(tokens.token_counts(table(spark, d, "documents")), "tokens")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = sorted(r.capacity for r in table(spark, d, "container_sizes").select("capacity").distinct().collect())  # a fixed table of a few rows
+    return packing.pack(_counts(spark, d), capacities)
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    named = documents.select(mixing.source_key(F.col("source")).alias("source"), "doc_id", "text")
+    return Scratch(spark).write(named.select("doc_id", "source").join(tokens.token_counts(documents), "doc_id").select("doc_id", "source", "n_tokens"), "sized")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    sized = _sized(spark, d)
+    return mixing.draw(sized, mixing.plan_mixture(sized, table(spark, d, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized = _sized(spark, d)
+    plan = mixing.plan_mixture(sized, table(spark, d, "mix_targets"))
+    return mixing.shares_reached(mixing.draw(sized, plan), plan)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -19,5 +124,42 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_restored)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p4_percentiles, p4_host_percentiles, p4_within_stated_error, p6_distinct_counts, p6_two_weeks, p6_ad_series,
+        p7_found, p7_frequent, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored,
+    )
+}
+
+_NAME = "nullif(nullif(trim({0}, ' ' || chr(9)), ''), '-')"
+_ROWS = f"""(SELECT {_NAME.format('"userCookie"')} AS "userCookie", {_NAME.format('ip')} AS ip, {_NAME.format('"adId"')} AS "adId", {_NAME.format('referrer')} AS referrer, dt[:10] AS day
+  FROM impressions WHERE try_strptime(dt[:10], '%Y-%m-%d') IS NOT NULL)"""
+
+
+def _distinct_sql(where: str, daily: bool) -> str:
+    out = []
+    for field, per in (("userCookie", "day"), ("ip", "day"), ("adId", "day"), ("userCookie", "ad"), ("ip", "ad"), ("userCookie", "ad_referrer"), ("ip", "ad_referrer")):
+        ad = '"adId"' if per != "day" else "NULL::VARCHAR"
+        referrer = "referrer" if per == "ad_referrer" else "NULL::VARCHAR"
+        day = ", day" if daily and per == "day" else ", NULL::VARCHAR AS day" if daily else ""
+        group = [x for x in (day[2:] if day == ", day" else "", ad if per != "day" else "", referrer if per == "ad_referrer" else "") if x]
+        need = [f'"{field}" IS NOT NULL', *(f"{x} IS NOT NULL" for x in group)]
+        out.append(f"""SELECT '{field}' AS field, '{per}' AS per, {ad} AS "adId", {referrer} AS referrer, count(DISTINCT "{field}") AS n_distinct{day} FROM {_ROWS} WHERE {where} AND {' AND '.join(need)} {'GROUP BY ' + ', '.join(group) if group else 'HAVING count(*) > 0'}""")
+    return " UNION ALL ".join(out)
+
+
+_FREQUENT = " UNION ALL ".join(
+    f"""SELECT '{c}' AS field, "{c}" AS item, count(*) AS n, count(*) / (SELECT count(*) FROM logs_base) AS share FROM logs_base
+  WHERE "{c}" IS NOT NULL AND "{c}" NOT IN ('', '-') GROUP BY 2 HAVING count(*) * 200 >= (SELECT count(*) FROM logs_base)""" for c in ("referrer", "remoteAddr")
+)
+ORACLE: dict[str, str] = {
+    "p4_within_stated_error": """SELECT hostname, dt, count(*) AS n, true AS "within" FROM local_metrics
+      WHERE hostname IS NOT NULL AND dt IS NOT NULL AND isfinite("requestTime") GROUP BY 1, 2""",
+    "p6_distinct_counts": f"SELECT *, 0.0::DOUBLE AS error FROM ({_distinct_sql('true', True)})",
+    "p6_two_weeks": " UNION ALL ".join(f"SELECT '{w}' AS week, * FROM ({_distinct_sql(f'''day BETWEEN '{w}' AND '{e}' ''', False)})" for w, e in (("2009-03-02", "2009-03-08"), ("2009-03-09", "2009-03-15"))),
+    "p6_ad_series": f"""SELECT "adId"[:4] AS series, count(DISTINCT "userCookie") AS n_distinct FROM (SELECT {_NAME.format('"userCookie"')} AS "userCookie", {_NAME.format('"adId"')} AS "adId" FROM impressions)
+      WHERE "adId" IS NOT NULL AND "userCookie" IS NOT NULL GROUP BY 1""",
+    "p7_found": f"SELECT field, item FROM ({_FREQUENT})",
+    "p7_frequent": _FREQUENT,
+}
