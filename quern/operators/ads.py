@@ -53,6 +53,7 @@ def response_stats(times: DataFrame, *, finite: bool = True) -> DataFrame:
     """(hostname, tmax, tmin, tavg) per host and, as hostname 'ALL', over all rows, in one pass.
 
     Null times don't count; NaN and infinite ones only if ``finite`` is off. A null hostname is a group.
+    Without rows there is no group, not even 'ALL'.
     """
     rows = times.where(F.abs("requestTime") < float("inf")) if finite else times
     stats = rows.groupingSets([[], [F.col("hostname")]], "hostname").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import logs as L
-from ..schemas import ACTIVITY_DOCUMENT, ALIGNMENT, RATING, WIKI_STAT
+from ..schemas import ALIGNMENT, RATING, WIKI_STAT
 
 # Fixed value: how log files carry their hour in their name.
 DATED_NAME = r".*\.(\d+-\d+-\d+-\d+)\..*"
@@ -31,9 +31,8 @@ def read_json_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     """(json) of files that hold one JSON document each, those that are no JSON left out."""
-    schema = T.StructType([*ACTIVITY_DOCUMENT.fields, T.StructField("_corrupt", T.StringType())])
-    docs = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, mode="PERMISSIVE")
-    return docs.where("_corrupt is null").select(F.to_json(F.struct("id", "hash", "interactions")).alias("json"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
+    return docs.where(F.get_json_object("json", "$").isNotNull())
 
 
 def read_cdn_logs(spark: SparkSession, path: str, start: str = "1970-01-01-00", end: str | None = None) -> DataFrame:
