@@ -2,21 +2,20 @@
 
 Each identifier is reduced to the set of days that contain it, per key (nothing, ad, ad and referrer);
 identical patterns are counted, and the count of any combination of days is the sum over the patterns
-that touch it. A pattern is a list of bit masks of 32 days each, put together by bitwise-or, which
-combines before the shuffle: an identifier with a third of all rows is one row per task.
-Pattern tables are small, and tables of separate days or partitions merge, before the last
-aggregation, by or-ing the masks per identifier.
+that touch it. A pattern is a bit mask for every 62 days, put together by bitwise-or, which combines
+before the shuffle: an identifier with a third of all rows is one row per task.
+Membership tables of separate days or partitions merge by or-ing the masks per identifier.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = 32
+WORD = 62
+KEYS = ("what", "k1", "k2")
 
 
 def day_number(day: Column) -> Column:
@@ -24,65 +23,79 @@ def day_number(day: Column) -> Column:
     return F.when(day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.unix_date(F.try_to_date(day, "yyyy-MM-dd")))
 
 
-def memberships(rows: DataFrame, counts: dict[str, tuple[Column, list[tuple[str, Column]]]], day: Column) -> DataFrame:
-    """The mergeable partial result: (what, k1, k2, id, word, mask), the days of each identifier under each key.
+def mask_columns(df: DataFrame) -> list[str]:
+    return sorted(c for c in df.columns if c.startswith("m_"))
 
-    ``counts``: name -> (identifier, keys); up to two keys. Rows without a day, without identifier or
-    without one of the keys don't belong to that count.
+
+def memberships(rows: DataFrame, counts: list[tuple[Column, list[Column]]], day: Column) -> DataFrame:
+    """The mergeable partial result: (what, k1, k2, id, m_<word>...), the days of each identifier under each key.
+
+    ``counts``: (identifier, up to two keys) for each number ``what``. Rows without a day, without identifier
+    or without one of the keys don't belong to that count. There is one mask column for every 62 days in
+    which the table has a row; which these are is found first, and is all the driver gets.
     """
     null = F.lit(None).cast("string")
     each = []
-    for what, (ident, keys) in counts.items():
-        k = [c for _, c in keys] + [null, null]
+    for what, (ident, keys) in enumerate(counts):
+        k = [*keys, null, null]
         ok = ident.isNotNull()
-        for _, c in keys:
+        for c in keys:
             ok = ok & c.isNotNull()
         each.append(F.when(ok, F.struct(F.lit(what).alias("what"), k[0].alias("k1"), k[1].alias("k2"), ident.alias("id"))))
     number = day_number(day)
-    cut = rows.where(number.isNotNull()).select(F.floor(number / WORD).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int")).alias("bit"), F.explode(F.array(*each)).alias("x"))
-    return cut.where("x is not null").groupBy("x.what", "x.k1", "x.k2", "x.id", "word").agg(F.bit_or("bit").alias("mask"))
+    words = sorted(r.w for r in rows.select(F.floor(number / WORD).cast("int").alias("w")).where("w is not null").distinct().collect()) or [0]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int"))
+    cut = rows.select(number.alias("number"), bit.alias("bit"), F.explode(F.array(*each)).alias("x")).where("x is not null and number is not null")
+    masks = [F.bit_or(F.when(F.floor(F.col("number") / WORD) == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"m_{w}") for w in words]
+    return cut.groupBy("x.what", "x.k1", "x.k2", "x.id").agg(*masks)
 
 
 def merge(*parts: DataFrame) -> DataFrame:
     """Membership tables of separate days or partitions as one."""
     whole = parts[0]
     for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("what", "k1", "k2", "id", "word").agg(F.bit_or("mask").alias("mask"))
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    zero = F.lit(0).cast("bigint")
+    return whole.groupBy(*KEYS, "id").agg(*(F.coalesce(F.bit_or(m), zero).alias(m) for m in mask_columns(whole)))
 
 
 def pattern_totals(members: DataFrame) -> DataFrame:
-    """(what, k1, k2, pattern, n_ids): identifiers with exactly that set of days; ``pattern`` is an array of (word, mask).
-
-    The pattern of an identifier has one entry per 32 days, so nothing unbounded is collected.
-    """
-    pattern = F.array_sort(F.collect_list(F.struct("word", "mask")))
-    return members.groupBy("what", "k1", "k2", "id").agg(pattern.alias("pattern")).groupBy("what", "k1", "k2", "pattern").agg(F.count(F.lit(1)).alias("n_ids"))
+    """(what, k1, k2, m_<word>..., n_ids): identifiers with exactly that set of days."""
+    return members.groupBy(*KEYS, *mask_columns(members)).agg(F.count(F.lit(1)).alias("n_ids"))
 
 
 def distinct_over(patterns: DataFrame, days: list[str] | None = None) -> DataFrame:
     """(what, k1, k2, n_distinct) over any set of days (all if None), exactly."""
     chosen = patterns
     if days is not None:
-        numbers = [(dt.date.fromisoformat(x) - dt.date(1970, 1, 1)).days for x in days]
-        masks: dict[int, int] = {}
-        for n in numbers:
-            masks[n // WORD] = masks.get(n // WORD, 0) | 1 << n % WORD
+        touch = F.lit(False)
+        wanted: dict[str, int] = {}
+        for x in days:
+            word, bit = divmod((dt.date.fromisoformat(x) - dt.date(1970, 1, 1)).days, WORD)
+            wanted[f"m_{word}"] = wanted.get(f"m_{word}", 0) | 1 << bit
+        for m in mask_columns(patterns):
+            touch = touch | (F.col(m).bitwiseAND(F.lit(wanted.get(m, 0)).cast("bigint")) != 0)
+        chosen = patterns.where(touch)
+    return chosen.groupBy(*KEYS).agg(F.sum("n_ids").alias("n_distinct"))
 
-        def touches(word: int, mask: int) -> Column:
-            return F.exists("pattern", lambda p: (p["word"] == word) & (p["mask"].bitwiseAND(F.lit(mask)) != 0))
 
-        chosen = patterns.where(reduce(lambda a, b: a | b, [touches(w, m) for w, m in masks.items()], F.lit(False)))
-    return chosen.groupBy("what", "k1", "k2").agg(F.sum("n_ids").alias("n_distinct"))
+def distinct_by_day(patterns: DataFrame, daily: Column | None = None) -> DataFrame:
+    """(what, k1, k2, day, n_distinct): each day's count from the pattern totals.
 
+    Where ``daily`` is given, only the counts it holds for are split by day; the others are over all days, day null.
+    """
 
-def distinct_by_day(patterns: DataFrame) -> DataFrame:
-    """(what, k1, k2, day, n_distinct): each day's count from the pattern totals."""
-    days = F.flatten(F.transform("pattern", lambda p: F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("bit_get", p["mask"], b) == 1), lambda b: p["word"] * WORD + b
-    )))
-    each = patterns.select("what", "k1", "k2", "n_ids", F.explode(days).alias("number"))
-    return each.groupBy("what", "k1", "k2", "number").agg(F.sum("n_ids").alias("n_distinct")).select("what", "k1", "k2", F.date_format(F.date_from_unix_date("number"), "yyyy-MM-dd").alias("day"), "n_distinct")
+    def days_of(m: str) -> Column:
+        word = int(m[2:])
+        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("bit_get", F.col(m), b) == 1)
+        return F.transform(bits, lambda b: b + word * WORD)
+
+    days = F.concat(*map(days_of, mask_columns(patterns)))
+    if daily is not None:
+        days = F.when(daily, days).otherwise(F.array(F.lit(None).cast("int")))
+    each = patterns.select(*KEYS, "n_ids", F.explode(days).alias("number"))
+    day = F.date_format(F.date_from_unix_date("number"), "yyyy-MM-dd").alias("day")
+    return each.groupBy(*KEYS, "number").agg(F.sum("n_ids").alias("n_distinct")).select(*KEYS, day, "n_distinct")
 
 
 def group_patterns(pairs: DataFrame, ident: Column, group: Column) -> tuple[DataFrame, DataFrame]:

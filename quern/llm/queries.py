@@ -38,24 +38,25 @@ def p4_within_stated_error(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("hostname", "dt").agg(F.max("n").alias("n"), F.every(ok).alias("within"))
 
 
+_COUNTED = [(c, per) for c in ("userCookie", "ip") for per in ("day", "ad", "ad_referrer")] + [("adId", "day")]
+
+
 def _memberships(spark: SparkSession, d: str) -> DataFrame:
     name = lambda c: present(trimmed(F.col(c)))
-    ad, referrer = ("adId", name("adId")), ("referrer", name("referrer"))
-    counts = {f"{c}/{per}": (name(c), keys) for c in ("userCookie", "ip") for per, keys in (("day", []), ("ad", [ad]), ("ad_referrer", [ad, referrer]))}
-    return distinct.memberships(table(spark, d, "impressions"), counts | {"adId/day": (name("adId"), [])}, F.substring("dt", 1, 10))
+    rows = table(spark, d, "impressions").select(F.substring("dt", 1, 10).alias("day"), *(name(c).alias(c) for c in ("userCookie", "ip", "adId", "referrer")))
+    keys = {"day": [], "ad": [F.col("adId")], "ad_referrer": [F.col("adId"), F.col("referrer")]}
+    return distinct.memberships(rows, [(F.col(c), keys[per]) for c, per in _COUNTED], F.col("day"))
 
 
 def _named(df: DataFrame) -> DataFrame:
-    what = F.split("what", "/")
-    return df.withColumns({"field": what[0], "per": what[1]}).withColumnsRenamed({"k1": "adId", "k2": "referrer"}).drop("what")
+    names = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(per).alias("per")) for c, per in _COUNTED))[F.col("what")]
+    return df.withColumns({"field": names["field"], "per": names["per"]}).withColumnsRenamed({"k1": "adId", "k2": "referrer"}).drop("what")
 
 
 def p6_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct userCookie and ip per day, ad, and ad and referrer, and adId per day; exact (error 0)."""
-    patterns = Scratch(spark).write(distinct.pattern_totals(_memberships(spark, d)), "patterns")
-    daily = distinct.distinct_by_day(patterns.where("k1 is null"))
-    whole = distinct.distinct_over(patterns.where("k1 is not null")).withColumn("day", F.lit(None).cast("string"))
-    return _named(daily.unionByName(whole)).select("field", "per", "day", "adId", "referrer", "n_distinct", F.lit(0.0).alias("error"))
+    counts = distinct.distinct_by_day(distinct.pattern_totals(_memberships(spark, d)), F.col("k1").isNull())
+    return _named(counts).select("field", "per", "day", "adId", "referrer", "n_distinct", F.lit(0.0).alias("error"))
 
 
 def p6_two_weeks(spark: SparkSession, d: str) -> DataFrame:
