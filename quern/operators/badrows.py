@@ -2,7 +2,7 @@
 
 A line is assembled quote-aware and read by Python's strict csv reader inside the partition's
 task; what the reader raises is the reason, and only then typed constructors see the fields.
-A last exact check of the raw text catches what the reader forgives (a quoted status, say).
+A last exact check of the raw text catches what the reader forgives (a quoted status, a doubled quote).
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             raise BadField("bad_time")
         if rest[:1] != " ":
             raise BadField("spacing")
-        fields = next(csv.reader([rest[1:]], delimiter=" ", quotechar='"', escapechar="\\", doublequote=False, strict=True))
+        fields = next(csv.reader([rest[1:]], delimiter=" ", quotechar='"', escapechar="\\", strict=True))
         if len(fields) != 5:
             raise BadField("field_count")
         when = stamp(time[1:], clock)
