@@ -23,6 +23,12 @@ def day_number(day: Column) -> Column:
     return F.when(day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.unix_date(F.try_to_date(day, "yyyy-MM-dd")))
 
 
+def packed(ident: Column) -> Column:
+    """An identifier as bytes, the same only for the same text; lower-case hex digits take half their length."""
+    is_hex = ident.rlike(r"\A(?:[0-9a-f]{2})+\z")
+    return F.when(is_hex, F.concat(F.lit(bytearray(b"\0")), F.unhex(ident))).otherwise(F.concat(F.lit(bytearray(b"\1")), F.encode(ident, "UTF-8")))
+
+
 def mask_columns(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if c.startswith("m_"))
 
@@ -41,7 +47,7 @@ def memberships(rows: DataFrame, counts: list[tuple[Column, list[Column]]], day:
         ok = ident.isNotNull()
         for c in keys:
             ok = ok & c.isNotNull()
-        each.append(F.when(ok, F.struct(F.lit(what).alias("what"), k[0].alias("k1"), k[1].alias("k2"), ident.alias("id"))))
+        each.append(F.when(ok, F.struct(F.lit(what).alias("what"), k[0].alias("k1"), k[1].alias("k2"), packed(ident).alias("id"))))
     number = day_number(day)
     words = sorted(r.w for r in rows.select(F.floor(number / WORD).cast("int").alias("w")).where("w is not null").distinct().collect()) or [0]
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int"))
