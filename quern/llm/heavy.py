@@ -6,7 +6,7 @@ to groups, and per group and position the symbols are counted: a value with at l
 makes its symbol heavy at every position. A group in which some position has no heavy symbol holds no
 frequent value; where at least ten positions have exactly one, they determine the only possible
 codeword, the others being erasures; the rest (two frequent values met) goes into another round with
-other groups. The candidates, at most one per group, are then counted exactly by value.
+other groups, twice as many. The candidates, at most one per group, are then counted exactly by value.
 
 Counters have a fixed size per task (groups x 14 x 16), and their sums stream through the reducers,
 so memory depends neither on the rows nor on the number of distinct values.
@@ -26,6 +26,7 @@ DATA, CHECK = 10, 4
 POSITIONS, SYMBOLS = DATA + CHECK, 16
 PRIMITIVE = 0b10011  # x^4 + x + 1, a primitive polynomial of GF(16)
 MAX_ROUNDS = 16
+MAX_DOUBLINGS = 5
 
 
 def _field() -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +146,12 @@ def frequent_items(df: DataFrame, columns: list[str], one_in: int = 200, skip: t
     pick = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"`{c}`").cast("string").alias("item")) for i, c in enumerate(columns)))).alias("x")
     items = df.select(pick).select("x.field", "x.item").where(F.col("item").isNotNull() & ~F.col("item").isin(*skip))
 
-    def coded(seed: int) -> tuple[Column, Column]:
-        """Group and fingerprint; each round hashes to other groups, the fingerprint stays."""
-        return F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(groups)).cast("int"), F.xxhash64("item").bitwiseAND(F.lit((1 << (4 * DATA)) - 1))
+    def n_groups(k: int) -> int:
+        return groups << min(k, MAX_DOUBLINGS)
+
+    def coded(k: int) -> tuple[Column, Column]:
+        """Group and fingerprint in round k; each round hashes to other groups, the fingerprint stays."""
+        return F.pmod(F.xxhash64(F.lit(k), "item"), F.lit(n_groups(k))).cast("int"), F.xxhash64("item").bitwiseAND(F.lit((1 << (4 * DATA)) - 1))
 
     found: list[tuple[int, int]] = []
     open_groups: list[tuple[int, int, int]] = []  # (round, field, group) not decided yet, at most ``groups`` a column
@@ -157,7 +161,7 @@ def frequent_items(df: DataFrame, columns: list[str], one_in: int = 200, skip: t
             last = spark.createDataFrame([(f, g) for r, f, g in open_groups if r == k - 1], "field int, was int")
             rows = items.withColumn("was", coded(k - 1)[0]).join(F.broadcast(last), ["field", "was"], "left_semi")
         group, print_ = coded(k)
-        blocks = rows.select("field", group.alias("grp"), print_.alias("print")).mapInArrow(_track(len(columns), groups), "field int, grp int, block binary")
+        blocks = rows.select("field", group.alias("grp"), print_.alias("print")).mapInArrow(_track(len(columns), n_groups(k)), "field int, grp int, block binary")
         decided = blocks.repartition("field", "grp").mapInArrow(_decode(least), "field int, grp int, print bigint").collect()
         found += [(r.field, r.print) for r in decided if r.print is not None]
         open_groups = [(k, r.field, r.grp) for r in decided if r.print is None]
