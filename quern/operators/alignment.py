@@ -37,16 +37,24 @@ def _salt(seed: Column, ident: Column, redundancy: int) -> Column:
     return F.when(dna.is_homopolymer(seed), F.pmod(ident, F.lit(redundancy))).otherwise(0)
 
 
-def reference_seeds(refs: DataFrame, seed_len: int, flank_len: int, redundancy: int) -> DataFrame:
-    """Every position's seed with up to ``flank_len`` bases on each side; seeds with N are left out. Seeds of one
-    repeated base, which are frequent, are repeated ``redundancy`` times under different salts."""
+def reference_seeds(refs: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
+    """(ref_id, at, seed, salt): the seed at every position; seeds with N are left out. Seeds of one repeated
+    base, which are frequent, are repeated ``redundancy`` times under different salts."""
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - seed_len)).alias("at")
-    rows = refs.where(F.length("seq") >= seed_len).select(F.col("ref_id").cast("bigint"), "seq", at).withColumn("seed", F.substr("seq", F.col("at") + 1, F.lit(seed_len))).where(~F.contains("seed", F.lit("N")))
+    rows = refs.where(F.length("seq") >= seed_len).select("ref_id", "seq", at).select("ref_id", "at", F.substr("seq", F.col("at") + 1, F.lit(seed_len)).alias("seed")).where(~F.contains("seed", F.lit("N")))
+    if redundancy == 1:
+        return rows.withColumn("salt", F.lit(0))
+    salts = F.when(dna.is_homopolymer(F.col("seed")), F.sequence(F.lit(0), F.lit(redundancy - 1))).otherwise(F.array(F.lit(0)))
+    return rows.select("ref_id", "at", "seed", F.explode(salts).alias("salt"))
+
+
+def with_flanks(pairs: DataFrame, refs: DataFrame, seed_len: int, flank_len: int) -> DataFrame:
+    """Seed matches with up to ``flank_len`` reference bases on each side. References are joined back by id, so
+    that the shuffle on seeds, by far the largest, moves no flanks."""
     left_len = F.least(F.col("at"), F.lit(flank_len))
     left = F.substr("seq", F.col("at") - left_len + 1, left_len)
     right = F.substr("seq", F.col("at") + seed_len + 1, F.lit(flank_len))
-    salts = F.when(dna.is_homopolymer(F.col("seed")), F.sequence(F.lit(0), F.lit(redundancy - 1))).otherwise(F.array(F.lit(0)))
-    return rows.select("ref_id", "at", "seed", left.alias("ref_left"), right.alias("ref_right"), F.explode(salts).alias("salt"))
+    return pairs.join(refs, "ref_id").withColumns({"ref_left": left, "ref_right": right}).drop("seq")
 
 
 def read_seeds(reads: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
@@ -93,14 +101,14 @@ def align(refs: DataFrame, reads: DataFrame, *, k: int, read_len: int | None = N
     extra bases. By the pigeonhole principle a read with at most k differences has a seed of min_len // (k + 1)
     bases without any; seeds are joined, flanks compared, and an alignment is kept only from its leftmost exact
     seed, so mismatch mode reports each once without a shuffle. Positions are 0-based, the end excluded; the
-    whole read must fit. N equals N in flanks and never seeds.
+    whole read must fit. N equals N in flanks and never seeds. ``ref_id`` must be unique.
     """
     min_len, max_len = min_len or read_len, max_len or read_len
     seed_len = min_len // (k + 1)
     flank_len = max_len - seed_len + k
-    ref = reference_seeds(refs.select("ref_id", dna.normal_bases(F.col("seq")).alias("seq")), seed_len, flank_len, redundancy)
+    refs = refs.select(F.col("ref_id").cast("bigint"), dna.normal_bases(F.col("seq")).alias("seq"))
     read = read_seeds(usable_reads(reads, min_len, max_len, k), seed_len, redundancy)
-    pairs = ref.join(read, ["seed", "salt"])
+    pairs = with_flanks(reference_seeds(refs, seed_len, redundancy).join(read, ["seed", "salt"]).drop("seed", "salt"), refs, seed_len, flank_len)
     if mode == "mismatch":
         n_left, n_right = F.length("read_left"), F.length("read_right")
         near = pairs.where((F.length("ref_left") >= n_left) & (F.length("ref_right") >= n_right)).withColumn("ref_left", F.right("ref_left", n_left)).withColumn("ref_right", F.left("ref_right", n_right))

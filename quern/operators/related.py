@@ -41,17 +41,22 @@ def sampled(rows: DataFrame, cutoff: float, seed: int) -> DataFrame:
 
 def pair_sums(rows: DataFrame, duplicates: str = "sum") -> DataFrame:
     """(item_x, item_y, n, sums) over all users who rated both, x before y as text."""
-    rows = rows.withColumn("item", F.col("item").cast("string"))
     if duplicates == "pairwise":
         rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("user", "item").orderBy("rating")))
-        before = lambda a, b: (a["item"] < b["item"]) | ((a["item"] == b["item"]) & (a["copy"] < b["copy"]))
-    else:
-        before = lambda a, b: a["item"] < b["item"]
     a, b = rows.alias("a"), rows.alias("b")
-    cond = (F.col("a.user") == F.col("b.user")) & before({c: F.col(f"a.{c}") for c in rows.columns}, {c: F.col(f"b.{c}") for c in rows.columns})
+    before = F.col("a.item") < F.col("b.item")
+    if duplicates == "pairwise":
+        before = before | ((F.col("a.item") == F.col("b.item")) & (F.col("a.copy") < F.col("b.copy")))
     x, y = F.col("a.rating").cast("double"), F.col("b.rating").cast("double")
-    return a.join(b, cond).groupBy(F.col("a.item").alias("item_x"), F.col("b.item").alias("item_y")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x * x).alias("sxx"), F.sum(x).alias("sx"), F.sum(x * y).alias("sxy"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+    # Items keep their own type in the large join; only the pairs left are put in the order of their text.
+    sums = a.join(b, (F.col("a.user") == F.col("b.user")) & before).groupBy(F.col("a.item").alias("p"), F.col("b.item").alias("q")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x * x).alias("spp"), F.sum(x).alias("sp"), F.sum(x * y).alias("sxy"), F.sum(y).alias("sq"), F.sum(y * y).alias("sqq"))
+    ordered = F.col("p").cast("string") <= F.col("q").cast("string")
+    pick = lambda one, other: F.when(ordered, F.col(one)).otherwise(F.col(other))
+    return sums.select(
+        pick("p", "q").cast("string").alias("item_x"), pick("q", "p").cast("string").alias("item_y"), "n",
+        pick("spp", "sqq").alias("sxx"), pick("sp", "sq").alias("sx"), "sxy", pick("sq", "sp").alias("sy"), pick("sqq", "spp").alias("syy"),
+    )
 
 
 def item_similarity(ratings: DataFrame, *, scale: str = "log", cutoff: float, n_users: int, seed: int = 42, duplicates: str = "sum") -> DataFrame:
