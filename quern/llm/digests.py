@@ -26,6 +26,7 @@ from ..scratch import Scratch
 COMPRESSION = 500
 SALTS = 16
 HELD_VALUES = 2_000_000
+BROADCAST_GROUPS = 100_000
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 STATED_RANK_ERROR = 0.01  # or one row, where a row is more; half a cluster's width is 0.003 at the median
 
@@ -183,18 +184,22 @@ def certified(values: DataFrame, found: DataFrame, keys: list[str], quantiles: t
     """(keys..., q, n, value, rank_low, rank_high, rank_error) from a second pass over ``values``.
 
     The share of rows below the value and up to it are its true ranks; the error is how far q lies
-    outside them. Equal values are counted together first; the estimates, a row per key, are repeated
-    over SALTS salts so that a hot key's rows are counted in as many tasks.
+    outside them. Up to BROADCAST_GROUPS estimates - counted first, some ten numbers each - go to all tasks, so
+    that rows are counted where they are. Beyond, rows and estimates are joined by a shuffle, the estimates
+    repeated over SALTS salts so that a hot key's rows are counted in as many tasks.
     """
     ok = F.abs("value") < float("inf")
-    rows = values.where(ok).groupBy(*(F.col(k).cast("string").alias(k) for k in keys), F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = spread.select(*keys, "salt", "n", *(F.col("values")[i].alias(f"v{i}") for i in range(len(quantiles))))
+    rows = values.where(ok).select(*(F.col(k).cast("string").alias(k) for k in keys), F.col("value").cast("double").alias("value"))
+    spread = found.select(*keys, "n", *(F.col("values")[i].alias(f"v{i}") for i in range(len(quantiles))))
+    if found.count() <= BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(spread), keys)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+        joined = rows.join(spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
     counts = []
     for i in range(len(quantiles)):
-        counts += [F.sum(F.when(F.col("value") < F.col(f"v{i}"), F.col("c")).otherwise(0)).alias(f"b{i}"), F.sum(F.when(F.col("value") <= F.col(f"v{i}"), F.col("c")).otherwise(0)).alias(f"u{i}"), F.first(f"v{i}").alias(f"w{i}")]
-    counted = rows.join(spread, [*keys, "salt"]).groupBy(*keys).agg(F.first("n").alias("n"), *counts)
+        counts += [F.sum(F.when(F.col("value") < F.col(f"v{i}"), 1).otherwise(0)).alias(f"b{i}"), F.sum(F.when(F.col("value") <= F.col(f"v{i}"), 1).otherwise(0)).alias(f"u{i}"), F.first(f"v{i}").alias(f"w{i}")]
+    counted = joined.groupBy(*keys).agg(F.first("n").alias("n"), *counts)
     each = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"w{i}").alias("value"), (F.col(f"b{i}") / F.col("n")).alias("rank_low"), (F.col(f"u{i}") / F.col("n")).alias("rank_high")) for i, q in enumerate(quantiles)))).alias("x")
     out = counted.select(*keys, "n", each).select(*keys, "n", "x.*")
     return out.withColumn("rank_error", F.greatest(F.lit(0.0), F.col("rank_low") - F.col("q"), F.col("q") - F.col("rank_high")))

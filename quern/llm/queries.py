@@ -101,9 +101,8 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    named = documents.select(mixing.source_key(F.col("source")).alias("source"), "doc_id", "text")
-    return Scratch(spark).write(named.select("doc_id", "source").join(tokens.token_counts(documents), "doc_id").select("doc_id", "source", "n_tokens"), "sized")
+    documents = table(spark, d, "documents").withColumn("source", mixing.source_key(F.col("source")))
+    return Scratch(spark).write(tokens.token_counts(documents, keep=("source",)).select("doc_id", "source", "n_tokens"), "sized")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:

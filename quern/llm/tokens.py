@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_VOCABULARY = os.environ.get("QUERN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pre-tokenizing pattern that belongs to byte-level BPE vocabularies of this kind.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-COUNTS = "doc_id bigint, n_tokens bigint, n_prompt bigint"
 
 
 def _count(path: str, split: str):
@@ -29,20 +29,23 @@ def _count(path: str, split: str):
             return len(encoding.encode_ordinary(text))
 
         for batch in batches:
-            ids, prompts, totals = batch.column(0), [], []
-            for text in batch.column(1).to_pylist():
+            prompts, totals = [], []
+            for text in batch.column("text").to_pylist():
                 text = text or ""
                 cut = text.find(split)
                 cut = len(text) if cut < 0 else cut + 1
                 prompts.append(size(text[:cut]) if cut else 0)
                 totals.append(prompts[-1] + (size(text[cut:]) if cut < len(text) else 0))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(totals, pa.int64()), pa.array(prompts, pa.int64())], ["doc_id", "n_tokens", "n_prompt"])
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(totals, pa.int64()), pa.array(prompts, pa.int64())], [*names, "n_tokens", "n_prompt"])
 
     return run
 
 
-def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, response_from: str = "\ndiff --git ") -> DataFrame:
-    """COUNTS of every whole text: all tokens, and those of the prompt - header and message, up to the
+def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, response_from: str = "\ndiff --git ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to keep..., n_tokens, n_prompt) of every whole text: all tokens, and those of the prompt - header and message, up to the
     first file of the diff - which bear no loss; prompt and response are encoded separately. Null and
     empty texts have 0 tokens."""
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_count(vocabulary, response_from), COUNTS)
+    rows = documents.select(F.col("doc_id").cast("bigint"), *keep, "text")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("n_tokens", T.LongType()).add("n_prompt", T.LongType())
+    return rows.mapInArrow(_count(vocabulary, response_from), schema)
