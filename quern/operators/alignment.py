@@ -15,8 +15,8 @@ EXTENDED = "struct<used_left int, used_right int, differences int>"
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """(seq_id, kmer, position from 0) of every k-mer of every sequence; shorter sequences and null have none."""
-    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda p: F.substr("seq", p, F.lit(k)))).alias("position", "kmer")
-    return seqs.where(F.length("seq") >= k).select("seq_id", each).select("seq_id", "kmer", "position")
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("position")
+    return seqs.where(F.length("seq") >= k).select("seq_id", "seq", at).select("seq_id", F.substr("seq", F.col("position") + 1, F.lit(k)).alias("kmer"), "position")
 
 
 def kmer_count(seqs: DataFrame, k: int, with_positions: bool = False) -> DataFrame:
@@ -38,23 +38,25 @@ def _salt(seed: Column, ident: Column, redundancy: int) -> Column:
 
 
 def reference_seeds(refs: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
-    """(ref_id, at, seed, salt): the seed at every position; seeds with N are left out. Seeds of one repeated
-    base, which are frequent, are repeated ``redundancy`` times under different salts."""
+    """(h, ref_id, at) of the seed at every position, h being a hash of it; seeds with N are left out. With a
+    ``redundancy`` above 1, seeds of one repeated base, which are frequent, occur that often under different salts."""
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - seed_len)).alias("at")
     rows = refs.where(F.length("seq") >= seed_len).select("ref_id", "seq", at).select("ref_id", "at", F.substr("seq", F.col("at") + 1, F.lit(seed_len)).alias("seed")).where(~F.contains("seed", F.lit("N")))
+    rows = rows.withColumn("h", F.xxhash64("seed"))
     if redundancy == 1:
-        return rows.withColumn("salt", F.lit(0))
+        return rows.select("h", "ref_id", "at")
     salts = F.when(dna.is_homopolymer(F.col("seed")), F.sequence(F.lit(0), F.lit(redundancy - 1))).otherwise(F.array(F.lit(0)))
-    return rows.select("ref_id", "at", "seed", F.explode(salts).alias("salt"))
+    return rows.select("h", "ref_id", "at", F.explode(salts).alias("salt"))
 
 
 def with_flanks(pairs: DataFrame, refs: DataFrame, seed_len: int, flank_len: int) -> DataFrame:
     """Seed matches with up to ``flank_len`` reference bases on each side. References are joined back by id, so
-    that the shuffle on seeds, by far the largest, moves no flanks."""
+    that the shuffle on seeds, by far the largest, moves neither flanks nor bases; what matched only by hash goes here."""
     left_len = F.least(F.col("at"), F.lit(flank_len))
     left = F.substr("seq", F.col("at") - left_len + 1, left_len)
     right = F.substr("seq", F.col("at") + seed_len + 1, F.lit(flank_len))
-    return pairs.join(refs, "ref_id").withColumns({"ref_left": left, "ref_right": right}).drop("seq")
+    same = pairs.join(refs, "ref_id").where(F.substr("seq", F.col("at") + 1, F.lit(seed_len)) == F.col("seed"))
+    return same.withColumns({"ref_left": left, "ref_right": right}).drop("seq", "seed")
 
 
 def read_seeds(reads: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
@@ -63,8 +65,8 @@ def read_seeds(reads: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
     rows = reads.select(F.col("read_id").cast("bigint"), strands).select("read_id", "x.is_rc", "x.s")
     at = F.explode(F.sequence(F.lit(0), F.length("s") - seed_len, F.lit(seed_len))).alias("i")
     rows = rows.where(F.length("s") >= seed_len).select("*", at).withColumn("seed", F.substr("s", F.col("i") + 1, F.lit(seed_len))).where(~F.contains("seed", F.lit("N")))
-    salt = _salt(F.col("seed"), F.col("read_id"), redundancy)
-    return rows.select("read_id", "is_rc", "seed", F.substr("s", F.lit(1), F.col("i")).alias("read_left"), F.substr("s", F.col("i") + seed_len + 1, F.length("s")).alias("read_right"), salt.cast("int").alias("salt"))
+    salt = [] if redundancy == 1 else [_salt(F.col("seed"), F.col("read_id"), redundancy).cast("int").alias("salt")]
+    return rows.select(F.xxhash64("seed").alias("h"), *salt, "read_id", "is_rc", "seed", F.substr("s", F.lit(1), F.col("i")).alias("read_left"), F.substr("s", F.col("i") + seed_len + 1, F.length("s")).alias("read_right"))
 
 
 def usable_reads(reads: DataFrame, min_len: int, max_len: int, k: int) -> DataFrame:
@@ -108,7 +110,7 @@ def align(refs: DataFrame, reads: DataFrame, *, k: int, read_len: int | None = N
     flank_len = max_len - seed_len + k
     refs = refs.select(F.col("ref_id").cast("bigint"), dna.normal_bases(F.col("seq")).alias("seq"))
     read = read_seeds(usable_reads(reads, min_len, max_len, k), seed_len, redundancy)
-    pairs = with_flanks(reference_seeds(refs, seed_len, redundancy).join(read, ["seed", "salt"]).drop("seed", "salt"), refs, seed_len, flank_len)
+    pairs = with_flanks(reference_seeds(refs, seed_len, redundancy).join(read, ["h"] if redundancy == 1 else ["h", "salt"]).drop("h", "salt"), refs, seed_len, flank_len)
     if mode == "mismatch":
         n_left, n_right = F.length("read_left"), F.length("read_right")
         near = pairs.where((F.length("ref_left") >= n_left) & (F.length("ref_right") >= n_right)).withColumn("ref_left", F.right("ref_left", n_left)).withColumn("ref_right", F.left("ref_right", n_right))

@@ -67,7 +67,9 @@ def item_similarity(ratings: DataFrame, *, scale: str = "log", cutoff: float, n_
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("item_y").alias("item_x"), F.col("item_x").alias("item_y"), "sim", "n"))
+    """Each pair in both directions, read once."""
+    ways = F.explode(F.array(F.struct("item_x", "item_y"), F.struct(F.col("item_y").alias("item_x"), F.col("item_x").alias("item_y")))).alias("w")
+    return pairs.select(ways, "sim", "n").select("w.item_x", "w.item_y", "sim", "n")
 
 
 def related_items(pairs: DataFrame, names: DataFrame | None = None, *, min_coratings: int, k: int = 25) -> DataFrame:
@@ -77,9 +79,11 @@ def related_items(pairs: DataFrame, names: DataFrame | None = None, *, min_corat
     """
     kept = both_ways(pairs).where(F.col("n") >= min_coratings)
     order = Window.partitionBy("item_x").orderBy(F.desc("sim"), "item_y")
-    best = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place").withColumn("sim", F.round("sim", 4))
-    own = best.select("item_x", F.col("item_x").alias("item_y"), F.lit(1.0).alias("sim"), F.lit(0).cast("bigint").alias("n")).distinct()
-    rows = own.unionByName(best)
+    best = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    # The best one of each item also brings the item's own row.
+    own = F.struct(F.col("item_x").alias("item_y"), F.lit(1.0).alias("sim"), F.lit(0).cast("bigint").alias("n"))
+    other = F.struct("item_y", F.round("sim", 4).alias("sim"), "n")
+    rows = best.select("item_x", F.explode(F.when(F.col("place") == 1, F.array(own, other)).otherwise(F.array(other))).alias("w")).select("item_x", "w.*")
     if names is None:
         return rows.withColumn("name", F.lit(None).cast("string"))
     return rows.join(names.select(F.col("item").cast("string").alias("item_y"), "name"), "item_y", "left").select("item_x", "item_y", "sim", "n", "name")
