@@ -150,27 +150,29 @@ def best_originals(pairs: DataFrame) -> DataFrame:
     return verified.groupBy("form").agg(best.alias("b")).select(F.col("form").alias("unit"), "b.original", "b.chain")
 
 
-def garbled_units(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units of the documents, verified pairs), both written to the shared scratch folder."""
+def garbled_units(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units of the documents, all verified pairs, the best original of each garbled unit), written to the shared scratch folder."""
     scratch = Scratch(documents.sparkSession)
     units = scratch.write(text_units(documents), "units")
     pairs = scratch.write(verified_pairs(units), "pairs")
-    return units, scratch.write(best_originals(pairs), "originals")
+    return units, pairs, scratch.write(best_originals(pairs), "originals")
 
 
-def garbled_hits(units: DataFrame, originals: DataFrame) -> DataFrame:
+def garbled_hits(units: DataFrame, pairs: DataFrame, originals: DataFrame) -> DataFrame:
     """Garbled units where they stand (doc_id, unit, side, hunk, original, chain), but for those on a
-    removed line whose right form is added in the same hunk."""
+    removed line whose right form - any original the unit can have - is added in the same hunk."""
     hits = units.join(originals, "unit")
-    added = units.where("side = 'added'").select("doc_id", "hunk", F.col("unit").alias("original"), F.lit(True).alias("mended")).distinct()
-    mended = hits.where("side = 'removed'").join(added, ["doc_id", "hunk", "original"], "left").where("mended is null").drop("mended")
-    return hits.where("side <> 'removed'").unionByName(mended)
+    added = units.where("side = 'added'").select("doc_id", "hunk", F.col("unit").alias("original")).distinct()
+    removed = hits.where("side = 'removed'")
+    possible = removed.select("doc_id", "hunk", "unit").distinct().join(pairs.select(F.col("form").alias("unit"), "original"), "unit")
+    mended = possible.join(added, ["doc_id", "hunk", "original"]).select("doc_id", "hunk", "unit").distinct()
+    return hits.where("side <> 'removed'").unionByName(removed.join(mended, ["doc_id", "hunk", "unit"], "left_anti").select(*hits.columns))
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
     """doc_id and number of garbled units of each document with a garbled passage."""
-    units, originals = garbled_units(documents)
-    return garbled_hits(units, originals).groupBy("doc_id").agg(F.count_distinct("unit").alias("n_units"))
+    units, pairs, originals = garbled_units(documents)
+    return garbled_hits(units, pairs, originals).groupBy("doc_id").agg(F.count_distinct("unit").alias("n_units"))
 
 
 RESTORED = "doc_id bigint, restored string, n_replaced int, n_lost int"
@@ -223,7 +225,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     Words are replaced by their verified original, or else their garbled runs are; a word of nothing but
     lost characters stays as it is. Passages shown garbled on purpose (see :func:`garbled_hits`) stay too.
     """
-    units, originals = garbled_units(documents)
-    hits = garbled_hits(units, originals).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "original", "side", "hunk")).alias("hits"))
+    units, pairs, originals = garbled_units(documents)
+    hits = garbled_hits(units, pairs, originals).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "original", "side", "hunk")).alias("hits"))
     texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null")
     return texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_restore, RESTORED)

@@ -142,6 +142,8 @@ def test_garbled_on_purpose(spark):
     clean = [(k, "    año déjà\n    NÃO SÃO Â LA CARTE ├── src") for k in range(9)]
     mend = "diff --git a b\n@@ -1 +1 @@\n-x = 'aÃ±o'\n+x = 'año'\n"
     cases = {100: mend, 101: mend.replace("+x = 'año'", "+x = 'aÃ±o' "), 102: "diff --git a b\n@@ -1 +1 @@\n-x = 'aÃ±o'\n@@ -5 +5 @@\n+x = 'año'\n", 103: mend + "@@ -9 +9 @@\n x = 'dÃ©jÃ '\n", 104: "-x = 'aÃ±o'\n+x = 'año'\n"}
+    cases[105] = mend.replace("aÃ±o", "a��o").replace("año", "año # ça")
+    clean = [*clean, *((k + 20, "    ça déjà") for k in range(30))]
     df = spark.createDataFrame([*clean, *cases.items()], "doc_id bigint, text string")
     assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == {101, 102, 103, 104}
     kept = {r.doc_id: r.restored for r in mojibake.restored_documents(df).collect()}
