@@ -73,7 +73,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None
     that has documents can serve its share, less some headroom; a source that can't is planned at its cap.
     """
     listed = {r.source: (r.target_share or 0.0, max(0, r.max_repeats or 0)) for r in targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").collect()}
-    spark = sized.sparkSession
+    spark, sized = sized.sparkSession, sized.select("doc_id", "source", "n_tokens")
     named = spark.createDataFrame([(s,) for s in listed], "source string")
     have = {r.source: (r.n, r.t) for r in sized.join(F.broadcast(named), "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
     serving = [s for s, (w, cap) in listed.items() if w > 0 and cap > 0 and have.get(s, (0, 0))[1]]
@@ -105,7 +105,7 @@ def draw(sized: DataFrame, plan: list[dict], seed: int = SEED) -> DataFrame:
 
     Documents without a listed source are never drawn; texts of 0 tokens may be, at no size.
     """
-    spark = sized.sparkSession
+    spark, sized = sized.sparkSession, sized.select("doc_id", "source", "n_tokens")
     serving = [p for p in plan if p["mean"] > 0]
     steps = spark.createDataFrame([(p["source"], p["seed"], poisson_steps(p["mean"], p["max_repeats"])) for p in serving], "source string, seed int, steps array<double>")
     counted = sized.join(F.broadcast(steps), "source").withColumn("n", _copies()).where("n > 0")

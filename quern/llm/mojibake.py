@@ -223,7 +223,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     """RESTORED text of each garbled document; ``n_lost`` characters could not be given back.
 
     Words are replaced by their verified original, or else their garbled runs are; a word of nothing but
-    lost characters stays as it is. Passages shown garbled on purpose (see :func:`garbled_hits`) stay too.
+    lost characters stays as it is. Texts without a doc_id are left out. Passages shown garbled on purpose (see :func:`garbled_hits`) stay too.
     """
     units, pairs, originals = garbled_units(documents)
     hits = garbled_hits(units, pairs, originals).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "original", "side", "hunk")).alias("hits"))

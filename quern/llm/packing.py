@@ -23,7 +23,7 @@ PACKED = "capacity int, container bigint, doc_id bigint, piece int, start_token
 def pieces(counts: DataFrame, capacities: list[int]) -> DataFrame:
     """(capacity, doc_id, piece, start_token, n_tokens, n_loss) for each capacity. Only a text longer than the
     capacity is cut, into full pieces and a rest; texts of 0 tokens need no container and are left out."""
-    each = counts.where("n_tokens > 0").select("*", F.explode(F.array(*map(F.lit, capacities))).alias("capacity"))
+    each = counts.where("n_tokens > 0").select("doc_id", "n_tokens", "n_prompt", F.explode(F.array(*map(F.lit, capacities))).alias("capacity"))
     last = ((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")
     cut = each.select("capacity", "doc_id", "n_tokens", "n_prompt", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = (F.col("piece") * F.col("capacity")).cast("bigint")

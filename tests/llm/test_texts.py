@@ -50,7 +50,7 @@ def test_pack_places_every_token_once(spark, monkeypatch):
     rnd = random.Random(1)
     counts = [(k, n := rnd.choice([0, 1, 50, 100, 101, 199, 200, rnd.randrange(1, 900)]), rnd.randrange(n + 1)) for k in range(500)]
     df = spark.createDataFrame(counts, "doc_id bigint, n_tokens bigint, n_prompt bigint").withColumn("capacity", F.lit("clash"))
-    packed = packing.pack(df.drop("capacity"), [100, 200], max_segments=8, loss_share=0.9)
+    packed = packing.pack(df, [100, 200], max_segments=8, loss_share=0.9)
     by = defaultdict(list)
     bins = defaultdict(list)
     for r in packed.collect():
@@ -67,8 +67,8 @@ def test_pack_places_every_token_once(spark, monkeypatch):
         assert sum(r.n_loss for r in own) <= 0.9 * cap or sum(r.n_loss > 0 for r in own) == 1
     report = {r.capacity: r for r in packing.fill_report(packed).collect()}
     assert report[100].n_tokens == sum(n for _, n, _ in counts) and report[100].n_containers >= report[100].least_containers
-    assert rows(packing.pack(df.repartition(3).drop("capacity"), [100, 200], max_segments=8, loss_share=0.9)) == rows(packed)
-    assert packing.pack(df.limit(0).drop("capacity"), [100]).count() == 0
+    assert rows(packing.pack(df.repartition(3), [100, 200], max_segments=8, loss_share=0.9)) == rows(packed)
+    assert packing.pack(df.limit(0), [100]).count() == 0
 
 
 def test_poisson_inversion():
@@ -83,7 +83,7 @@ def test_poisson_inversion():
 def test_mixture_shares_caps_and_order(spark):
     rnd = random.Random(2)
     docs = [(k, rnd.choice(["big", "big", "big", "small", "rare", None, "other"]), rnd.randrange(0, 400)) for k in range(6000)]
-    sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").withColumns({c: F.lit("clash") for c in ("seed", "n", "copy", "steps", "k")})
     targets = spark.createDataFrame([(" BIG", 0.4, 1), ("small", 0.3, 3), ("rare", 0.2, 2), ("absent", 0.1, 4)], "source string, target_share double, max_repeats int")
     plan = mixing.plan_mixture(sized, targets)
     drawn = mixing.draw(sized, plan)
