@@ -25,12 +25,25 @@ def _whole_number(c: Column) -> Column:
     return F.when(c.rlike(r"\A[+-]?[0-9]+\z"), c.try_cast("bigint"))
 
 
+SEPARATOR = "\u0001"
+
+
+def _fields(lines: DataFrame, line: Column, pattern: str, names: tuple[str, ...]) -> DataFrame:
+    """The pattern's groups as columns, all null where it isn't found from the line's start.
+
+    The expression runs once a line, not once a field: the line is rewritten as its groups between separators
+    and split. Lines that hold the separator themselves are read group by group.
+    """
+    whole = F.regexp_replace(line, f"{pattern}(?s:.*)", SEPARATOR.join(f"${i}" for i in range(1, len(names) + 1)))
+    found = lines.select(line.alias("line"), F.when(line.rlike(pattern), F.split(whole, SEPARATOR)).alias("f"))
+    plain = F.size("f") == len(names)
+    return found.select(*(F.when(plain, F.get("f", F.lit(i))).when(F.col("f").isNotNull(), F.regexp_extract("line", pattern, i + 1)).alias(n) for i, n in enumerate(names)))
+
+
 def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """The nine fields, typed ``status``, ``dtime`` (UTC) and ``bytes`` ('-' counts as 0) of each line that
     follows the layout from its start; other lines get nulls throughout. Columns of ``lines`` are not kept."""
-    line = F.col(line_col)
-    names = {n: extract_or_null(line, ACCESS_LINE, i) for i, n in enumerate(ACCESS_FIELDS, 1)}
-    return typed_access(lines.select(*(c.alias(n) for n, c in names.items())).withColumn("status", _whole_number(F.col("status")).try_cast("int")))
+    return typed_access(_fields(lines, F.col(line_col), ACCESS_LINE, ACCESS_FIELDS).withColumn("status", _whole_number(F.col("status")).try_cast("int")))
 
 
 def typed_access(logs: DataFrame) -> DataFrame:
@@ -47,8 +60,7 @@ def without_comments(lines: DataFrame, line_col: str = "line") -> DataFrame:
 def parse_cdn(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Nine fields and ``ts`` of every CDN-log line; one field before the user agent is ignored. Comment
     lines and lines of another layout are left out; date and time may be separated by any white space."""
-    kept = without_comments(lines, line_col).where(F.col(line_col).rlike(CDN_LINE))
-    out = kept.select(*(F.regexp_extract(line_col, CDN_LINE, i).alias(n) for i, n in enumerate(CDN_FIELDS, 1)))
+    out = _fields(without_comments(lines, line_col), F.col(line_col), CDN_LINE, CDN_FIELDS).where("DateTime is not null")
     return out.withColumns({"Bytes": _whole_number(F.col("Bytes")), "ts": F.try_to_timestamp(F.regexp_replace("DateTime", r"\s+", " "), F.lit(CDN_TIME))})
 
 

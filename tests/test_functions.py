@@ -59,6 +59,12 @@ def test_access_lines(spark):
     assert tuple(got[2]) == tuple(got[3]) == (None,) * 5
 
 
+def test_access_line_with_separator_and_tail(spark):
+    line = '1.2.3.4 - - [23/Jan/2009:13:55:36 -0700] "GET /\u0001a" 200 5 "" "b" more\nlines'
+    r = logs.parse_access(spark.createDataFrame([(line,), (line.replace("\u0001", ""),)], "line string")).collect()
+    assert [(x.request, x.referrer, x.browser, x.status) for x in r] == [("GET /\u0001a", "", "b", 200), ("GET /a", "", "b", 200)]
+
+
 def test_cdn_lines(spark):
     lines = ["#Version: 1.0", "2009-02-01\t01:07:31\tFRA2\t2048\t192.0.2.10\tGET\td1.example.net\t/img/a.png\t200\t-\tMozilla/5.0",
              "2009-02-01\t01:09:59\tFRA2\t100\t192.0.2.10\tGET\td1.example.net\t/img/b.png\t404\t-\tMozilla/5.0 (X)", "", None]
