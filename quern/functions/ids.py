@@ -29,12 +29,14 @@ def begin_ms(c: Column) -> Column:
     return F.when(t.rlike(r"\A[0-9]{13}\z"), t.cast("bigint"))
 
 
-def minute_slot(c: Column) -> Column:
-    """Minutes since 1970 of a ``yyyy-MM-dd-HH-mm`` partition name; null if it is none."""
-    return F.when(
-        c.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}\z"),
-        (F.unix_timestamp(F.try_to_timestamp(c, F.lit("yyyy-MM-dd-HH-mm"))) / 60).cast("bigint"),
-    )
+def slot_number(c: Column) -> Column:
+    """A ``yyyy-MM-dd-HH-mm`` partition name as the number yyyyMMddHHmm, which sorts as it does; null if it is none."""
+    return F.when(c.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}\z"), F.translate(c, "-", "").cast("bigint"))
+
+
+def slot_minutes(number: Column) -> Column:
+    """Minutes since 1970 of such a number; null if there is no such time."""
+    return (F.unix_timestamp(F.try_to_timestamp(number.cast("string"), F.lit("yyyyMMddHHmm"))) / 60).cast("bigint")
 
 
 def hour_slot(day: Column, hour: Column) -> Column:

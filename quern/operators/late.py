@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import begin_ms, clean_id, hour_name, hour_slot, minute_slot
+from ..functions.ids import begin_ms, clean_id, hour_name, hour_slot, slot_minutes, slot_number
 
 PUBLISH_MINUTES = 80
 CLOSE_MINUTES = 25 * 60
@@ -34,13 +34,11 @@ def first_deliveries(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
     Rows without an id and arrivals that are no ``yyyy-MM-dd-HH-mm`` count as nothing delivered.
     """
     none = F.lit(None).cast("bigint")
-    seen = impressions.select(clean_id(F.col("impressionId")).alias("id"), begin_ms(F.col("requestBeginTime")).alias("ms"), F.col("dt").alias("imp"), F.lit(None).cast("string").alias("clk"), F.lit(True).alias("known"))
-    hits = clicks.select(clean_id(F.col("impressionId")).alias("id"), none.alias("ms"), F.lit(None).cast("string").alias("imp"), F.col("dt").alias("clk"), F.lit(False).alias("known"))
-    # Slot names sort as their times do, so the first is taken before any is parsed.
-    shape = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}\z"
-    named = lambda c: F.when(F.col(c).rlike(shape), F.col(c))
-    per_id = seen.unionByName(hits).where("id is not null").groupBy("id").agg(F.min("ms").alias("ms"), F.min(named("imp")).alias("imp"), F.min(named("clk")).alias("clk"), F.max("known").alias("known"))
-    return per_id.select("id", "known", F.floor(F.col("ms") / 3_600_000).cast("bigint").alias("evhour"), minute_slot(F.col("imp")).alias("imp_at"), minute_slot(F.col("clk")).alias("clk_at"))
+    ident, arrival = clean_id(F.col("impressionId")).alias("id"), slot_number(F.col("dt"))
+    seen = impressions.select(ident, begin_ms(F.col("requestBeginTime")).alias("ms"), arrival.alias("imp"), none.alias("clk"), F.lit(True).alias("known"))
+    hits = clicks.select(ident, none.alias("ms"), none.alias("imp"), arrival.alias("clk"), F.lit(False).alias("known"))
+    per_id = seen.unionByName(hits).where("id is not null").groupBy("id").agg(*(F.min(c).alias(c) for c in ("ms", "imp", "clk")), F.max("known").alias("known"))
+    return per_id.select("id", "known", F.floor(F.col("ms") / 3_600_000).cast("bigint").alias("evhour"), slot_minutes(F.col("imp")).alias("imp_at"), slot_minutes(F.col("clk")).alias("clk_at"))
 
 
 def deliveries(firsts: DataFrame) -> DataFrame:

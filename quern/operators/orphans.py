@@ -17,28 +17,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import clean_id
+from ..functions.ids import clean_id, slot_number
 
 MISSES = "src string, id string, period string, reason string, n_refs bigint"
 PARENTS_PER_RANGE = 500_000
 
 
 def parent_states(parents: DataFrame, removals: DataFrame) -> DataFrame:
-    """One row per id: ``present`` (ever delivered), ``first_dt``, ``removed`` and ``removed_dt``.
+    """One row per id: ``present`` (ever delivered), ``first_at``, ``removed`` and ``removed_at`` (slot numbers).
 
-    Rows without an id are left out; a null dt counts as delivered at no known time.
+    Rows without an id are left out; a dt that is no partition name counts as delivered at no known time.
     """
 
     def side(df: DataFrame, gone: bool) -> DataFrame:
-        dt = F.col("dt")
-        none = F.lit(None).cast("string")
+        at, none = slot_number(F.col("dt")), F.lit(None).cast("bigint")
         return df.select(
-            clean_id(F.col("impressionId")).alias("id"), F.lit(not gone).alias("present"), (none if gone else dt).alias("first_dt"),
-            F.lit(gone).alias("removed"), (dt if gone else none).alias("removed_dt"),
+            clean_id(F.col("impressionId")).alias("id"), F.lit(not gone).alias("present"), (none if gone else at).alias("first_at"),
+            F.lit(gone).alias("removed"), (at if gone else none).alias("removed_at"),
         ).where("id is not null")
 
     return side(parents, False).unionByName(side(removals, True)).groupBy("id").agg(
-        F.max("present").alias("present"), F.min("first_dt").alias("first_dt"), F.max("removed").alias("removed"), F.min("removed_dt").alias("removed_dt")
+        F.max("present").alias("present"), F.min("first_at").alias("first_at"), F.max("removed").alias("removed"), F.min("removed_at").alias("removed_at")
     )
 
 
@@ -61,7 +60,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([batch])
         cut = int(np.searchsorted(table["kind"].to_numpy(), 1))
         if cut:
-            held.append(table.slice(0, cut).select(["h", "id", "present", "first_dt", "removed", "removed_dt"]))
+            held.append(table.slice(0, cut).select(["h", "id", "present", "first_at", "removed", "removed_at"]))
         refs = table.slice(cut)
         if not refs.num_rows:
             continue
@@ -83,9 +82,9 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parents.take(take)
         there = pc.fill_null(own["present"], False)
         gone = pc.fill_null(own["removed"], False)
-        asof = refs["period"]
-        early = pc.fill_null(pc.less_equal(own["first_dt"], asof), False)
-        cut_off = pc.fill_null(pc.less_equal(own["removed_dt"], asof), False)
+        asof = refs["asof"]
+        early = pc.fill_null(pc.less_equal(own["first_at"], asof), False)
+        cut_off = pc.fill_null(pc.less_equal(own["removed_at"], asof), False)
         timed = refs["timed"]
         missing = pc.invert(there)
         withdrawn = pc.if_else(timed, cut_off, gone)
@@ -103,13 +102,14 @@ def orphan_references(references: DataFrame, states: DataFrame, n_parents: int)
     number of ranges, so that the arrays of one range stay small. Result: src, id, period, reason
     (``missing``, ``withdrawn`` or ``later``, the first that holds), n_refs, one row per src, id and period.
 
-    A timed reference with a null period has nothing delivered before it and is reported as ``later``
+    A timed reference whose period is no partition name has nothing delivered before it and is reported as ``later``
     (or ``missing``). Empty inputs give no rows; repeated references are counted in n_refs.
     """
     spark = references.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_parents // PARENTS_PER_RANGE))
     refs = references.groupBy("src", "id", "period", "timed").agg(F.count(F.lit(1)).alias("n_refs"))
-    both = states.select(F.lit(0).alias("kind"), "*").unionByName(refs.select(F.lit(1).alias("kind"), "*"), allowMissingColumns=True).withColumn("h", F.xxhash64("id"))
+    asked = refs.select(F.lit(1).alias("kind"), "*", F.when(F.col("timed"), slot_number(F.col("period"))).alias("asof"))
+    both = states.select(F.lit(0).alias("kind"), "*").unionByName(asked, allowMissingColumns=True).withColumn("h", F.xxhash64("id"))
     at = F.shiftright((F.shiftright("h", 32) + (1 << 31)) * ranges, 32).cast("int")
     return both.repartitionById(ranges, at).sortWithinPartitions("kind", "h").mapInArrow(_probe, MISSES)
 

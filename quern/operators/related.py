@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import hash_uniform, log_scale, pearson, sample_probability, similarity_score
+from ..scratch import Scratch
 
 
 def item_counts(ratings: DataFrame) -> DataFrame:
@@ -61,7 +62,9 @@ def pair_sums(rows: DataFrame, duplicates: str = "sum") -> DataFrame:
 
 def item_similarity(ratings: DataFrame, *, scale: str = "log", cutoff: float, n_users: int, seed: int = 42, duplicates: str = "sum") -> DataFrame:
     """(item_x, item_y, sim, n), each pair once. With a cutoff of at least every user's or item's count nothing is sampled."""
-    sums = pair_sums(sampled(scaled(ratings, scale, duplicates), cutoff, seed), duplicates)
+    # Counts and both sides of the pair join read the scaled ratings, so these are made once.
+    rows = Scratch(ratings.sparkSession).write(scaled(ratings, scale, duplicates), "ratings")
+    sums = pair_sums(sampled(rows, cutoff, seed), duplicates)
     r = pearson(*(F.col(c) for c in ("sxx", "sx", "sxy", "sy", "syy", "n")))
     return sums.select("item_x", "item_y", similarity_score(r, F.col("n"), n_users).alias("sim"), "n")
 

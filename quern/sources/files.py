@@ -23,10 +23,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType = WIKI_STAT,
     return spark.read.csv(path, schema=schema, sep=sep)
 
 
-def read_json_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON record per line under a fixed schema; dt=... folders become a column, kept as text."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.schema(schema).json(path)
+def read_json_table(spark: SparkSession, path: str, schema: T.StructType, partition: str = "dt") -> DataFrame:
+    """One JSON record per line under a fixed schema; ``dt=...`` folders become a column, kept as text."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(partition, T.StringType())])).json(path)
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:

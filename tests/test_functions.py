@@ -45,8 +45,8 @@ def test_ids(spark):
     t = F.col("t")
     assert [one(spark, ids.clean_id(t), t=("string", x)) for x in (" \tAb ", "", " ", "-", " - ", None)] == ["ab", None, None, None, None, None]
     assert [one(spark, ids.begin_ms(t), t=("string", x)) for x in (" 1235952145480\t", "123595214548", "123595214548x", None)] == [1235952145480, None, None, None]
-    assert one(spark, ids.minute_slot(t), t=("string", "1970-01-01-01-05")) == 65
-    assert one(spark, ids.minute_slot(t), t=("string", "1970-13-01-01-05")) is None
+    minutes = ids.slot_minutes(ids.slot_number(t))
+    assert [one(spark, minutes, t=("string", x)) for x in ("1970-01-01-01-05", "1970-13-01-01-05", "1970-01-01-01", None)] == [65, None, None, None]
 
 
 def test_access_lines(spark):

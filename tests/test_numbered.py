@@ -64,8 +64,8 @@ def test_orphans(spark, seed, hot, n):
 
 
 def test_probe_tells_equal_hashes_apart():
-    cols = {"kind": [0, 0, 1, 1, 1], "h": [5, 5, 5, 5, 5], "id": ["a", "b", "b", "c", "a"], "src": [None] * 2 + ["s"] * 3, "period": [None] * 2 + ["2"] * 3,
-            "timed": [None] * 2 + [False] * 3, "n_refs": [None] * 2 + [1] * 3, "present": [True] * 2 + [None] * 3, "first_dt": ["1"] * 2 + [None] * 3, "removed": [False, True] + [None] * 3, "removed_dt": pa.array([None] * 5, pa.string())}
+    cols = {"kind": [0, 0, 1, 1, 1], "h": [5, 5, 5, 5, 5], "id": ["a", "b", "b", "c", "a"], "src": [None] * 2 + ["s"] * 3, "period": [None] * 2 + ["2"] * 3, "asof": [None] * 2 + [2] * 3,
+            "timed": [None] * 2 + [False] * 3, "n_refs": [None] * 2 + [1] * 3, "present": [True] * 2 + [None] * 3, "first_at": [1] * 2 + [None] * 3, "removed": [False, True] + [None] * 3, "removed_at": pa.array([None] * 5, pa.int64())}
     batch = pa.RecordBatch.from_pydict(cols)
     got = [(r["id"], r["reason"]) for b in orphans._probe(iter([batch.slice(0, 1), batch.slice(1)])) for r in b.to_pylist()]
     assert got == [("b", "withdrawn"), ("c", "missing")]
