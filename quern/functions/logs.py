@@ -35,7 +35,9 @@ def _fields(lines: DataFrame, line: Column, pattern: str, names: tuple[str, ...]
     and split. Lines that hold the separator themselves are read group by group.
     """
     whole = F.regexp_replace(line, f"{pattern}(?s:.*)", SEPARATOR.join(f"${i}" for i in range(1, len(names) + 1)))
-    found = lines.select(line.alias("line"), F.when(line.rlike(pattern), F.split(whole, SEPARATOR)).alias("f"))
+    groups = F.when(line.rlike(pattern), F.split(whole, SEPARATOR))
+    # The one-element explode keeps later filters on the fields from being pushed below and matching again.
+    found = lines.select(line.alias("line"), F.explode(F.array(groups)).alias("f"))
     plain = F.size("f") == len(names)
     return found.select(*(F.when(plain, F.get("f", F.lit(i))).when(F.col("f").isNotNull(), F.regexp_extract("line", pattern, i + 1)).alias(n) for i, n in enumerate(names)))
 
