@@ -27,7 +27,7 @@ SINGLE_BYTE = (
 MULTI_BYTE = ("cp932", "euc_jp", "gbk", "big5", "cp949")
 LOST = "�"
 MORE_FREQUENT = 3
-MAX_UNIT = 400
+HELD_CHARS = 8_000_000
 
 UNITS = "doc_id bigint, unit string, is_run boolean, side string, hunk int"
 FORMS = "form string, original string, chain string, certain boolean"
@@ -91,30 +91,44 @@ def _garble(single: tuple[str, ...], multi: tuple[str, ...], lost: str):
             yield raw.decode("utf_8", "replace"), "utf_8", False
             yield raw.decode("ascii", "replace"), "ascii", False
 
+        def chains(unit: str) -> Iterator[tuple[str, str, bool]]:
+            """(form, chain, certain) for all chains; several may lead to the same form."""
+            for once, e, dropped in read(unit.encode("utf_8", "surrogatepass")):
+                yield once, f"utf_8>{e}", not dropped
+                if lost in once or dropped or e not in tables:
+                    continue
+                for twice, e2, dropped2 in read(once.encode("utf_8")):
+                    yield twice, f"utf_8>{e},utf_8>{e2}", not dropped2
+            for a in (*single, *multi):
+                try:
+                    raw = unit.encode(a)
+                except UnicodeEncodeError:
+                    continue
+                for once, e, _ in read(raw):
+                    if e != a:
+                        yield once, f"{a}>{e}", lost in once
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_()))], ["form", "original", "chain", "certain"])
+
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for unit, is_run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                forms: dict[str, tuple[str, bool]] = {}
-                utf = unit.encode("utf_8", "surrogatepass")
-                for once, e, dropped in read(utf):
-                    forms.setdefault(once, (f"utf_8>{e}", not dropped))
-                    if lost in once or dropped or e not in tables:
-                        continue
-                    for twice, e2, dropped2 in read(once.encode("utf_8")):
-                        forms.setdefault(twice, (f"utf_8>{e},utf_8>{e2}", not dropped2))
-                for a in (*single, *multi):
-                    try:
-                        raw = unit.encode(a)
-                    except UnicodeEncodeError:
+                seen: set[str] = set()
+                for form, chain, certain in chains(unit):
+                    if form in seen:
                         continue
-                    for once, e, dropped in read(raw):
-                        if e != a:
-                            forms.setdefault(once, (f"{a}>{e}", lost in once))
-                for form, (chain, certain) in forms.items():
+                    seen.add(form)
+                    held += len(form)
                     if form != unit and form and not form.isascii() and not (is_run and not certain):
                         rows.append((form, unit, chain, certain))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_()))], ["form", "original", "chain", "certain"])
+                        held += len(unit)
+                    if held > HELD_CHARS:  # a long unit's forms go out in parts; one that comes again is only a repeated pair
+                        yield packed(rows)
+                        rows, seen, held = [], set(), 0
+            yield packed(rows)
 
     return run
 
@@ -126,14 +140,12 @@ def garbled_forms(vocabulary: DataFrame) -> DataFrame:
 
 
 def verified_pairs(units: DataFrame) -> DataFrame:
-    """(unit, original, chain): garbled units of the corpus with their verified original, one row per unit.
+    """Garbled units of the corpus (form) with each verified original, its chain and how many documents hold it.
 
-    Of several originals the most frequent is taken, the first in order on ties. Units longer than
-    MAX_UNIT characters (unbroken binary noise, no words) are garbled only in part: their runs and
-    shorter neighbours are still compared.
+    Units of any length are garbled; forms of long ones leave their task in parts of HELD_CHARS characters.
     """
     vocabulary = units.groupBy("unit").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("is_run").alias("is_run"))
-    clean = vocabulary.where(~F.contains("unit", F.lit(LOST)) & (F.length("unit") <= MAX_UNIT))
+    clean = vocabulary.where(~F.contains("unit", F.lit(LOST)))
     forms = garbled_forms(clean.repartition(F.col("unit")))
     held = vocabulary.select(F.col("unit").alias("form"), F.col("n_docs").alias("form_docs"))
     origin = vocabulary.select(F.col("unit").alias("original"), F.col("n_docs").alias("original_docs"))

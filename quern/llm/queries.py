@@ -88,7 +88,7 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    capacities = sorted(r.capacity for r in table(spark, d, "container_sizes").select("capacity").distinct().collect())  # a fixed table of a few rows
+    capacities = sorted(r.capacity for r in table(spark, d, "container_sizes").where("capacity > 0").select("capacity").distinct().collect())  # a fixed table of a few rows
     return packing.pack(_counts(spark, d), capacities)
 
 
