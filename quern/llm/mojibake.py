@@ -28,6 +28,7 @@ MULTI_BYTE = ("cp932", "euc_jp", "gbk", "big5", "cp949")
 LOST = "�"
 MORE_FREQUENT = 3
 HELD_CHARS = 8_000_000
+UNITS_PER_TASK = 20_000
 
 UNITS = "doc_id bigint, unit string, is_run boolean, side string, hunk int"
 FORMS = "form string, original string, chain string, certain boolean"
@@ -143,10 +144,13 @@ def verified_pairs(units: DataFrame) -> DataFrame:
     """Garbled units of the corpus (form) with each verified original, its chain and how many documents hold it.
 
     Units of any length are garbled; forms of long ones leave their task in parts of HELD_CHARS characters.
+    A unit becomes hundreds of forms, so the number of tasks follows the units counted, not their bytes.
     """
-    vocabulary = units.groupBy("unit").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("is_run").alias("is_run"))
+    spark = units.sparkSession
+    vocabulary = Scratch(spark).write(units.groupBy("unit").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("is_run").alias("is_run")), "vocabulary")
     clean = vocabulary.where(~F.contains("unit", F.lit(LOST)))
-    forms = garbled_forms(clean.repartition(F.col("unit")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.count() // UNITS_PER_TASK))
+    forms = garbled_forms(clean.repartition(tasks, "unit"))
     held = vocabulary.select(F.col("unit").alias("form"), F.col("n_docs").alias("form_docs"))
     origin = vocabulary.select(F.col("unit").alias("original"), F.col("n_docs").alias("original_docs"))
     pairs = forms.join(held, "form").join(origin, "original")
