@@ -117,15 +117,21 @@ ORACLE |= {
 _CDN_OK = r"""regexp_full_match({time}, '[0-9]{{2}}/Mar/2009:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{{4}}') AND regexp_full_match({addr}, '[^ \t]+') AND regexp_full_match(request, '[A-Z]+ [^ \t]+ [^ \t]+') AND status IS NOT NULL AND browser IS NOT NULL"""
 
 
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
 def cdn_lines(base: DataFrame) -> DataFrame:
-    """CDN-log lines written from loaded access-log rows, '#' header lines among them."""
-    shape = F.col("time").rlike(r"\A[0-9]{2}/Mar/2009:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{4}\z") & F.col("remoteAddr").rlike(r"\A[^ \t]+\z")
+    """CDN-log lines written from loaded access-log rows of any date, a '#' header line before one in a thousand."""
+    shape = F.col("time").rlike(rf"\A[0-9]{{2}}/({'|'.join(MONTHS)})/[0-9]{{4}}:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{{4}}\z") & F.col("remoteAddr").rlike(r"\A[^ \t]+\z")
     ok = shape & F.col("request").rlike(r"\A[A-Z]+ [^ \t]+ [^ \t]+\z") & F.col("status").isNotNull() & F.col("browser").isNotNull()
     call = F.split("request", " ")
+    month = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02}")))[F.substring("time", 4, 3)]
+    date = F.concat_ws("-", F.substring("time", 8, 4), month, F.substring("time", 1, 2))
     size = F.when(F.col("bytes_string").rlike(r"\A[0-9]{1,18}\z"), F.col("bytes_string")).otherwise("0")
-    fields = [F.concat(F.lit("2009-03-"), F.substring("time", 1, 2)), F.substring("time", 13, 8), F.concat(F.lit("EDGE"), F.length("remoteAddr").cast("string")), size, F.col("remoteAddr"), call[0], F.lit("d1.example.net"), call[1], F.col("status").cast("string"), F.lit("-"), F.col("browser")]
-    line = F.when(F.pmod("log_id", F.lit(1000)) == 0, F.lit("#Version: 1.0")).otherwise(F.array_join(F.array(*fields), "\t"))
-    return base.where(ok).select(line.alias("line"))
+    fields = [date, F.substring("time", 13, 8), F.concat(F.lit("EDGE"), F.length("remoteAddr").cast("string")), size, F.col("remoteAddr"), call[0], F.lit("d1.example.net"), call[1], F.col("status").cast("string"), F.lit("-"), F.col("browser")]
+    line = F.array_join(F.array(*fields), "\t")
+    lines = F.when(F.pmod("log_id", F.lit(1000)) == 0, F.array(F.lit("#Version: 1.0"), line)).otherwise(F.array(line))
+    return base.where(ok).select(F.explode(lines).alias("line"))
 
 
 def _cdn_report(name: str):

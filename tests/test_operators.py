@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import logs as L
 from quern.operators import ads, alignment, counting, keyed, log_reports, related
+from quern.plans import reports
 from tests.conftest import rows
 
 
@@ -42,6 +43,16 @@ def test_cdn_reports_agree(spark):
         log_reports.cdn_reports(df, ["nothing"])
 
 
+def test_cdn_lines_keep_every_date_and_row(spark):
+    times = ["01/Mar/2009:10:00:00 +0000", "28/Feb/2009:23:59:59 +0100", "31/Dec/2010:00:00:01 -0500", "01/Foo/2009:10:00:00 +0000", "31/Feb/2009:10:00:00 +0000"]
+    data = [(1000 * i, "192.0.2.1", t, "GET /a HTTP/1.1", 200, "7", "agent x") for i, t in enumerate(times)] + [(1, "192.0.2.1", times[0], "GET /a HTTP/1.1", 200, "7", "agent x")]
+    lines = reports.cdn_lines(frame(spark, data, "log_id bigint, remoteAddr string, time string, request string, status int, bytes_string string, browser string"))
+    assert lines.where("line like '#%'").count() == 4
+    out = log_reports.cdn_reports(L.parse_cdn(lines))
+    assert rows(out["client-ip-request-count"]) == [("192.0.2.1", 5)] and rows(out["object-popularity-bytes-transferred"]) == [("/a", 35)]
+    assert rows(out["overall-volume-request-count"]) == [("2009-02-28 23:55:00", 1), ("2009-03-01 10:00:00", 2), ("2010-12-31 00:00:00", 1)]
+
+
 def test_access_reports_own_host_and_no_match(spark):
     data = [("1.2.3.4", "http://www.example.org", "2009-01-01 01:00:00", 5), ("1.2.3.9", "http://a.test/x", "2009-01-02 01:30:00", None), ("host", "https://b.test", "2009-01-02 03:30:00", 7), (None, None, None, None)]
     df = frame(spark, data, "remoteAddr string, referrer string, t string, bytes bigint").withColumn("dtime", F.col("t").cast("timestamp"))
