@@ -4,13 +4,15 @@ Every distinct word with a non-ASCII character is garbled under all encoding cha
 forms are hash-joined with the words that documents hold. A hit counts only if its original is
 verified: the original is itself a word of the corpus, not a garbled one, and the direction is
 certain - a chain through UTF-8 or with lost characters cannot run the other way, and for two
-8-bit encodings the original must be far more frequent. Words seen only once get a second chance
+8-bit encodings the original must stand in far more different texts, or several words of one text
+must agree on a chain that turns plain words into odd ones. Words seen only once get a second chance
 through their non-ASCII runs, which are units of the same table for chains through UTF-8.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +32,9 @@ MORE_FREQUENT = 3
 HELD_CHARS = 8_000_000
 UNITS_PER_TASK = 20_000
 
-UNITS = "doc_id bigint, unit string, is_run boolean, side string, hunk int"
+UNITS = "doc_id bigint, text_id bigint, unit string, is_run boolean, side string, hunk int"
 FORMS = "form string, original string, chain string, certain boolean"
+VOTES = "form string, original string, chain string, vote int"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +43,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = re.compile(r"[\u0080-\U0010ffff]+")
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc_id, text_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if text is None or text.isascii():
                 continue
             seen, hunk, inside = set(), 0, False
@@ -60,15 +63,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs = run.findall(w)
                     if runs[0] != w:
                         seen.update((r, True, *where) for r in runs)
-            out.extend((doc_id, *x) for x in seen)
-        cols = list(zip(*out)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int32()))], ["doc_id", "unit", "is_run", "side", "hunk"])
+            out.extend((doc_id, text_id, *x) for x in seen)
+        cols = list(zip(*out)) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int32()))], ["doc_id", "text_id", "unit", "is_run", "side", "hunk"])
 
 
 def text_units(documents: DataFrame) -> DataFrame:
     """UNITS of every whole text: words with a non-ASCII character and, where ASCII letters touch them,
-    their non-ASCII runs. Null, empty and ASCII texts have none."""
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(_units, UNITS)
+    their non-ASCII runs. Copies of a text share its ``text_id``. Null, empty and ASCII texts have none."""
+    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.col("text")).mapInArrow(_units, UNITS)
 
 
 def _garble(single: tuple[str, ...], multi: tuple[str, ...], lost: str):
@@ -140,29 +143,93 @@ def garbled_forms(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("unit", "is_run").mapInArrow(_garble(SINGLE_BYTE, MULTI_BYTE, LOST), FORMS)
 
 
+def _oddness(word: str) -> int:
+    """Places where a word looks misread: a symbol between letters, a capital after a small letter, or
+    another script, one of both characters not being ASCII."""
+    kinds = [unicodedata.category(c) for c in word]
+    scripts = [unicodedata.name(c, "").partition(" ")[0] for c in word]
+    odd = 0
+    for i in range(1, len(word)):
+        if word[i - 1 : i + 1].isascii():
+            continue
+        if kinds[i - 1][0] == kinds[i][0] == "L":
+            odd += (kinds[i - 1] == "Ll" and kinds[i] == "Lu") or (scripts[i - 1] != scripts[i] and {scripts[i - 1], scripts[i]} <= {"LATIN", "CYRILLIC", "GREEK"})
+        elif i + 1 < len(word) and (kinds[i][0] in "SC" or kinds[i] == "No") and kinds[i - 1][0] == kinds[i + 1][0] == "L":
+            odd += 1
+    return odd
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """VOTES: each chain of two 8-bit encodings that leads from an original to a form, with 1 where the form is the
+    odd one of both or in far fewer texts, -1 where the original is, else 0."""
+    encodings = (*SINGLE_BYTE, *MULTI_BYTE)
+    for batch in batches:
+        out = []
+        for form, original, form_texts, original_texts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            plain = all(unicodedata.category(c)[0] in "LMN" or c == "_" for c in original)
+            a, b = _oddness(form), _oddness(original)
+            against = b > a or form_texts >= MORE_FREQUENT * original_texts
+            vote = -1 if against else 1 if a > b or original_texts >= MORE_FREQUENT * form_texts else 0
+            if not plain and vote >= 0:
+                continue
+            for x in encodings:
+                try:
+                    raw = original.encode(x)
+                except UnicodeEncodeError:
+                    continue
+                for y in encodings:
+                    if y != x and raw.decode(y, "ignore") == form:
+                        out.append((form, original, f"{x}>{y}", vote))
+        cols = list(zip(*out)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32()))], ["form", "original", "chain", "vote"])
+
+
+def agreed_pairs(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(form, original) of two 8-bit encodings whose direction a text settles: two or more of its words can
+    come from plain words by the same chain, one at least is odd or rare beside its original and none the other way round."""
+    votes = pairs.where("not certain and length(form) >= 2").select("form", "original", "form_texts", "original_texts").mapInArrow(_votes, VOTES)
+    votes = Scratch(units.sparkSession).write(votes, "votes")
+    # Texts matter once however many copies they have, and only if one of their words has a pair without a vote against it.
+    may = votes.where("vote >= 0").select(F.col("form").alias("unit")).distinct()
+    stands = units.where("not is_run").select("text_id", "unit").distinct()
+    texts = stands.join(may, "unit", "left_semi").groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_id")
+    said = stands.join(texts, "text_id", "left_semi").join(votes.withColumnRenamed("form", "unit"), "unit")
+    # A word that several originals could have become speaks for the chain if any of them does.
+    words = said.groupBy("text_id", "chain", "unit").agg(F.max("vote").alias("vote"))
+    agreed = words.groupBy("text_id", "chain").agg(F.count_if(F.col("vote") >= 0).alias("n"), F.max("vote").alias("most"), F.min("vote").alias("least")).where("n > 1 and most = 1 and least >= 0")
+    return said.where("vote >= 0").join(agreed.select("text_id", "chain"), ["text_id", "chain"], "left_semi").select(F.col("unit").alias("form"), "original").distinct()
+
+
 def verified_pairs(units: DataFrame) -> DataFrame:
-    """Garbled units of the corpus (form) with each verified original, its chain and how many documents hold it.
+    """Garbled units of the corpus (form) with each verified original, its chain and how many different texts hold it.
 
     Units of any length are garbled; forms of long ones leave their task in parts of HELD_CHARS characters.
     A unit becomes hundreds of forms, so the number of tasks follows the units counted, not their bytes.
     """
     spark = units.sparkSession
-    vocabulary = Scratch(spark).write(units.groupBy("unit").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("is_run").alias("is_run")), "vocabulary")
+    scratch = Scratch(spark)
+    vocabulary = scratch.write(units.groupBy("unit").agg(F.count_distinct("text_id").alias("n_texts"), F.min("is_run").alias("is_run")), "vocabulary")
     clean = vocabulary.where(~F.contains("unit", F.lit(LOST)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.count() // UNITS_PER_TASK))
     forms = garbled_forms(clean.repartition(tasks, "unit"))
-    held = vocabulary.select(F.col("unit").alias("form"), F.col("n_docs").alias("form_docs"))
-    origin = vocabulary.select(F.col("unit").alias("original"), F.col("n_docs").alias("original_docs"))
-    pairs = forms.join(held, "form").join(origin, "original")
-    frequent = (F.col("original_docs") >= MORE_FREQUENT * F.col("form_docs")) & (F.length("form") >= 2)
-    return pairs.where(F.col("certain") & (F.contains("form", F.lit(LOST)) | (F.length("form") >= 2)) | frequent)
+    held = vocabulary.select(F.col("unit").alias("form"), F.col("n_texts").alias("form_texts"))
+    origin = vocabulary.select(F.col("unit").alias("original"), F.col("n_texts").alias("original_texts"))
+    pairs = scratch.write(forms.join(held, "form").join(origin, "original"), "candidates")
+    frequent = (F.col("original_texts") >= MORE_FREQUENT * F.col("form_texts")) & (F.length("form") >= 2)
+    alone = (F.col("certain") & (F.contains("form", F.lit(LOST)) | (F.length("form") >= 2))) | frequent
+    known = pairs.where(alone)
+    agreed = scratch.write(agreed_pairs(units, pairs), "agreed")
+    # What is settled by itself, or the other way round by another text, isn't settled by agreement.
+    reverse = known.select("form", "original").union(agreed).select(F.col("original").alias("form"), F.col("form").alias("original")).distinct()
+    new = pairs.where(~alone).join(agreed, ["form", "original"], "left_semi").join(reverse, ["form", "original"], "left_anti")
+    return known.unionByName(new.select(*known.columns))
 
 
 def best_originals(pairs: DataFrame) -> DataFrame:
     """One verified original per garbled unit; a unit that is itself garbled is nobody's original."""
     garbled = pairs.select(F.col("form").alias("original")).distinct()
     verified = pairs.join(garbled, "original", "left_anti")
-    best = F.max_by(F.struct("original", "chain"), F.struct("original_docs", F.xxhash64("original")))
+    best = F.max_by(F.struct("original", "chain"), F.struct("original_texts", F.xxhash64("original")))
     return verified.groupBy("form").agg(best.alias("b")).select(F.col("form").alias("unit"), "b.original", "b.chain")
 
 

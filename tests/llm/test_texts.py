@@ -138,6 +138,23 @@ def test_eight_bit_pairs_need_a_frequent_original(spark):
     assert {r.doc_id: r.restored for r in mojibake.restored_documents(df).collect()}[20_000] == "    Исправить обработку"
 
 
+def test_eight_bit_copies_count_once(spark):
+    clean, _ = corpus("lost")
+    clean = [(k, f"{t} {k}") for k, t in clean]
+    copies = [(20_000 + i, "    Исправить обработку".encode("koi8_r").decode("cp1251")) for i in range(40)]
+    df = spark.createDataFrame([*clean, *copies], "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == {k for k, _ in copies}
+
+
+def test_eight_bit_words_agree(spark):
+    said = {1: "    Исправить обработку ошибок", 2: "    źródło wątek błędów", 3: "    Διόρθωση σφαλμάτων ουράς", 4: "    não déjà – 5 ───"}
+    bad = {11: said[1].encode("cp1251").decode("koi8_r"), 12: said[2].encode("cp1250").decode("cp1252"), 13: said[3].encode("cp1253").decode("cp1251")}
+    df = spark.createDataFrame([*said.items(), *bad.items()], "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == set(bad)
+    restored = {r.doc_id: r.restored for r in mojibake.restored_documents(df).collect()}
+    assert restored == {k: said[k - 10] for k in bad}
+
+
 def test_garbled_on_purpose(spark):
     clean = [(k, "    año déjà\n    NÃO SÃO Â LA CARTE ├── src") for k in range(9)]
     mend = "diff --git a b\n@@ -1 +1 @@\n-x = 'aÃ±o'\n+x = 'año'\n"
