@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.similarity import hash_uniform, log_scale, pearson, sample_probability, similarity_score
 from ..scratch import Scratch
 
+# Ratings of a user that one task pairs with all others of that user.
+BLOCK = 1024
+
 
 def item_counts(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("item").agg(F.count(F.lit(1)).alias("item_count"))
@@ -44,13 +47,17 @@ def pair_sums(rows: DataFrame, duplicates: str = "sum") -> DataFrame:
     """(item_x, item_y, n, sums) over all users who rated both, x before y as text."""
     if duplicates == "pairwise":
         rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("user", "item").orderBy("rating")))
-    a, b = rows.alias("a"), rows.alias("b")
     before = F.col("a.item") < F.col("b.item")
     if duplicates == "pairwise":
         before = before | ((F.col("a.item") == F.col("b.item")) & (F.col("a.copy") < F.col("b.copy")))
     x, y = F.col("a.rating").cast("double"), F.col("b.rating").cast("double")
+    # A user with many ratings has one side spread over blocks, and the other copied to each of them.
+    hot = user_counts(rows).select("user", F.ceil(F.col("user_count") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(hot, "user", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = rows.withColumn("block", F.pmod(F.xxhash64("item", "rating"), F.col("blocks")).cast("int")).alias("a")
+    b = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
     # Items keep their own type in the large join; only the pairs left are put in the order of their text.
-    sums = a.join(b, (F.col("a.user") == F.col("b.user")) & before).groupBy(F.col("a.item").alias("p"), F.col("b.item").alias("q")).agg(
+    sums = a.join(b, (F.col("a.user") == F.col("b.user")) & (F.col("a.block") == F.col("b.block")) & before).groupBy(F.col("a.item").alias("p"), F.col("b.item").alias("q")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(x * x).alias("spp"), F.sum(x).alias("sp"), F.sum(x * y).alias("sxy"), F.sum(y).alias("sq"), F.sum(y * y).alias("sqq"))
     ordered = F.col("p").cast("string") <= F.col("q").cast("string")
     pick = lambda one, other: F.when(ordered, F.col(one)).otherwise(F.col(other))
@@ -60,11 +67,11 @@ def pair_sums(rows: DataFrame, duplicates: str = "sum") -> DataFrame:
     )
 
 
-def item_similarity(ratings: DataFrame, *, scale: str = "log", cutoff: float, n_users: int, seed: int = 42, duplicates: str = "sum") -> DataFrame:
-    """(item_x, item_y, sim, n), each pair once. With a cutoff of at least every user's or item's count nothing is sampled."""
+def item_similarity(ratings: DataFrame, *, scale: str = "log", cutoff: float | None, n_users: int, seed: int = 42, duplicates: str = "sum") -> DataFrame:
+    """(item_x, item_y, sim, n), each pair once. Without a cutoff, or with one of at least every user's or item's count, nothing is sampled."""
     # Counts and both sides of the pair join read the scaled ratings, so these are made once.
     rows = Scratch(ratings.sparkSession).write(scaled(ratings, scale, duplicates), "ratings")
-    sums = pair_sums(sampled(rows, cutoff, seed), duplicates)
+    sums = pair_sums(rows if cutoff is None else sampled(rows, cutoff, seed), duplicates)
     r = pearson(*(F.col(c) for c in ("sxx", "sx", "sxy", "sy", "syy", "n")))
     return sums.select("item_x", "item_y", similarity_score(r, F.col("n"), n_users).alias("sim"), "n")
 

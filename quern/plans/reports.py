@@ -13,7 +13,7 @@ from ..scratch import Scratch
 from ..streaming import volumes
 
 PERIOD = ("2009-03-01-00-00", "2009-04-01-00-00")
-CUTOFF, N_USERS, MIN_CORATINGS, K_RELATED = 128, 147160, 5, 25
+N_USERS, MIN_CORATINGS, K_RELATED = 147160, 5, 25
 READ_LEN, K_DIFFS, KMER = 32, 1, 6
 
 
@@ -258,7 +258,7 @@ def user_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return related.item_similarity(ratings(spark, d), scale="log", cutoff=CUTOFF, n_users=N_USERS)
+    return related.item_similarity(ratings(spark, d), scale="log", cutoff=None, n_users=N_USERS)
 
 
 @query(f"SELECT item_x, item_y, n, round(sim, 6) AS sim FROM {_PAIRS}")

@@ -137,6 +137,16 @@ def test_item_similarity_brute_force(spark):
     assert again == {(r.item_x, r.item_y): r.sim for r in related.item_similarity(df, cutoff=5, n_users=500).collect()}
 
 
+def test_no_ratings_are_dropped_above_the_cutoff(spark, tmp_path, monkeypatch):
+    """A customer with 200 suppliers and suppliers with 150 customers, through the registered query."""
+    monkeypatch.setattr(related, "BLOCK", 64, raising=False)
+    bought = [(u, i, 1 + (7 * u + 3 * i) % 50) for u in range(150) for i in range(200 if u == 0 else 60)]
+    frame(spark, [(u, u) for u in range(150)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    frame(spark, bought, "l_orderkey bigint, l_suppkey bigint, l_quantity bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = reports.item_similarity(spark, str(tmp_path)).agg(F.count(F.lit(1)), F.sum("n")).first()
+    assert tuple(got) == (200 * 199 // 2, 200 * 199 // 2 + 149 * (60 * 59 // 2))
+
+
 def test_postings_and_related(spark):
     data = [("17", "70", 3), ("35", "21", 1), ("49", "19", 2), ("49", "21", 1), ("49", "70", 4), ("87", "19", 1), ("87", "21", 2), ("98", "19", 2)]
     df = frame(spark, data, "user string, item string, rating bigint")
