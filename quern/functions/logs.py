@@ -49,9 +49,10 @@ def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def typed_access(logs: DataFrame) -> DataFrame:
-    """Adds ``dtime`` and ``bytes`` to rows that hold the nine fields; '-' counts as 0 bytes, and what isn't a number of up to 15 digits is null."""
+    """Adds ``dtime`` and ``bytes`` to rows that hold the nine fields; '-' counts as 0 bytes, and what isn't a
+    number that a bigint can hold is null."""
     size = F.replace("bytes_string", F.lit("-"), F.lit("0"))
-    return logs.withColumns({"dtime": F.try_to_timestamp("time", F.lit(ACCESS_TIME)), "bytes": F.when(size.rlike(r"\A[0-9]{1,15}\z"), size.cast("bigint"))})
+    return logs.withColumns({"dtime": F.try_to_timestamp("time", F.lit(ACCESS_TIME)), "bytes": F.when(size.rlike(r"\A[0-9]+\z"), size.try_cast("bigint"))})
 
 
 def without_comments(lines: DataFrame, line_col: str = "line") -> DataFrame:

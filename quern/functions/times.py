@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The largest whole second of a timestamp, which holds microseconds in 64 bits.
+LAST_SECOND = ((1 << 63) - 1) // 1_000_000
+
+
 def time_bucket(ts: Column, seconds: int) -> Column:
     """Start of the bucket that holds a timestamp; buckets are aligned to 1970, also before it."""
     s = F.unix_seconds(ts)
@@ -17,14 +21,15 @@ def bucket_name(ts: Column) -> Column:
 
 
 def whole_ms(c: Column) -> Column:
-    """Milliseconds given as text of up to 15 digits, spaces and tabs around them aside; else null."""
+    """Milliseconds given as text of digits, spaces and tabs around them aside; null for other text and beyond a bigint."""
     t = F.btrim(c.cast("string"), F.lit(" \t"))
-    return F.when(t.rlike(r"\A[0-9]{1,15}\z"), t.cast("bigint"))
+    return F.when(t.rlike(r"\A[0-9]+\z"), t.try_cast("bigint"))
 
 
 def ms_to_text(ms: Column) -> Column:
-    """'yyyy-MM-dd HH:mm:ss' of milliseconds since 1970 given as text; null if they are no number."""
-    return F.date_format(F.timestamp_seconds(F.floor(whole_ms(ms) / 1000)), "yyyy-MM-dd HH:mm:ss")
+    """'yyyy-MM-dd HH:mm:ss' of milliseconds since 1970 given as text; null if they are no number or no timestamp reaches so far."""
+    s = F.call_function("div", whole_ms(ms), F.lit(1000))
+    return F.date_format(F.timestamp_seconds(F.when(s <= LAST_SECOND, s)), "yyyy-MM-dd HH:mm:ss")
 
 
 def hour_of_day(ts: Column) -> Column:

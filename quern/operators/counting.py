@@ -26,5 +26,10 @@ def token_count(df: DataFrame, text: str, prefix: str, anywhere: bool = False) -
 
 
 def totals(df: DataFrame, key: Column, name: str, **sums: str) -> DataFrame:
-    """Rows and sums per key; a null key is a group of its own. ``sums``: result name = column."""
-    return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("num_requests"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    """Rows and sums per key; a null key is a group of its own. ``sums``: result name = column of whole numbers, whose
+    sums are decimals, as a few of the largest bigints add up to more than a bigint holds."""
+    return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("num_requests"), *(whole_sum(c).alias(k) for k, c in sums.items()))
+
+
+def whole_sum(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(20,0)")).cast("decimal(38,0)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import logs as L
 from ..functions.text import full_match
 from ..functions.times import bucket_name, hour_of_day, time_bucket
-from .counting import top, totals
+from .counting import top, totals, whole_sum
 
 # Fixed value: referrers of the site itself, which the external list leaves out.
 OWN_HOST = r".*example\.org"
@@ -58,7 +58,7 @@ def field_report(logs: DataFrame, field: str) -> dict[str, DataFrame]:
     """Requests, bytes, and requests by response code of each value of a field, largest first, all keys descending."""
     per = logs.groupBy(field)
     count = per.agg(F.count(F.lit(1)).alias("RequestCount")).orderBy(F.desc("RequestCount"), F.desc(field))
-    size = per.agg(F.sum("Bytes").alias("TotalBytes")).orderBy(F.desc("TotalBytes"), F.desc(field))
+    size = per.agg(whole_sum("Bytes").alias("TotalBytes")).orderBy(F.desc("TotalBytes"), F.desc(field))
     split = logs.groupBy(field, "HTTPResponse").agg(F.count(F.lit(1)).alias("RequestCount")).orderBy(F.desc("RequestCount"), F.desc("HTTPResponse"), F.desc(field))
     return {"request-count": count, "bytes-transferred": size, "request-count-by-httpresponse": split}
 
@@ -68,7 +68,7 @@ def volume_report(logs: DataFrame, bucket_seconds: int = 300) -> dict[str, DataF
     rows = logs.where("ts is not null").withColumn("BucketedDateTime", bucket_name(time_bucket(F.col("ts"), bucket_seconds)))
     per = rows.groupBy("BucketedDateTime")
     count = per.agg(F.count(F.lit(1)).alias("RequestCount")).orderBy("BucketedDateTime")
-    size = per.agg(F.sum("Bytes").alias("TotalBytes")).orderBy("BucketedDateTime")
+    size = per.agg(whole_sum("Bytes").alias("TotalBytes")).orderBy("BucketedDateTime")
     split = rows.groupBy("BucketedDateTime", "HTTPResponse").agg(F.count(F.lit(1)).alias("RequestCount")).orderBy("BucketedDateTime", "HTTPResponse")
     return {"request-count": count, "bytes-transferred": size, "request-count-by-httpresponse": split}
 

@@ -81,7 +81,7 @@ def _access(spark: SparkSession, d: str) -> DataFrame:
 
 _LINE = r"""'^(\S+) (\S+) (\S+) \[([\w:/]+\s[+\-]\d{4})\] "(.+?)" (\S+) (\S+) "([^"]*)" "([^"]*)"'"""
 _WHOLE = lambda c: f"CASE WHEN regexp_full_match({c}, '[+-]?[0-9]+') THEN try_cast({c} AS BIGINT) END"
-_ACCESS = f"""(SELECT *, CASE WHEN regexp_full_match(replace(bytes_string, '-', '0'), '[0-9]{{1,15}}') THEN replace(bytes_string, '-', '0')::BIGINT END AS bytes,
+_ACCESS = f"""(SELECT *, CASE WHEN regexp_full_match(replace(bytes_string, '-', '0'), '[0-9]+') THEN try_cast(replace(bytes_string, '-', '0') AS BIGINT) END AS bytes,
     CASE WHEN regexp_full_match("time", '[0-9]{{2}}/[A-Za-z]{{3}}/[0-9]{{4}}:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{{4}}')
       THEN try_strptime("time"[:20], '%d/%b/%Y:%H:%M:%S') - (CASE WHEN "time"[22] = '-' THEN -1 ELSE 1 END) * ("time"[23:24]::INTEGER * 60 + "time"[25:26]::INTEGER) * INTERVAL 1 MINUTE END AS dtime
   FROM (SELECT "remoteAddr", "time", request, status, bytes_string, referrer FROM logs_base UNION ALL
@@ -94,8 +94,13 @@ def access_bad_lines(spark: SparkSession, d: str) -> DataFrame:
     return log_reports.bad_lines(L.parse_access(table(spark, d, "raw_logs")))
 
 
+def _as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Sums beyond a bigint as text, which compares exactly everywhere."""
+    return df.withColumns({c: F.col(c).cast("string") for c in names if c in df.columns})
+
+
 def _access_report(name: str):
-    return lambda spark, d: log_reports.access_log_reports(_access(spark, d))[name]
+    return lambda spark, d: _as_text(log_reports.access_log_reports(_access(spark, d))[name], "num_bytes")
 
 
 QUERIES |= {
@@ -105,8 +110,8 @@ QUERIES |= {
     "access_top_search_terms": _access_report("top_50_search_terms_from_bing_google"),
 }
 ORACLE |= {
-    "access_hourly_traffic": f"SELECT strftime(dtime, '%H') AS hour, count(*) AS num_requests, sum(bytes)::BIGINT AS num_bytes FROM {_ACCESS} WHERE dtime IS NOT NULL GROUP BY 1",
-    "access_top_blocks": f"""SELECT regexp_extract("remoteAddr", '(\\d+\\.\\d+\\.\\d+)', 1) || '.*' AS block, count(*) AS num_requests, sum(bytes)::BIGINT AS num_bytes
+    "access_hourly_traffic": f"SELECT strftime(dtime, '%H') AS hour, count(*) AS num_requests, sum(bytes)::HUGEINT::VARCHAR AS num_bytes FROM {_ACCESS} WHERE dtime IS NOT NULL GROUP BY 1",
+    "access_top_blocks": f"""SELECT regexp_extract("remoteAddr", '(\\d+\\.\\d+\\.\\d+)', 1) || '.*' AS block, count(*) AS num_requests, sum(bytes)::HUGEINT::VARCHAR AS num_bytes
       FROM {_ACCESS} WHERE regexp_matches("remoteAddr", '\\d+\\.\\d+\\.\\d+') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
     "access_top_referrers": f"""SELECT host AS referrer, count(*) AS num_requests FROM (SELECT regexp_extract(referrer, '(http://[a-z0-9.-]+)', 1) AS host FROM {_ACCESS}
       WHERE regexp_matches(referrer, 'http://[a-z0-9.-]+')) WHERE NOT regexp_full_match(host, '.*example\\.org') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
@@ -114,7 +119,8 @@ ORACLE |= {
       WHERE (referrer LIKE '%bing%' OR referrer LIKE '%google%') AND regexp_matches(referrer, '.*[&?]q=([^&]+).*') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
 }
 
-_CDN_OK = r"""regexp_full_match({time}, '[0-9]{{2}}/Mar/2009:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{{4}}') AND regexp_full_match({addr}, '[^ \t]+') AND regexp_full_match(request, '[A-Z]+ [^ \t]+ [^ \t]+') AND status IS NOT NULL AND browser IS NOT NULL"""
+_CDN_OK = r"""regexp_full_match("time", '[0-9]{2}/(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)/[0-9]{4}:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{4}') AND regexp_full_match("remoteAddr", '[^ \t]+')
+    AND regexp_full_match(request, '[A-Z]+ [^ \t]+ [^ \t]+') AND status IS NOT NULL AND browser IS NOT NULL"""
 
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -127,7 +133,7 @@ def cdn_lines(base: DataFrame) -> DataFrame:
     call = F.split("request", " ")
     month = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02}")))[F.substring("time", 4, 3)]
     date = F.concat_ws("-", F.substring("time", 8, 4), month, F.substring("time", 1, 2))
-    size = F.when(F.col("bytes_string").rlike(r"\A[0-9]{1,18}\z"), F.col("bytes_string")).otherwise("0")
+    size = F.when(F.col("bytes_string").rlike(r"\A[0-9]+\z"), F.col("bytes_string")).otherwise("0")
     fields = [date, F.substring("time", 13, 8), F.concat(F.lit("EDGE"), F.length("remoteAddr").cast("string")), size, F.col("remoteAddr"), call[0], F.lit("d1.example.net"), call[1], F.col("status").cast("string"), F.lit("-"), F.col("browser")]
     line = F.array_join(F.array(*fields), "\t")
     lines = F.when(F.pmod("log_id", F.lit(1000)) == 0, F.array(F.lit("#Version: 1.0"), line)).otherwise(F.array(line))
@@ -135,15 +141,15 @@ def cdn_lines(base: DataFrame) -> DataFrame:
 
 
 def _cdn_report(name: str):
-    return lambda spark, d: log_reports.cdn_reports(L.parse_cdn(cdn_lines(table(spark, d, "logs_base"))))[name]
+    return lambda spark, d: _as_text(log_reports.cdn_reports(L.parse_cdn(cdn_lines(table(spark, d, "logs_base"))))[name], "TotalBytes")
 
 
-_CDN = f"""(SELECT try_strptime('2009-03-' || "time"[1:2] || ' ' || "time"[13:20], '%Y-%m-%d %H:%M:%S') AS ts, 'EDGE' || length("remoteAddr") AS "EdgeLocation", CASE WHEN regexp_full_match(bytes_string, '[0-9]{{1,18}}') THEN bytes_string::BIGINT ELSE 0 END AS "Bytes",
-    "remoteAddr" AS "IP", split_part(request, ' ', 2) AS "Object", status::VARCHAR AS "HTTPResponse" FROM logs_base WHERE log_id % 1000 <> 0 AND {_CDN_OK.format(time='"time"', addr='"remoteAddr"')})"""
+_CDN = f"""(SELECT try_strptime("time"[:20], '%d/%b/%Y:%H:%M:%S') AS ts, 'EDGE' || length("remoteAddr") AS "EdgeLocation", CASE WHEN regexp_full_match(bytes_string, '[0-9]+') THEN try_cast(bytes_string AS BIGINT) ELSE 0 END AS "Bytes",
+    "remoteAddr" AS "IP", split_part(request, ' ', 2) AS "Object", status::VARCHAR AS "HTTPResponse" FROM logs_base WHERE {_CDN_OK})"""
 _BUCKET = "strftime(make_timestamp(epoch_us(ts) // 300000000 * 300000000), '%Y-%m-%d %H:%M:%S') AS \"BucketedDateTime\""
 for _report, _field in log_reports.CDN_REPORTS.items():
     _key = f'"{_field}"' if _field else _BUCKET
-    for _measure, _more, _what in (("request-count", "", 'count(*) AS "RequestCount"'), ("bytes-transferred", "", 'sum("Bytes")::BIGINT AS "TotalBytes"'), ("request-count-by-httpresponse", ', "HTTPResponse"', 'count(*) AS "RequestCount"')):
+    for _measure, _more, _what in (("request-count", "", 'count(*) AS "RequestCount"'), ("bytes-transferred", "", 'sum("Bytes")::HUGEINT::VARCHAR AS "TotalBytes"'), ("request-count-by-httpresponse", ', "HTTPResponse"', 'count(*) AS "RequestCount"')):
         _name = f"cdn_{_report}_{_measure}".replace("-", "_")
         QUERIES[_name] = _cdn_report(f"{_report}-{_measure}")
         ORACLE[_name] = f"SELECT {_key}{_more}, {_what} FROM {_CDN} {'' if _field else 'WHERE ts IS NOT NULL'} GROUP BY 1{', 2' if _more else ''}"
@@ -156,7 +162,7 @@ def _joined(spark: SparkSession, d: str, **how) -> DataFrame:
     return ads.click_join(table(spark, d, "impressions"), table(spark, d, "clicks"), *PERIOD, "2009-04-01-00-20", **how)
 
 
-_MS = "CASE WHEN regexp_full_match(trim(\"requestBeginTime\", ' ' || chr(9)), '[0-9]{1,15}') THEN strftime(make_timestamp(trim(\"requestBeginTime\", ' ' || chr(9))::BIGINT // 1000 * 1000000), '%Y-%m-%d %H:%M:%S') END AS \"requestBeginTime\""
+_MS = "CASE WHEN regexp_full_match(trim(\"requestBeginTime\", ' ' || chr(9)), '[0-9]+') THEN strftime(make_timestamp(trim(\"requestBeginTime\", ' ' || chr(9))::BIGINT // 1000 * 1000000), '%Y-%m-%d %H:%M:%S') END AS \"requestBeginTime\""
 _JOIN = f"""(SELECT i.* EXCLUDE dt, c.id IS NOT NULL AS clicked FROM (SELECT {_MS}, "adId", "impressionId", referrer, "userAgent", "userCookie", ip, dt FROM impressions WHERE dt > '{PERIOD[0]}' AND dt < '{PERIOD[1]}') i
   LEFT JOIN (SELECT {{0}} "impressionId" AS id FROM clicks WHERE "impressionId" IS NOT NULL AND dt > '{PERIOD[0]}' AND dt < '2009-04-01-00-20') c ON i."impressionId" = c.id)"""
 
