@@ -11,10 +11,11 @@ import csv
 import datetime as dt
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The layout's month names and the largest byte count.
@@ -127,8 +128,30 @@ def loaded(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason is null").drop("reason")
 
 
-def loaded_row_fault(status: Column, bytes_string: Column) -> Column:
-    """Why an already loaded row can't be right: bad_status, bad_bytes, or null. Values are taken untrimmed."""
-    digits = F.regexp_replace(bytes_string, r"\A0+", "")
-    fits = bytes_string.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 19) & (F.coalesce(digits.try_cast("decimal(20,0)"), F.lit(0)) <= F.lit(MAX_BYTES))
-    return F.when(status.isNull() | ~status.between(100, 599), "bad_status").when(bytes_string.isNull() | ~((bytes_string == "-") | fits), "bad_bytes")
+def _refused(construct: Callable, values: pa.Array) -> np.ndarray:
+    """Which values a typed constructor refuses; each distinct value is tried once a batch, null is refused."""
+    coded = values.dictionary_encode()
+    bad = np.ones(len(coded.dictionary) + 1, dtype=bool)
+    for i, x in enumerate(coded.dictionary.to_pylist()):
+        try:
+            construct(str(x))
+            bad[i] = False
+        except BadField:
+            pass
+    return bad[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+
+
+def check_loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_id, status, bytes_string) batches to the (row_id, reason) of rows whose fields the typed constructors refuse."""
+    for batch in batches:
+        status, size = _refused(status_of, batch.column(1)), _refused(bytes_of, batch.column(2))
+        reason = np.where(status, "bad_status", "bad_bytes").astype(object)
+        either = pa.array(status | size)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(either), pa.array(reason, pa.string()).filter(either)], ["row_id", "reason"])
+
+
+def rejected_loaded(rows: DataFrame, id_col: str = "log_id") -> DataFrame:
+    """(row_id, reason) of already loaded rows that can't be right: bad_status, else bad_bytes. Their ``status`` and
+    ``bytes_string`` go, untrimmed, through the constructors that parsed lines go through; nulls are refused.
+    Rows are independent of each other; an empty table gives no rows."""
+    return rows.select(F.col(id_col).cast("bigint").alias("row_id"), F.col("status").cast("int"), "bytes_string").mapInArrow(check_loaded, "row_id bigint, reason string")

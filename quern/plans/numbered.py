@@ -29,8 +29,7 @@ def p1_orphans_by_period(spark: SparkSession, d: str) -> DataFrame:
 
 def _faults(spark: SparkSession, d: str) -> DataFrame:
     raw = badrows.rejected(badrows.parse_access_lines(table(spark, d, "raw_logs"))).select(F.lit("raw_logs").alias("src"), "row_id", "reason")
-    base = table(spark, d, "logs_base").select(F.lit("logs_base").alias("src"), F.col("log_id").alias("row_id"), badrows.loaded_row_fault(F.col("status"), F.col("bytes_string")).alias("reason"))
-    return raw.unionByName(base.where("reason is not null"))
+    return raw.unionByName(badrows.rejected_loaded(table(spark, d, "logs_base")).select(F.lit("logs_base").alias("src"), "row_id", "reason"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +102,20 @@ _BASE_OK = """status IS NOT NULL AND status BETWEEN 100 AND 599 AND bytes_string
 _P2 = f"""
   SELECT 'raw_logs' AS src, line_no AS row_id FROM ({_RAW}) WHERE NOT coalesce(ok, false)
   UNION ALL SELECT 'logs_base', log_id FROM logs_base WHERE NOT ({_BASE_OK})"""
+# The first reason in the order of parsing. The quoted rest must read as fields of csv: quoted, or bare without a leading quote.
+_BARE = r'[^ \t\r\n\f\v]+'
+_CSV = r'"(?:[^"\\]|\\.|"")*"|(?:[^" \\\r]|\\.)(?:[^ \\\r]|\\.)*|'
+_PLAIN = r"regexp_replace(CASE WHEN {0}[1] = '\"' THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END, '\\(.)', '\1', 'gs')".replace('\\"', '"')
+_REASONS = f"""
+  SELECT CASE WHEN line IS NULL THEN 'null_line' WHEN strpos(line, chr(10)) > 0 THEN 'embedded_newline'
+    WHEN NOT regexp_matches(l, '^[^ ]* [^ ]* [^ ]* ') THEN 'field_count' WHEN NOT regexp_matches(l, '^{_BARE} {_BARE} {_BARE} ') THEN 'spacing'
+    WHEN strpos(t, ']') = 0 OR t[1] <> '[' THEN 'bad_time' WHEN r[1] <> ' ' OR r = '' THEN 'spacing'
+    WHEN NOT regexp_full_match(r[2:], '(?:{_CSV})(?: (?:{_CSV}))*', 's') THEN 'quoting' WHEN NOT regexp_full_match(r[2:], '(?:{_CSV})(?: (?:{_CSV})){{4}}', 's') THEN 'field_count'
+    WHEN NOT regexp_full_match(t[2:strpos(t, ']') - 1], '{_STAMP}') OR try_strptime(t[2:21], '%d/%b/%Y:%H:%M:%S') IS NULL THEN 'bad_time'
+    WHEN f[1] = '' THEN 'empty_request' WHEN NOT regexp_full_match(f[2], '[1-5][0-9][0-9]') THEN 'bad_status'
+    WHEN f[3] <> '-' AND NOT (regexp_full_match(f[3], '[0-9]+') AND coalesce(try_cast(f[3] AS HUGEINT) <= 9223372036854775807, false)) THEN 'bad_bytes' WHEN NOT coalesce(ok, false) THEN 'layout' END AS reason
+  FROM (SELECT *, list_transform(range(1, 6), lambda i: {_PLAIN.format('g[i]')}) AS f FROM (SELECT *, list_value({', '.join(f"regexp_extract(r[2:], '^({_CSV}) ({_CSV}) ({_CSV}) ({_CSV}) ({_CSV})$', {i}, 's')" for i in range(1, 6))}) AS g
+    FROM (SELECT *, t[strpos(t, ']') + 1:] AS r FROM (SELECT *, regexp_replace(l, '^[^ ]* [^ ]* [^ ]* ', '') AS t FROM (SELECT raw_logs.line, w.line AS l, w.ok FROM raw_logs JOIN ({_RAW}) w USING (line_no))))))"""
 _FIRSTS = f"""
   imp AS (SELECT {_ID.format('impressionId')} AS id, min(dt) AS dt,
       min(CASE WHEN regexp_full_match(trim(requestBeginTime, ' ' || chr(9)), '[0-9]{{13}}') THEN trim(requestBeginTime, ' ' || chr(9))::BIGINT // 3600000 END) AS h
@@ -122,6 +135,8 @@ ORACLE = {
     "p1_found": f"SELECT src, id AS impression_id, period FROM ({_CLICK_ORPHAN} UNION ALL {_JOINED_ORPHAN})",
     "p1_orphans_by_period": f"SELECT src, period, reason, count(*) AS n_ids, sum(n)::BIGINT AS n_refs FROM ({_CLICK_ORPHAN} UNION ALL {_JOINED_ORPHAN}) GROUP BY 1, 2, 3",
     "p2_found": _P2,
+    "p2_rejects_by_reason": f"""SELECT 'raw_logs' AS src, reason, count(*) AS n_rows FROM ({_REASONS}) WHERE reason IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'logs_base', CASE WHEN coalesce(status BETWEEN 100 AND 599, false) THEN 'bad_bytes' ELSE 'bad_status' END, count(*) FROM logs_base WHERE NOT ({_BASE_OK}) GROUP BY 2""",
     "p2_loaded": f"""
       SELECT line_no AS row_id, g[1] AS "remoteAddr", g[2] AS "remoteLogname", g[3] AS "user", g[4] AS time, regexp_replace(g[5], '\\\\(.)', '\\1', 'gs') AS request,
         g[6]::INTEGER AS status, g[7] AS bytes_string, regexp_replace(g[8], '\\\\(.)', '\\1', 'gs') AS referrer, regexp_replace(g[9], '\\\\(.)', '\\1', 'gs') AS browser,

@@ -107,8 +107,10 @@ def test_bad_lines(spark):
 def test_loaded_row_faults(spark):
     cases = [(200, "1", None), (200, "-", None), (200, "9223372036854775807", None), (200, "000000000000000000009", None), (99, "1", "bad_status"), (600, "1", "bad_status"), (None, "1", "bad_status"), (200, None, "bad_bytes"),
              (200, "", "bad_bytes"), (200, "9223372036854775808", "bad_bytes"), (200, "-1", "bad_bytes"), (200, " 5", "bad_bytes"), (200, "5\n", "bad_bytes"), (200, "٣", "bad_bytes"), (200, "9" * 60, "bad_bytes")]
-    df = spark.createDataFrame(cases, "status int, b string, want string").withColumn("got", badrows.loaded_row_fault(F.col("status"), F.col("b")))
-    assert [(r.status, r.b) for r in df.collect() if r.got != r.want] == []
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "log_id bigint, status int, bytes_string string, reason string")
+    got = badrows.rejected_loaded(df)
+    assert rows(got) == sorted(((i, c[2]) for i, c in enumerate(cases) if c[2]), key=repr)
+    assert badrows.rejected_loaded(df.limit(0)).count() == 0
 
 
 HOUR0 = 343656  # 2009-03-16 00:00 as hours since 1970
