@@ -1,23 +1,27 @@
-"""Late and out-of-order events: K-slack reordering with provisional and final figures.
+"""Late and out-of-order events: K-slack reordering with provisional, corrected and running figures.
 
 A delivery belongs to an event hour and arrives in a later slot. The hour is published a while after
-it starts (provisional) and closed much later (final). Each task reads its deliveries by arrival,
-keeps them in a buffer until the lateness bound - the clock has passed their hour's closing - and
-releases them sorted by event time to the final aggregation; when the clock passes an hour's
-publication, the buffer's count for it goes out as provisional. What arrives after closing is counted
-as dropped. Repeated deliveries are reduced to the first one before the shuffle.
-
-The buffer of a task holds the deliveries of at most one lateness bound of arrivals, so its size
-follows the arrival rate of a partition, not the length of the table.
+it starts (provisional) and closed much later (final). Each task reads its deliveries by arrival and
+keeps them, hour by hour, in a buffer. When the clock passes an hour's publication, what its buffer
+holds is counted and published; when the clock passes its closing - the lateness bound - the hour leaves
+the buffer, sorted by arrival, for the final aggregation. That one depends on the order: the first
+delivery of an id decides whether the id was on time or corrects what was published, later ones are
+repeats, and each release step adds what is new to the hour's running figures. What arrives after closing
+counts as dropped. Repeats of an id in one slot are reduced to one row before the shuffle.
+
+An hour's deliveries are held once and looked at twice, at its publication and at its closing. A task
+holds the deliveries of at most one lateness bound of arrivals, so the size of its buffer follows the arrival rate
+of a partition, not the length of the table; ids, not hours, are spread over tasks, so one hour may hold any share of the rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import begin_ms, clean_id, hour_name, hour_slot, slot_minutes, slot_number
@@ -27,109 +31,129 @@ CLOSE_MINUTES = 25 * 60
 RELEASED = "src string, id string, evhour bigint, arrival bigint, phase string, provisional bigint, final bigint, dropped bigint"
 
 
-def first_deliveries(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
-    """One row per id: ``evhour`` (hours since 1970 of its valid begin time, else null) and the
-    earliest arrival (minutes since 1970) of its impressions and of its clicks, null where there is none.
+def id_arrivals(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
+    """One row per id: ``evhour`` (hours since 1970 of its valid begin time, else null) and the sorted distinct
+    arrivals (minutes since 1970) of its impressions and of its clicks, empty where there are none.
 
-    Rows without an id and arrivals that are no ``yyyy-MM-dd-HH-mm`` count as nothing delivered.
+    Rows without an id and arrivals that are no ``yyyy-MM-dd-HH-mm`` count as nothing delivered. An id has at
+    most one entry for every slot of time, however many rows it has.
     """
     none = F.lit(None).cast("bigint")
     ident, arrival = clean_id(F.col("impressionId")).alias("id"), slot_number(F.col("dt"))
     seen = impressions.select(ident, begin_ms(F.col("requestBeginTime")).alias("ms"), arrival.alias("imp"), none.alias("clk"), F.lit(True).alias("known"))
     hits = clicks.select(ident, none.alias("ms"), none.alias("imp"), arrival.alias("clk"), F.lit(False).alias("known"))
-    per_id = seen.unionByName(hits).where("id is not null").groupBy("id").agg(*(F.min(c).alias(c) for c in ("ms", "imp", "clk")), F.max("known").alias("known"))
-    return per_id.select("id", "known", F.floor(F.col("ms") / 3_600_000).cast("bigint").alias("evhour"), slot_minutes(F.col("imp")).alias("imp_at"), slot_minutes(F.col("clk")).alias("clk_at"))
+    per_id = seen.unionByName(hits).where("id is not null").groupBy("id").agg(F.min("ms").alias("ms"), F.max("known").alias("known"), *(F.collect_set(c).alias(c) for c in ("imp", "clk")))
+    minutes = [F.array_sort(F.filter(F.transform(c, slot_minutes), F.isnotnull)).alias(f"{c}_at") for c in ("imp", "clk")]
+    return per_id.select("id", "known", F.floor(F.col("ms") / 3_600_000).cast("bigint").alias("evhour"), *minutes)
 
 
-def deliveries(firsts: DataFrame) -> DataFrame:
-    """(src, id, evhour, arrival) of the first impression and the first click of each id with an event hour."""
-    each = F.explode(F.array(
-        F.struct(F.lit("impressions").alias("src"), F.col("imp_at").alias("arrival")),
-        F.struct(F.lit("clicks").alias("src"), F.col("clk_at").alias("arrival")),
-    )).alias("x")
-    return firsts.where("known and evhour is not null").select("id", "evhour", each).select("x.src", "id", "evhour", "x.arrival").where("arrival is not null")
+def deliveries(ids: DataFrame) -> DataFrame:
+    """(src, id, evhour, arrival, repeat) of every impression and click slot of each id with an event hour; ``repeat``
+    tells whether the id was delivered before."""
+    each = F.explode(F.array(F.struct(F.lit("impressions").alias("src"), F.col("imp_at").alias("at")), F.struct(F.lit("clicks").alias("src"), F.col("clk_at").alias("at")))).alias("x")
+    sides = ids.where("known and evhour is not null").select("id", "evhour", each).select("id", "evhour", "x.src", F.posexplode("x.at").alias("nth", "arrival"))
+    return sides.select("src", "id", "evhour", "arrival", (F.col("nth") > 0).alias("repeat"))
 
 
-def stale_publications(joined: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(src, id, evhour, arrival) of published rows whose ``clicked`` is not true although the id was
-    clicked: the first click's arrival against the hour the row was published under."""
+def stale_publications(joined: DataFrame, ids: DataFrame) -> DataFrame:
+    """(src, id, evhour, arrival, repeat) of published rows whose ``clicked`` is not true although the id was
+    clicked: the clicks' arrivals against the hour the row was published under."""
     rows = joined.where(~F.coalesce(F.col("clicked"), F.lit(False))).select(clean_id(F.col("impressionId")).alias("id"), hour_slot(F.col("day"), F.col("hour")).alias("evhour"))
     rows = rows.where("id is not null and evhour is not null").distinct()
-    clicked = firsts.where("clk_at is not null").select("id", F.col("clk_at").alias("arrival"))
-    return rows.join(clicked, "id").select(F.lit("joined_impressions").alias("src"), "id", "evhour", "arrival")
+    clicked = ids.where("size(clk_at) > 0").select("id", "clk_at")
+    return rows.join(clicked, "id").select("id", "evhour", F.posexplode("clk_at").alias("nth", "arrival")).select(F.lit("joined_impressions").alias("src"), "id", "evhour", "arrival", (F.col("nth") > 0).alias("repeat"))
+
+
+def _first_of_each(src: pa.Array, ident: pa.Array) -> np.ndarray:
+    """Positions of the first row of each (src, id), in order."""
+    s, i = src.dictionary_encode(), ident.dictionary_encode()
+    key = i.indices.to_numpy().astype(np.int64) * len(s.dictionary) + s.indices.to_numpy()
+    return np.sort(np.unique(key, return_index=True)[1])
 
 
 def _k_slack(publish: int, close: int):
+    columns = [x.split(" ")[0] for x in RELEASED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["src", "id", "evhour", "arrival"]
-        buffer = pa.table({"src": pa.array([], pa.string()), "id": pa.array([], pa.string()), "evhour": pa.array([], pa.int64()), "arrival": pa.array([], pa.int64())})
-        published = None  # the clock up to which provisional figures went out
+        buffer: dict[int, list[pa.Table]] = {}
+        due: list[tuple[int, int, int]] = []  # (minute, what, event hour): 0 to publish, 1 to close
 
-        def counts(table: pa.Table, **what: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """One row per (src, evhour) with the sums of the given 0/1 arrays."""
+        def counts(hours: pa.Array, table: pa.Table, what: str, by_arrival: bool = False) -> Iterator[pa.RecordBatch]:
+            """Rows of each (src, event hour), or of each step of arrival of them, under one of the three figures."""
             if not table.num_rows:
                 return
-            sums = table.select(["src", "evhour"])
-            for k in ("provisional", "final", "dropped"):
-                sums = sums.append_column(k, pa.array(what.get(k, np.zeros(table.num_rows)).astype(np.int64)))
-            sums = sums.group_by(["src", "evhour"]).aggregate([(k, "sum") for k in ("provisional", "final", "dropped")])
+            keyed = pa.table({"src": table["src"], "evhour": hours, **({"arrival": table["arrival"]} if by_arrival else {})})
+            sums = keyed.group_by(keyed.column_names).aggregate([([], "count_all")])
             n = sums.num_rows
-            yield from pa.table({"src": sums["src"], "id": pa.nulls(n, pa.string()), "evhour": sums["evhour"], "arrival": pa.nulls(n, pa.int64()), "phase": pa.nulls(n, pa.string()), "provisional": sums["provisional_sum"], "final": sums["final_sum"], "dropped": sums["dropped_sum"]}).to_batches()
-
-        def release(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Final aggregation of what leaves the buffer, sorted by event time and arrival."""
-            if not table.num_rows:
-                return
-            table = table.sort_by([("evhour", "ascending"), ("arrival", "ascending")])
-            start, at = table["evhour"].to_numpy() * 60, table["arrival"].to_numpy()
-            yield from counts(table, final=np.ones(len(at)))
-            late = at >= start + publish
-            phase = pa.array(np.where(late, "correction", "on_time").astype(object), pa.string())
-            keep = pa.array(late | np.asarray(table["src"].to_pandas() == "joined_impressions"))
-            n = table.num_rows
-            out = pa.table({**{c: table[c] for c in names}, "phase": phase, **{c: pa.nulls(n, pa.int64()) for c in ("provisional", "final", "dropped")}})
-            yield from out.filter(keep).to_batches()
-
-        def publish_until(table: pa.Table, clock: int) -> Iterator[pa.RecordBatch]:
-            """Provisional counts, from the buffer, of the hours whose publication the clock has just passed."""
-            nonlocal published
-            start, at = table["evhour"].to_numpy() * 60, table["arrival"].to_numpy()
-            due = (start + publish <= clock) & (at < start + publish)
-            if published is not None:
-                due &= start + publish > published
-            published = clock
-            yield from counts(table.filter(pa.array(due)), provisional=np.ones(int(due.sum())))
+            own = {"src": sums["src"], "evhour": sums["evhour"], "arrival": sums["arrival"] if by_arrival else pa.nulls(n, pa.int64()), what: sums["count_all"]}
+            kinds = {"id": pa.string(), "phase": pa.string()}
+            yield from pa.table({c: own[c] if c in own else pa.nulls(n, kinds.get(c, pa.int64())) for c in columns}).to_batches()
+
+        def held(hour: int) -> pa.Table:
+            """What the buffer has of an hour, in order of arrival, each id once: its first delivery."""
+            whole = pa.concat_tables(buffer[hour]).combine_chunks().sort_by("arrival")
+            buffer[hour] = [whole]
+            return whole.take(pa.array(_first_of_each(whole["src"].combine_chunks(), whole["id"].combine_chunks())))
+
+        def publish_hour(hour: int) -> Iterator[pa.RecordBatch]:
+            table = held(hour)
+            early = table.filter(pa.array(table["arrival"].to_numpy() < hour * 60 + publish))
+            yield from counts(pa.repeat(pa.scalar(hour, pa.int64()), early.num_rows), early, "provisional")
+
+        def close_hour(hour: int) -> Iterator[pa.RecordBatch]:
+            table = held(hour)
+            del buffer[hour]
+            hours = pa.repeat(pa.scalar(hour, pa.int64()), table.num_rows)
+            yield from counts(hours, table, "final", by_arrival=True)
+            late = table["arrival"].to_numpy() >= hour * 60 + publish
+            wrong = late | (table["src"].to_numpy() == "joined_impressions")
+            n = int(wrong.sum())
+            if n:
+                chosen = table.filter(pa.array(wrong))
+                phase = pa.array(np.where(late[wrong], "correction", "on_time").astype(object), pa.string())
+                yield from pa.table({"src": chosen["src"], "id": chosen["id"], "evhour": hours[:n], "arrival": chosen["arrival"], "phase": phase, **{c: pa.nulls(n, pa.int64()) for c in columns[5:]}}).to_batches()
+
+        def turn(clock: int) -> Iterator[pa.RecordBatch]:
+            """Everything that is due when the clock stands there."""
+            while due and due[0][0] <= clock:
+                _, what, hour = heapq.heappop(due)
+                yield from (close_hour if what else publish_hour)(hour)
 
         for batch in batches:
-            fresh = pa.Table.from_batches([batch]).select(names).cast(buffer.schema)
-            start, at = fresh["evhour"].to_numpy() * 60, fresh["arrival"].to_numpy()
-            if not len(at):
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
                 continue
-            over = at >= start + close
-            yield from counts(fresh.filter(pa.array(over)), dropped=np.ones(int(over.sum())))
-            buffer = pa.concat_tables([buffer, fresh.filter(pa.array(~over))]).combine_chunks()
-            clock = int(at[-1])  # arrivals come sorted
-            yield from publish_until(buffer, clock)
-            ripe = buffer["evhour"].to_numpy() * 60 + close <= clock
-            yield from release(buffer.filter(pa.array(ripe)))
-            buffer = buffer.filter(pa.array(~ripe))
-        end = np.iinfo(np.int64).max
-        yield from publish_until(buffer, end)
-        yield from release(buffer)
+            hour, at = table["evhour"].to_numpy(), table["arrival"].to_numpy()
+            over = at >= hour * 60 + close
+            lost = table.filter(pa.array(over & ~table["repeat"].to_numpy()))
+            yield from counts(lost["evhour"], lost, "dropped")
+            order = np.argsort(hour, kind="stable")
+            order = order[~over[order]]
+            fresh = table.select(["src", "id", "arrival"]).take(pa.array(order))
+            hours, starts = np.unique(hour[order], return_index=True)
+            for h, a, b in zip(hours.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                if h not in buffer:
+                    buffer[h] = []
+                    heapq.heappush(due, (h * 60 + publish, 0, h))
+                    heapq.heappush(due, (h * 60 + close, 1, h))
+                buffer[h].append(fresh.slice(a, b - a))
+            yield from turn(int(at[-1]))  # arrivals come sorted
+        yield from turn(np.iinfo(np.int64).max)
 
     return run
 
 
 def k_slack(events: DataFrame, publish_minutes: int = PUBLISH_MINUTES, close_minutes: int = CLOSE_MINUTES) -> DataFrame:
-    """Reorder (src, id, evhour, arrival) and give RELEASED rows of two kinds.
+    """Reorder (src, id, evhour, arrival, repeat), all events of an id in one partition, and give RELEASED rows of two kinds.
 
-    Rows with an id: deliveries that entered before closing and change what was published
+    Rows with an id: ids whose first delivery came before closing and changes what was published
     (phase ``correction``), and for src ``joined_impressions`` also ``on_time`` ones. Rows
-    without: partial counts per src and event hour, to be summed - provisional (arrived before
-    publication), final (before closing) and dropped (after closing). Rows without hour or
+    without: partial counts of ids per src and event hour, to be summed - provisional (arrived before
+    publication), final (before closing, one row per step of arrival) and dropped (only after closing). Rows without hour or
     arrival are left out; ties in arrival are released in any order, which no figure depends on.
     """
-    return events.where("evhour is not null and arrival is not null").sortWithinPartitions("arrival").mapInArrow(_k_slack(publish_minutes, close_minutes), RELEASED)
+    rows = events.where("evhour is not null and arrival is not null").select("src", "id", "evhour", "arrival", F.coalesce("repeat", F.lit(False)).alias("repeat"))
+    return rows.sortWithinPartitions("arrival").mapInArrow(_k_slack(publish_minutes, close_minutes), RELEASED)
 
 
 def corrections(released: DataFrame) -> DataFrame:
@@ -141,4 +165,19 @@ def hourly_figures(released: DataFrame) -> DataFrame:
     """Per event hour: impressions and clicks as published, as corrected, and too late to count."""
     sums = released.where("id is null and src <> 'joined_impressions'").groupBy("evhour")
     each = [F.sum(F.when(F.col("src") == s, F.col(k)).otherwise(0)).alias(f"{s}_{k}") for s in ("impressions", "clicks") for k in ("provisional", "final", "dropped")]
-    return sums.agg(*each).select(hour_name(F.col("evhour")).alias("evhour"), *(c for s in ("impressions", "clicks") for c in (f"{s}_provisional", f"{s}_final", f"{s}_dropped")))
+    figures = [F.coalesce(c, F.lit(0)).alias(c) for c in (f"{s}_{k}" for s in ("impressions", "clicks") for k in ("provisional", "final", "dropped"))]
+    return sums.agg(*each).select(hour_name(F.col("evhour")).alias("evhour"), *figures)
+
+
+def running_figures(released: DataFrame) -> DataFrame:
+    """(evhour, arrival, impressions, clicks, click_rate): an event hour's figures as they stood after each release step.
+
+    ``arrival`` is the step's minute as ``yyyy-MM-dd HH:mm``; the rate is null while there is no impression. An hour has a
+    row for at most every minute from its first delivery to its closing, summed over all tasks before they are put in order.
+    """
+    steps = released.where("id is null and final is not null and src <> 'joined_impressions'").groupBy("evhour", "arrival")
+    new = steps.agg(*(F.sum(F.when(F.col("src") == s, F.col("final")).otherwise(0)).alias(s) for s in ("impressions", "clicks")))
+    so_far = Window.partitionBy("evhour").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    run = new.select("evhour", "arrival", *(F.sum(s).over(so_far).alias(s) for s in ("impressions", "clicks")))
+    rate = F.when(F.col("impressions") > 0, F.col("clicks") / F.col("impressions"))
+    return run.select(hour_name(F.col("evhour")).alias("evhour"), F.date_format(F.timestamp_seconds(F.col("arrival") * 60), "yyyy-MM-dd HH:mm").alias("arrival"), "impressions", "clicks", rate.alias("click_rate"))

@@ -45,10 +45,10 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _released(spark: SparkSession, d: str, published: bool) -> DataFrame:
-    firsts = late.first_deliveries(table(spark, d, "impressions"), table(spark, d, "clicks"))
-    events = late.deliveries(firsts)
+    ids = late.id_arrivals(table(spark, d, "impressions"), table(spark, d, "clicks"))
+    events = late.deliveries(ids)
     if published:
-        events = events.unionByName(late.stale_publications(table(spark, d, "joined_impressions"), firsts))
+        events = events.unionByName(late.stale_publications(table(spark, d, "joined_impressions"), ids))
     return late.k_slack(events)
 
 
@@ -60,6 +60,10 @@ def p3_hourly_figures(spark: SparkSession, d: str) -> DataFrame:
     return late.hourly_figures(_released(spark, d, False))
 
 
+def p3_running_figures(spark: SparkSession, d: str) -> DataFrame:
+    return late.running_figures(_released(spark, d, False))
+
+
 def _visits(spark: SparkSession, d: str) -> DataFrame:
     return sessions.sessions(table(spark, d, "impressions"), present(trimmed(F.col("userCookie"))), begin_ms(F.col("requestBeginTime")))
 
@@ -72,7 +76,7 @@ def p5_visits(spark: SparkSession, d: str) -> DataFrame:
     return _visits(spark, d).withColumnRenamed("key", "userCookie")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_rejects_by_reason, p2_loaded, p3_found, p3_hourly_figures, p5_found, p5_visits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_rejects_by_reason, p2_loaded, p3_found, p3_hourly_figures, p3_running_figures, p5_found, p5_visits)}
 
 _ID = r"nullif(nullif(lower(trim({0}, ' \t')), ''), '-')".replace(r"\t", "' || chr(9) || '")
 _CLICK_ORPHAN = f"""
@@ -151,6 +155,11 @@ ORACLE = {
     "p3_hourly_figures": f"""WITH {_FIRSTS} SELECT {_HOUR} AS evhour, {', '.join(
         f"(count(*) FILTER (src = '{s}' AND {w}))::BIGINT AS {s}_{k}" for s in ('impressions', 'clicks') for k, w in (('provisional', 'arr < h * 60 + 80'), ('final', 'arr < h * 60 + 1500'), ('dropped', 'arr >= h * 60 + 1500')))}
       FROM ev GROUP BY h""",
+    "p3_running_figures": f"""WITH {_FIRSTS} SELECT {_HOUR} AS evhour, strftime(make_timestamp(arr * 60000000), '%Y-%m-%d %H:%M') AS arrival,
+        impressions::BIGINT AS impressions, clicks::BIGINT AS clicks, clicks / nullif(impressions, 0)::DOUBLE AS click_rate
+      FROM (SELECT h, arr, sum(i) OVER w AS impressions, sum(c) OVER w AS clicks
+        FROM (SELECT h, arr, count(*) FILTER (src = 'impressions') AS i, count(*) FILTER (src = 'clicks') AS c FROM ev WHERE arr < h * 60 + 1500 GROUP BY 1, 2)
+        WINDOW w AS (PARTITION BY h ORDER BY arr ROWS UNBOUNDED PRECEDING))""",
     "p5_found": f'SELECT "userCookie", start_ms, end_ms FROM ({_VISITS})',
     "p5_visits": _VISITS,
 }

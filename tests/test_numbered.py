@@ -182,8 +182,8 @@ def test_late_events(spark, seed, n):
     i = spark.createDataFrame(imps, "impressionId string, requestBeginTime string, dt string").withColumn("src", F.lit("clash"))
     c = spark.createDataFrame(clicks, "impressionId string, dt string")
     j = spark.createDataFrame(joined, "impressionId string, clicked boolean, day string, hour string")
-    firsts = late.first_deliveries(i, c)
-    events = late.deliveries(firsts).unionByName(late.stale_publications(j, firsts))
+    ids = late.id_arrivals(i, c)
+    events = late.deliveries(ids).unionByName(late.stale_publications(j, ids))
     found, figures = late_by_hand(imps, clicks, joined)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many steps of the clock
     try:
