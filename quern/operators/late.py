@@ -144,7 +144,7 @@ def _k_slack(publish: int, close: int):
 
 
 def k_slack(events: DataFrame, publish_minutes: int = PUBLISH_MINUTES, close_minutes: int = CLOSE_MINUTES) -> DataFrame:
-    """Reorder (src, id, evhour, arrival, repeat), all events of an id in one partition, and give RELEASED rows of two kinds.
+    """Reorder (src, id, evhour, arrival, repeat), the events of one (src, id, evhour) in one partition, and give RELEASED rows of two kinds.
 
     Rows with an id: ids whose first delivery came before closing and changes what was published
     (phase ``correction``), and for src ``joined_impressions`` also ``on_time`` ones. Rows

@@ -41,19 +41,19 @@ def sessions(events: DataFrame, key: Column, ms: Column, gap_ms: int = 1_800_000
     near = F.coalesce(F.col("lo") - F.col("before") <= gap_ms, F.lit(False))
     nodes = scratch.write(linked.select("key", "slot", "lo", "hi", "n", near.alias("near")), "nodes")
 
-    links = scratch.write(nodes.where("near").select("key", "slot", (F.col("slot") - 1).alias("root"), F.lit(False).alias("done")), "links")
-    while not links.where("not done").isEmpty():
+    first = nodes.where("near").select("key", "slot", (F.col("slot") - 1).alias("root"), F.lit(False).alias("done"))
+    moving, finished = first, first.where("done")
+    while not moving.isEmpty():
         # A pointer that leads to no link has reached a root; one that leads to a finished link takes over its root.
-        to = links.select("key", F.col("slot").alias("root"), F.col("root").alias("further"), F.col("done").alias("ended"))
-        moved = links.where("not done").join(to, ["key", "root"], "left").select(
+        to = finished.unionByName(moving).select("key", F.col("slot").alias("root"), F.col("root").alias("further"), F.col("done").alias("ended"))
+        # Only links that moved are written; those that finished now are never touched again.
+        moved = scratch.write(moving.join(to, ["key", "root"], "left").select(
             "key", "slot", F.coalesce("further", "root").alias("root"), F.coalesce("ended", F.lit(True)).alias("done")
-        )
-        after = scratch.write(links.where("done").unionByName(moved), "links")
-        scratch.drop(links)
-        links = after
+        ), "links")
+        moving, finished = moved.where("not done"), finished.unionByName(moved.where("done"))
 
     rooted = nodes.where("not near").select("key", F.col("slot").alias("root"), "lo", "hi", "n").unionByName(
-        links.select("key", "slot", "root").join(nodes.where("near").drop("near"), ["key", "slot"]).drop("slot")
+        finished.select("key", "slot", "root").join(nodes.where("near").drop("near"), ["key", "slot"]).drop("slot")
     )
     return (
         rooted.groupBy("key", "root").agg(F.min("lo").alias("start_ms"), F.max("hi").alias("end_ms"), F.sum("n").alias("n_events"))
