@@ -1,11 +1,14 @@
-"""Sequence expressions: normal form, strands, seeds and mismatches; and the edit script of k differences."""
+"""Sequence expressions: normal form and strands; codes of seeds as arrays; and the edit script of k differences."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASES, COMPLEMENTS = "ACGT", "TGCA"
+EXACT_SEED = 31
+LONG_SEED_FACTOR = 0x9E3779B97F4A7C15  # odd, so that no base loses its weight modulo 2**64
 
 
 def normal_bases(seq: Column) -> Column:
@@ -31,18 +34,38 @@ def unpack_seed(packed: Column, length: int) -> Column:
     return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), length, "0"), "0123", BASES)
 
 
-def mismatches(ref: Column, read: Column) -> Column:
-    """Positions at which two texts of equal length differ; N equals N."""
-    differ = F.zip_with(F.split(ref, ""), F.split(read, ""), lambda a, b: F.when(a != b, 1).otherwise(0))
-    return F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+def base_codes(text: np.ndarray) -> np.ndarray:
+    """0 to 3 for the bytes of A, C, G and T, 4 for others."""
+    table = np.full(256, len(BASES), dtype=np.uint8)
+    table[list(BASES.encode())] = np.arange(len(BASES))
+    return table[text]
 
 
-def is_leftmost_seed(ref_left: Column, read_left: Column, seed_len: int) -> Column:
-    """Whether every seed-long chunk before this seed differs from the reference, so that no seed further
-    left finds the same alignment. Both flanks are of equal length, a multiple of ``seed_len``."""
-    chunks = (F.length(read_left) / seed_len).cast("int")
-    differs = lambda i: F.substr(read_left, i * seed_len + 1, F.lit(seed_len)) != F.substr(ref_left, i * seed_len + 1, F.lit(seed_len))
-    return (chunks == 0) | F.forall(F.sequence(F.lit(0), F.greatest(chunks - 1, F.lit(0))), differs)
+def seed_codes(bases: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, usable) of the ``length`` bases from each position on; usable is False where one of them is N.
+
+    Up to 31 bases the code is their base 4 number, so different seeds have different codes; beyond, it is a
+    polynomial modulo 2**64. Codes of twice as many bases are put together from two, so the work per position is log2(length).
+    """
+    n = len(bases) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    power = 4 if length <= EXACT_SEED else LONG_SEED_FACTOR
+    block, width = bases.astype(np.uint64), 1
+    code, have = np.zeros(len(bases), dtype=np.uint64), 0
+    while have < length:
+        if length & width:
+            m = len(bases) - have - width + 1
+            code, have = code[:m] * np.uint64(power) + block[have : have + m], have + width
+        block = block[:-width] * np.uint64(power) + block[width:] if len(block) > width else block[:0]
+        width, power = 2 * width, power * power % (1 << 64)
+    unknown = np.concatenate(([0], np.cumsum(bases >= len(BASES))))
+    return code.view(np.int64), unknown[length:] == unknown[:-length]
+
+
+def homopolymer_codes(length: int) -> np.ndarray:
+    """The codes of the seeds that repeat one base."""
+    return np.array([seed_codes(np.full(length, b, dtype=np.uint8), length)[0][0] for b in range(len(BASES))])
 
 
 def k_difference(ref: str, read: str, k: int) -> tuple[int, list[tuple[int, str]]] | None:
@@ -85,8 +108,8 @@ def k_difference(ref: str, read: str, k: int) -> tuple[int, list[tuple[int, str]
     return None
 
 
-def script_is_leftmost(edits: list[tuple[int, str]], read_len: int, seed_len: int) -> bool:
+def script_is_leftmost(edits: list[tuple[int, str]], read_len: int, seed_len: int, unknown: list[int] | tuple = ()) -> bool:
     """The leftmost-seed test for an edit script of the flank read outwards from its far end: every chunk
-    holds an edit; a gap right between two chunks touches neither."""
-    touched = {at // seed_len for at, kind in edits if not (kind == "gap" and at % seed_len == 0)}
+    holds an edit or is one of the ``unknown``; a gap right between two chunks touches neither."""
+    touched = {at // seed_len for at, kind in edits if not (kind == "gap" and at % seed_len == 0)} | set(unknown)
     return set(range(read_len // seed_len)) <= touched

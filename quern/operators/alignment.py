@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
 
+# Fixed value: bases of a chunk.
+CHUNK = 65_535
+HELD_BASES = 1_000_000
+FOUND = "read_id bigint, ref_id bigint, ref_start bigint, ref_end bigint, differences int, is_rc boolean"
 EXTENDED = "struct<used_left int, used_right int, differences int>"
 
 
-def kmers(seqs: DataFrame, k: int) -> DataFrame:
+def chunked(seqs: DataFrame, ident: str, overlap: int, chunk: int = CHUNK) -> DataFrame:
+    """(ident, chunk, offset, last_chunk, seq as bytes): sequences in chunks of ``chunk`` bases and, where there are
+    more, ``overlap`` further ones, spread over all tasks. Null sequences have none, empty ones one chunk.
+
+    Sequences are cut as bytes, in which a piece costs its own length wherever it lies, so the work is linear in
+    the length of a sequence. Every position belongs to one chunk: the one it lies in before the overlap.
+    """
+    rows = seqs.where("seq is not null").select(F.col(ident).cast("bigint").alias(ident), F.encode("seq", "UTF-8").alias("whole"))
+    last = F.floor((F.octet_length("whole") - 1) / chunk)
+    cut = rows.select(ident, "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0).cast("bigint")))).alias("chunk"))
+    offset = F.col("chunk") * chunk
+    piece = F.substr("whole", (offset + 1).cast("int"), F.lit(chunk + overlap))
+    return cut.select(ident, "chunk", offset.alias("offset"), (F.octet_length("whole") <= offset + chunk).alias("last_chunk"), piece.alias("seq")).repartition(ident, "chunk")
+
+
+def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """(seq_id, kmer, position from 0) of every k-mer of every sequence; shorter sequences and null have none."""
-    at = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("position")
-    return seqs.where(F.length("seq") >= k).select("seq_id", "seq", at).select("seq_id", F.substr("seq", F.col("position") + 1, F.lit(k)).alias("kmer"), "position")
+    rows = chunked(seqs, "seq_id", k - 1, chunk)
+    own = F.least(F.lit(chunk), F.octet_length("seq") - k + 1)
+    at = rows.where(F.octet_length("seq") >= k).select("seq_id", "offset", "seq", F.explode(F.sequence(F.lit(0), own - 1)).alias("at"))
+    return at.select("seq_id", F.substr("seq", F.col("at") + 1, F.lit(k)).cast("string").alias("kmer"), (F.col("offset") + F.col("at")).alias("position"))
 
 
 def kmer_count(seqs: DataFrame, k: int, with_positions: bool = False) -> DataFrame:
@@ -33,40 +57,72 @@ def length_range(seqs: DataFrame) -> DataFrame:
     return seqs.agg(F.min(F.length("seq")).alias("min_len"), F.max(F.length("seq")).alias("max_len"))
 
 
-def _salt(seed: Column, ident: Column, redundancy: int) -> Column:
-    return F.when(dna.is_homopolymer(seed), F.pmod(ident, F.lit(redundancy))).otherwise(0)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a text or byte column in a row, and where each starts and the last ends."""
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data else np.zeros(0, dtype=np.uint8), at - at[0]
+
+
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers repeated as often as told, and 0, 1, 2, ... within each row."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about HELD_BASES bases."""
+    at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy()) // HELD_BASES
+    starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(starts, starts[1:]) if b > a)
 
-def reference_seeds(refs: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
-    """(h, ref_id, at) of the seed at every position, h being a hash of it; seeds with N are left out. With a
+
+def reference_seeds(chunks: DataFrame, seed_len: int, redundancy: int, chunk: int = CHUNK) -> DataFrame:
+    """(h, salt, ref_id, at) of the seed at every position, h being its code; seeds with N are left out. With a
     ``redundancy`` above 1, seeds of one repeated base, which are frequent, occur that often under different salts."""
-    at = F.explode(F.sequence(F.lit(0), F.length("seq") - seed_len)).alias("at")
-    rows = refs.where(F.length("seq") >= seed_len).select("ref_id", "seq", at).select("ref_id", "at", F.substr("seq", F.col("at") + 1, F.lit(seed_len)).alias("seed")).where(~F.contains("seed", F.lit("N")))
-    rows = rows.withColumn("h", F.xxhash64("seed"))
-    if redundancy == 1:
-        return rows.select("h", "ref_id", "at")
-    salts = F.when(dna.is_homopolymer(F.col("seed")), F.sequence(F.lit(0), F.lit(redundancy - 1))).otherwise(F.array(F.lit(0)))
-    return rows.select("h", "ref_id", "at", F.explode(salts).alias("salt"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = dna.homopolymer_codes(seed_len)
+        for whole in batches:
+            for b in _slices(whole, "seq"):
+                text, start = _flat(b.column("seq"))
+                code, usable = dna.seed_codes(dna.base_codes(text), seed_len)
+                row, at = _each(np.clip(np.diff(start) - seed_len + 1, 0, chunk))
+                place = start[row] + at
+                kept = usable[place]
+                row, at, h = row[kept], at[kept], code[place[kept]]
+                times, salt = _each(np.where(np.isin(h, frequent), redundancy, 1))
+                ref, offset = b.column("ref_id").to_numpy(), b.column("offset").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(h[times]), pa.array(salt.astype(np.int32)), pa.array(ref[row[times]]), pa.array((offset[row] + at)[times])], ["h", "salt", "ref_id", "at"])
 
-def with_flanks(pairs: DataFrame, refs: DataFrame, seed_len: int, flank_len: int) -> DataFrame:
-    """Seed matches with up to ``flank_len`` reference bases on each side. References are joined back by id, so
-    that the shuffle on seeds, by far the largest, moves neither flanks nor bases; what matched only by hash goes here."""
-    left_len = F.least(F.col("at"), F.lit(flank_len))
-    left = F.substr("seq", F.col("at") - left_len + 1, left_len)
-    right = F.substr("seq", F.col("at") + seed_len + 1, F.lit(flank_len))
-    same = pairs.join(refs, "ref_id").where(F.substr("seq", F.col("at") + 1, F.lit(seed_len)) == F.col("seed"))
-    return same.withColumns({"ref_left": left, "ref_right": right}).drop("seq", "seed")
+    return chunks.select("ref_id", "offset", "seq").mapInArrow(run, "h bigint, salt int, ref_id bigint, at bigint")
 
 
 def read_seeds(reads: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
-    """Seeds at 0, seed_len, 2 seed_len, ... of each read and of its reverse complement; seeds with N are left out."""
-    strands = F.explode(F.array(F.struct(F.lit(False).alias("is_rc"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("is_rc"), dna.reverse_complement(F.col("seq")).alias("s")))).alias("x")
-    rows = reads.select(F.col("read_id").cast("bigint"), strands).select("read_id", "x.is_rc", "x.s")
-    at = F.explode(F.sequence(F.lit(0), F.length("s") - seed_len, F.lit(seed_len))).alias("i")
-    rows = rows.where(F.length("s") >= seed_len).select("*", at).withColumn("seed", F.substr("s", F.col("i") + 1, F.lit(seed_len))).where(~F.contains("seed", F.lit("N")))
-    salt = [] if redundancy == 1 else [_salt(F.col("seed"), F.col("read_id"), redundancy).cast("int").alias("salt")]
-    return rows.select(F.xxhash64("seed").alias("h"), *salt, "read_id", "is_rc", "seed", F.substr("s", F.lit(1), F.col("i")).alias("read_left"), F.substr("s", F.col("i") + seed_len + 1, F.length("s")).alias("read_right"))
+    """(h, salt, read_id, is_rc, i, s): seeds at i = 0, seed_len, 2 seed_len, ... of each read and of its reverse
+    complement, with the strand they are of; seeds with N are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = dna.homopolymer_codes(seed_len)
+        other = np.arange(256, dtype=np.uint8)
+        other[list(dna.BASES.encode())] = list(dna.COMPLEMENTS.encode())
+        for whole in batches:
+            for b in _slices(whole, "seq"):
+                text, start = _flat(b.column("seq"))
+                ids = b.column("read_id").to_numpy()
+                # Reversed as one text, the reads come last first, each from its end.
+                back, ends = other[text[::-1]], (start[-1] - start)[::-1]
+                turned = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(back)])
+                for is_rc, strand, begin, own, own_ids in ((False, text, start, b.column("seq"), ids), (True, back, ends, turned, ids[::-1])):
+                    code, usable = dna.seed_codes(dna.base_codes(strand), seed_len)
+                    row, nth = _each(np.diff(begin) // seed_len)
+                    place = begin[row] + nth * seed_len
+                    kept = usable[place]
+                    row, nth, h = row[kept], nth[kept], code[place[kept]]
+                    salt = np.where(np.isin(h, frequent), own_ids[row] % redundancy, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt.astype(np.int32)), pa.array(own_ids[row]), pa.array(np.full(len(h), is_rc)), pa.array((nth * seed_len).astype(np.int32)), own.take(pa.array(row))], ["h", "salt", "read_id", "is_rc", "i", "s"])
+
+    return reads.select(F.col("read_id").cast("bigint"), "seq").mapInArrow(run, "h bigint, salt int, read_id bigint, is_rc boolean, i int, s string")
 
 
 def usable_reads(reads: DataFrame, min_len: int, max_len: int, k: int) -> DataFrame:
@@ -86,7 +142,8 @@ def _extend_udf(k: int, seed_len: int):
                 left = dna.k_difference(fl[::-1], ql[::-1], k) if ql else (0, [])
                 # The flank was followed outwards; from its far end an edit at p lies at len - p (a gap) or len - 1 - p.
                 edits = [(len(ql) - at - (kind != "gap"), kind) for at, kind in left[1]] if left else []
-                if left is None or (ql and not dna.script_is_leftmost(edits, len(ql), seed_len)):
+                unknown = [i // seed_len for i, c in enumerate(ql) if c == "N"]  # such chunks never seed
+                if left is None or (ql and not dna.script_is_leftmost(edits, len(ql), seed_len, unknown)):
                     rows.append((None, None, None))
                     continue
                 right = dna.k_difference(fr, qr, k - len(edits)) if qr else (0, [])
@@ -96,32 +153,68 @@ def _extend_udf(k: int, seed_len: int):
     return extend
 
 
-def align(refs: DataFrame, reads: DataFrame, *, k: int, read_len: int | None = None, min_len: int | None = None, max_len: int | None = None, mode: str = "mismatch", unique: bool = False, redundancy: int = 1) -> DataFrame:
+def _compare(k: int, seed_len: int):
+    """Reads beside as many reference bases to the alignments among them: few enough mismatches, seen from the leftmost exact seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("s")).to_numpy()
+            for size in np.unique(sizes):
+                b = batch.filter(pa.array(sizes == size))
+                read, ref = (_flat(b.column(c))[0].reshape(-1, size) for c in ("s", "window"))
+                differ = read != ref
+                total, seed = differ.sum(axis=1), b.column("i").to_numpy() // seed_len
+                exact = ~(differ | (read == ord("N")))[:, : size // seed_len * seed_len].reshape(len(differ), -1, seed_len).any(axis=2)
+                kept = pa.array((total <= k) & (exact.argmax(axis=1) == seed) & exact[np.arange(len(seed)), seed])
+                start = b.column("start").to_numpy()
+                found = pa.RecordBatch.from_arrays([b.column("read_id"), b.column("ref_id"), pa.array(start), pa.array(start + size), pa.array(total.astype(np.int32)), b.column("is_rc")], ["read_id", "ref_id", "ref_start", "ref_end", "differences", "is_rc"])
+                yield found.filter(kept)
+
+    return run
+
+
+def align_chunks(chunks: DataFrame, reads: DataFrame, *, k: int, min_len: int, max_len: int, mode: str = "mismatch", unique: bool = False, redundancy: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """:func:`align` for references in chunks of ``chunk`` bases (ref_id, chunk, offset, seq as bytes in normal form), whose overlap
+    must be at least ``max_len + 2 * k``."""
+    if mode not in ("mismatch", "difference"):
+        raise ValueError(mode)
+    seed_len = min_len // (k + 1)
+    seeds = reference_seeds(chunks, seed_len, redundancy, chunk)
+    pairs = seeds.join(read_seeds(usable_reads(reads, min_len, max_len, k), seed_len, redundancy), ["h", "salt"])
+    # Chunks are joined back to the few pairs, so that the shuffle on seeds, by far the largest, moves no bases.
+    size, slack = F.length("s"), 0 if mode == "mismatch" else k
+    begin = F.greatest(F.lit(0).cast("bigint"), F.col("at") - F.col("i") - slack)
+    placed = pairs.where("at >= i") if mode == "mismatch" else pairs
+    placed = placed.withColumn("begin", begin).withColumn("chunk", F.floor(F.col("begin") / chunk))
+    both = placed.join(chunks.select("ref_id", "chunk", "offset", "seq"), ["ref_id", "chunk"])
+
+    def bases(start: Column, n: Column) -> Column:
+        return F.substr("seq", (start - F.col("offset") + 1).cast("int"), n.cast("int"))
+
+    if mode == "mismatch":
+        beside = both.select("read_id", "ref_id", F.col("begin").alias("start"), "is_rc", "i", "s", bases(F.col("begin"), size).alias("window")).where(F.octet_length("window") == size)
+        found = beside.mapInArrow(_compare(k, seed_len), FOUND)
+    else:
+        after = size - F.col("i") - seed_len
+        same = both.where(bases(F.col("at"), F.lit(seed_len)).cast("string") == F.substr("s", F.col("i") + 1, F.lit(seed_len)))
+        flanks = [bases(F.col("begin"), F.col("at") - F.col("begin")).cast("string"), F.substr("s", F.lit(1), F.col("i")), bases(F.col("at") + seed_len, after + k).cast("string"), F.substr("s", F.col("i") + seed_len + 1, after)]
+        x = _extend_udf(k, seed_len)(*flanks)
+        found = same.withColumn("x", x).where("x.differences is not null").select("read_id", "ref_id", (F.col("at") - F.col("x.used_left")).alias("ref_start"), (F.col("at") + seed_len + F.col("x.used_right")).alias("ref_end"), "x.differences", "is_rc")
+    return unique_best(found) if unique else found
+
+
+def align(refs: DataFrame, reads: DataFrame, *, k: int, read_len: int | None = None, min_len: int | None = None, max_len: int | None = None, mode: str = "mismatch", unique: bool = False, redundancy: int = 1, chunk: int = CHUNK) -> DataFrame:
     """(read_id, ref_id, ref_start, ref_end, differences, is_rc): where reads lie in references with at most k differences.
 
-    ``refs``: ref_id, seq; ``reads``: read_id, seq. Mode 'mismatch' allows substitutions, 'difference' also gaps and
+    ``refs``: ref_id, seq of any length; ``reads``: read_id, seq. Mode 'mismatch' allows substitutions, 'difference' also gaps and
     extra bases. By the pigeonhole principle a read with at most k differences has a seed of min_len // (k + 1)
     bases without any; seeds are joined, flanks compared, and an alignment is kept only from its leftmost exact
     seed, so mismatch mode reports each once without a shuffle. Positions are 0-based, the end excluded; the
-    whole read must fit. N equals N in flanks and never seeds. ``ref_id`` must be unique.
+    whole read must fit. N equals N in flanks and never seeds, so a read whose every exact seed holds an N isn't found. ``ref_id`` must be unique. Empty and null sequences align nowhere.
     """
     min_len, max_len = min_len or read_len, max_len or read_len
-    seed_len = min_len // (k + 1)
-    flank_len = max_len - seed_len + k
-    refs = refs.select(F.col("ref_id").cast("bigint"), dna.normal_bases(F.col("seq")).alias("seq"))
-    read = read_seeds(usable_reads(reads, min_len, max_len, k), seed_len, redundancy)
-    pairs = with_flanks(reference_seeds(refs, seed_len, redundancy).join(read, ["h"] if redundancy == 1 else ["h", "salt"]).drop("h", "salt"), refs, seed_len, flank_len)
-    if mode == "mismatch":
-        n_left, n_right = F.length("read_left"), F.length("read_right")
-        near = pairs.where((F.length("ref_left") >= n_left) & (F.length("ref_right") >= n_right)).withColumn("ref_left", F.right("ref_left", n_left)).withColumn("ref_right", F.left("ref_right", n_right))
-        kept = near.where(dna.is_leftmost_seed(F.col("ref_left"), F.col("read_left"), seed_len)).withColumn("differences", dna.mismatches(F.col("ref_left"), F.col("read_left")) + dna.mismatches(F.col("ref_right"), F.col("read_right")))
-        found = kept.where(F.col("differences") <= k).select("read_id", "ref_id", (F.col("at") - n_left).alias("ref_start"), (F.col("at") + seed_len + n_right).alias("ref_end"), "differences", "is_rc")
-    elif mode == "difference":
-        x = _extend_udf(k, seed_len)("ref_left", "read_left", "ref_right", "read_right")
-        found = pairs.withColumn("x", x).where("x.differences is not null").select("read_id", "ref_id", (F.col("at") - F.col("x.used_left")).alias("ref_start"), (F.col("at") + seed_len + F.col("x.used_right")).alias("ref_end"), "x.differences", "is_rc")
-    else:
-        raise ValueError(mode)
-    return unique_best(found) if unique else found
+    pieces = chunked(refs.select("ref_id", dna.normal_bases(F.col("seq")).alias("seq")), "ref_id", max_len + 2 * k, chunk)
+    return align_chunks(pieces, reads, k=k, min_len=min_len, max_len=max_len, mode=mode, unique=unique, redundancy=redundancy, chunk=chunk)
 
 
 def unique_best(alignments: DataFrame) -> DataFrame:
@@ -138,3 +231,16 @@ def alignment_stats(alignments: DataFrame) -> DataFrame:
 def alignment_text(alignments: DataFrame) -> DataFrame:
     """Display lines: reference, start, end, read, differences and strand, tab-separated."""
     return alignments.select(F.concat_ws("\t", "ref_id", "ref_start", "ref_end", "read_id", "differences", F.when(F.col("is_rc"), "-").otherwise("+")).alias("line"))
+
+
+def alignment_pictures(alignments: DataFrame, refs: DataFrame, reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Alignments with ``picture``: three lines, the reference bases, a bar under each that the read shares at the same place, and the
+    read as aligned. Of alignments of reads no longer than a chunk."""
+    pieces = chunked(refs.select("ref_id", dna.normal_bases(F.col("seq")).alias("seq")), "ref_id", chunk, chunk)
+    own = reads.select(F.col("read_id").cast("bigint"), dna.normal_bases(F.col("seq")).alias("s"))
+    both = alignments.withColumn("chunk", F.floor(F.col("ref_start") / chunk)).join(pieces.drop("last_chunk"), ["ref_id", "chunk"]).join(own, "read_id")
+    read = F.when(F.col("is_rc"), dna.reverse_complement(F.col("s"))).otherwise(F.col("s"))
+    ref = F.substr("seq", (F.col("ref_start") - F.col("offset") + 1).cast("int"), (F.col("ref_end") - F.col("ref_start")).cast("int")).cast("string")
+    shown = both.select(*alignments.columns, ref.alias("ref"), read.alias("read"))
+    bars = F.zip_with(F.split("ref", ""), F.split("read", ""), lambda a, b: F.when(a == b, "|").otherwise(" "))
+    return shown.select(*alignments.columns, F.concat_ws("\n", "ref", F.array_join(bars, ""), "read").alias("picture"))

@@ -195,6 +195,8 @@ def test_align_brute_force(spark, redundancy):
     found = alignment.align(frame(spark, refs, "ref_id bigint, seq string"), frame(spark, reads, "read_id bigint, seq string"), k=2, read_len=12, redundancy=redundancy)
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == align_by_hand(refs, reads, 2)
+    cut = alignment.align(frame(spark, refs, "ref_id bigint, seq string"), frame(spark, reads, "read_id bigint, seq string"), k=2, read_len=12, redundancy=redundancy, chunk=7)
+    assert rows(cut) == sorted(got, key=repr)
     best = defaultdict(list)
     for x in sorted(got, key=lambda x: x[4]):
         best[x[0]].append(x)
@@ -210,6 +212,22 @@ def test_align_difference_finds_gaps(spark):
     got = alignment.align(frame(spark, [(1, ref)], "ref_id bigint, seq string"), frame(spark, reads, "read_id bigint, seq string"), k=1, read_len=12, mode="difference")
     best = {r.read_id: r.differences for r in got.orderBy(F.desc("differences")).collect()}
     assert best == {1: 1, 2: 1, 3: 0}
+    cut = alignment.align(frame(spark, [(1, ref)], "ref_id bigint, seq string"), frame(spark, reads, "read_id bigint, seq string"), k=1, read_len=12, mode="difference", chunk=4)
+    assert rows(cut) == rows(got)
+    pictures = alignment.alignment_pictures(got.where("read_id = 3 and differences = 0"), frame(spark, [(1, ref)], "ref_id bigint, seq string"), frame(spark, reads, "read_id bigint, seq string"), chunk=12)
+    assert [r.picture for r in pictures.collect()] == [f"{ref[5:17]}\n{'|' * 12}\n{ref[5:17]}"]
+    assert rows(alignment.alignment_text(got.where("read_id = 3 and differences = 0"))) == [("1\t5\t17\t3\t0\t+",)]
+
+
+def test_align_with_unknown_bases_and_varied_lengths(spark):
+    """N equals N in flanks and never seeds; reads of several lengths; empty and null sequences."""
+    ref = "ACGTTGCAAGNNCTTACGGATCCATGCA"
+    refs = frame(spark, [(1, ref), (2, ""), (3, None)], "ref_id bigint, seq string")
+    reads = frame(spark, [(1, ref[2:12]), (2, ref[8:20]), (3, ref[14:25]), (4, ref[2:12].replace("N", "A")), (5, None)], "read_id bigint, seq string")
+    got = alignment.align(refs, reads, k=2, min_len=10, max_len=12)
+    assert {(r.read_id, r.ref_start, r.ref_end, r.differences) for r in got.collect() if not r.is_rc} == {(1, 2, 12, 0), (2, 8, 20, 0), (3, 14, 25, 0), (4, 2, 12, 2)}
+    assert alignment.align(refs.limit(0), reads, k=2, min_len=10, max_len=12).count() == 0
+    assert alignment.align(refs, reads.limit(0), k=2, min_len=10, max_len=12).count() == 0
 
 
 def test_align_rejects_lengths(spark):
@@ -226,6 +244,9 @@ def test_kmers(spark):
     places = {r.kmer: [tuple(p) for p in r.places] for r in alignment.kmer_count(seqs, 2, with_positions=True).collect()}
     assert places["AC"] == [(1, 0), (1, 4), (2, 0)]
     assert rows(alignment.kmer_distinct(alignment.kmer_count(seqs, 2))) == [(4, 6)]
+    text = "".join(random.Random(6).choice("ACGT") for _ in range(500))
+    one = frame(spark, [(7, text)], "seq_id bigint, seq string")
+    assert rows(alignment.kmers(one, 5, chunk=16)) == sorted(((7, text[i : i + 5], i) for i in range(496)), key=repr)
     assert rows(alignment.length_range(seqs)) == [(0, 6)]
 
 
