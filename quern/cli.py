@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import logs as L
 from .operators import ads, alignment, counting, log_reports, related
+from .scratch import scope
 from .session import get_session
 from .sinks.tables import overwrite_partitions, write_report
 from .sources import files
@@ -54,8 +55,9 @@ def _related(a) -> None:
 
 def _align(a) -> None:
     spark = get_session()
-    refs, reads = (files.read_fasta(spark, p).select(F.col("seq_id").alias(n), "seq") for p, n in ((a.refs, "ref_id"), (a.reads, "read_id")))
-    found = alignment.align(refs, reads, k=a.k, read_len=a.read_len, mode="difference" if a.differences else "mismatch", unique=a.unique, redundancy=a.redundancy)
+    refs = files.read_sequences(spark, a.refs, overlap=a.read_len + 2 * a.k).withColumnRenamed("seq_id", "ref_id").withColumn("seq", F.encode("seq", "UTF-8"))
+    reads = files.read_fasta(spark, a.reads).select(F.col("seq_id").alias("read_id"), "seq")
+    found = alignment.align_chunks(refs, reads, k=a.k, min_len=a.read_len, max_len=a.read_len, mode="difference" if a.differences else "mismatch", unique=a.unique, redundancy=a.redundancy)
     found.write.mode("overwrite").parquet(a.output)
 
 
@@ -108,7 +110,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    a.run(a)
+    with scope():
+        a.run(a)
 
 
 if __name__ == "__main__":

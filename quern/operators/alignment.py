@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..sources.files import CHUNK
 
-# Fixed value: bases of a chunk.
-CHUNK = 65_535
 HELD_BASES = 1_000_000
-FOUND = "read_id bigint, ref_id bigint, ref_start bigint, ref_end bigint, differences int, is_rc boolean"
+FOUND = "read_id bigint, ref_id bigint, ref_start int, ref_end int, differences int, is_rc boolean"
 EXTENDED = "struct<used_left int, used_right int, differences int>"
 
 
@@ -167,7 +166,7 @@ def _compare(k: int, seed_len: int):
                 exact = ~(differ | (read == ord("N")))[:, : size // seed_len * seed_len].reshape(len(differ), -1, seed_len).any(axis=2)
                 kept = pa.array((total <= k) & (exact.argmax(axis=1) == seed) & exact[np.arange(len(seed)), seed])
                 start = b.column("start").to_numpy()
-                found = pa.RecordBatch.from_arrays([b.column("read_id"), b.column("ref_id"), pa.array(start), pa.array(start + size), pa.array(total.astype(np.int32)), b.column("is_rc")], ["read_id", "ref_id", "ref_start", "ref_end", "differences", "is_rc"])
+                found = pa.RecordBatch.from_arrays([b.column("read_id"), b.column("ref_id"), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), pa.array(total.astype(np.int32)), b.column("is_rc")], ["read_id", "ref_id", "ref_start", "ref_end", "differences", "is_rc"])
                 yield found.filter(kept)
 
     return run
@@ -199,7 +198,7 @@ def align_chunks(chunks: DataFrame, reads: DataFrame, *, k: int, min_len: int, m
         same = both.where(bases(F.col("at"), F.lit(seed_len)).cast("string") == F.substr("s", F.col("i") + 1, F.lit(seed_len)))
         flanks = [bases(F.col("begin"), F.col("at") - F.col("begin")).cast("string"), F.substr("s", F.lit(1), F.col("i")), bases(F.col("at") + seed_len, after + k).cast("string"), F.substr("s", F.col("i") + seed_len + 1, after)]
         x = _extend_udf(k, seed_len)(*flanks)
-        found = same.withColumn("x", x).where("x.differences is not null").select("read_id", "ref_id", (F.col("at") - F.col("x.used_left")).alias("ref_start"), (F.col("at") + seed_len + F.col("x.used_right")).alias("ref_end"), "x.differences", "is_rc")
+        found = same.withColumn("x", x).where("x.differences is not null").select("read_id", "ref_id", (F.col("at") - F.col("x.used_left")).cast("int").alias("ref_start"), (F.col("at") + seed_len + F.col("x.used_right")).cast("int").alias("ref_end"), "x.differences", "is_rc")
     return unique_best(found) if unique else found
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +48,29 @@ def posts_per_day(flat: DataFrame) -> DataFrame:
 def as_json(flat: DataFrame) -> DataFrame:
     """(key_date, json): each interaction as one JSON text, properly escaped."""
     return flat.select("key_date", F.to_json(F.struct(*[c for c in flat.columns if c != "key_date"])).alias("json"))
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, json) to (id, path, value): one row for each value that is neither an object nor an array."""
+    for batch in batches:
+        out = []
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                todo = [("", json.loads(text))] if text is not None else []
+            except ValueError:
+                continue
+            while todo:
+                path, x = todo.pop()
+                inner = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else None
+                if inner is None:
+                    out.append((ident, path, None if x is None else x if isinstance(x, str) else json.dumps(x)))
+                else:
+                    todo.extend((f"{path}.{k}" if path else str(k), v) for k, v in inner)
+        cols = list(zip(*out)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["id", "path", "value"])
+
+
+def json_paths(documents: DataFrame, ident: str, json_col: str = "json") -> DataFrame:
+    """(id, path, value) of every plain value of JSON documents of any shape, paths being dotted as in ``a.0.b``; the path of
+    a document that is a plain value is empty. Text that is no JSON has none, nor have empty objects and arrays."""
+    return documents.select(F.col(ident).cast("string").alias("id"), F.col(json_col).alias("json")).mapInArrow(_paths, "id string, path string, value string")

@@ -298,14 +298,18 @@ def kv_merge(spark: SparkSession, d: str) -> DataFrame:
     return keyed.kv_merge(counts, names)
 
 
-@query("SELECT strftime(ts, '%d %b %Y') AS day, count(*) AS \"count\" FROM events GROUP BY 1")
-def activity_posts_per_day(spark: SparkSession, d: str) -> DataFrame:
-    """Events written as nested JSON documents, read back, flattened and counted."""
+def activity_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(json) of events written as nested documents."""
     author = F.struct(F.col("user_id").cast("string").alias("id"), F.lit("a\"b\n\t").alias("name"))
     created = F.concat(F.lit("Thu, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     one = F.struct(F.struct(F.col("event_id").cast("string").alias("id"), author.alias("author"), F.col("props").alias("content"), created.alias("created_at")).alias("interaction"))
-    docs = table(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("h").alias("hash"), F.array(one).alias("interactions"))).alias("json"))
-    return keyed.posts_per_day(keyed.interactions(docs))
+    return table(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("h").alias("hash"), F.array(one).alias("interactions"))).alias("json"))
+
+
+@query("SELECT strftime(ts, '%d %b %Y') AS day, count(*) AS \"count\" FROM events GROUP BY 1")
+def activity_posts_per_day(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as nested JSON documents, read back, flattened and counted."""
+    return keyed.posts_per_day(keyed.interactions(activity_documents(spark, d)))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS sum_k FROM events GROUP BY 1")

@@ -18,8 +18,7 @@ CDN_LOG = _struct("DateTime string, EdgeLocation string, Bytes bigint, IP string
 WIKI_STAT = _struct("projectcode string, pagename string, pageviews int, pagesize int")
 RATING = _struct("user string, item string, rating bigint")
 ITEM_NAME = _struct("item string, name string")
-SEQUENCE = _struct("seq_id int, offset int, last_chunk boolean, seq string")
-SEED_OCCURRENCE = _struct("is_ref boolean, is_rc boolean, offset int, id bigint, left_rev string, right string")
+SEQUENCE = _struct("seq_id bigint, chunk bigint, offset bigint, last_chunk boolean, seq string")
 ALIGNMENT = _struct("read_id bigint, ref_id bigint, ref_start int, ref_end int, differences int, is_rc boolean")
 _AUTHOR = _struct("id string, avatar string, link string, name string, username string")
 INTERACTION = T.StructType([

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are deleted at its end; results that depend on them must be written or collected before.
+    Without a scope they stay until the interpreter ends."""
+    own: list[Scratch] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.remove(own)
+        for s in own:
+            s.clear()
+
+
 class Scratch:
     """Tables of one run. ``write`` returns the table as read back, ``drop`` deletes one early."""
 
@@ -33,6 +52,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         atexit.register(self.clear)
+        if _open:
+            _open[-1].append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -48,6 +69,7 @@ class Scratch:
 
     def clear(self) -> None:
         self._delete(self.root)
+        atexit.unregister(self.clear)
 
     def _delete(self, path: str) -> None:
         try:

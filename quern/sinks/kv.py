@@ -77,35 +77,44 @@ class KVSink:
 
 
 class ParquetStore:
-    """The same item semantics as one Parquet table per domain: (name, attribute, values)."""
+    """The same item semantics as one Parquet table per domain, (name, attribute, values), in versions. One writer per domain at a time."""
 
     def __init__(self, path: str):
         self.path = path
 
     def upsert(self, df: DataFrame, domain: str, name: str, replace: bool = True) -> None:
         """Merge a frame's rows into the domain; attributes of an item that the frame doesn't hold stay."""
-        spark, path = df.sparkSession, f"{self.path}/{domain}"
+        spark = df.sparkSession
         attributes = [c for c in df.columns if c != name]
         each = F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in attributes))).alias("x")
         new = df.select(F.col(name).cast("string").alias("name"), each).select("name", "x.*").where("value is not null and value <> ''").groupBy("name", "attribute").agg(F.array_sort(F.collect_set("value")).alias("new"))
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
+        versions = self._versions(spark, domain)
+        old = spark.read.parquet(f"{self.path}/{domain}/{versions[-1]}") if versions else None
         if old is None:
             merged = new.withColumnRenamed("new", "values")
         else:
             both = old.join(new, ["name", "attribute"], "full_outer")
             values = F.coalesce("new", "values") if replace else F.array_sort(F.array_union(F.coalesce("values", F.array().cast("array<string>")), F.coalesce("new", F.array().cast("array<string>"))))
             merged = both.select("name", "attribute", values.alias("values"))
-        # Written beside the old table, which is being read, and put in its place afterwards.
-        staged = f"{path}-staged"
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+        # The new version counts once it is complete; a failure before leaves the old one, which is kept until the next upsert.
+        number = int(versions[-1][1:]) + 1 if versions else 0
+        merged.write.mode("overwrite").parquet(f"{self.path}/{domain}/v{number:09}")
+        fs, path = self._fs(spark, domain)
+        for v in versions[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, v), True)
+
+    def _fs(self, spark, domain: str):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{domain}")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _versions(self, spark, domain: str) -> list[str]:
+        """The complete versions of a domain, oldest first."""
+        fs, path = self._fs(spark, domain)
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return [n for n in names if n.startswith("v") and fs.exists(done(done(path, n), "_SUCCESS"))]
 
     def items(self, spark, domain: str) -> DataFrame:
         """(name, attributes map) of a domain."""
-        rows = spark.read.parquet(f"{self.path}/{domain}")
+        rows = spark.read.parquet(f"{self.path}/{domain}/{self._versions(spark, domain)[-1]}")
         return rows.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "values"))).alias("attributes"))

@@ -1,10 +1,13 @@
-"""Sinks: one-file reports, overwritten partitions, delimited exports."""
+"""Sinks: reports, overwritten partitions, delimited exports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
+ONE_FILE_BYTES = 64 << 20
+
+
 def _fs(df: DataFrame, path: str):
     jvm = df.sparkSession.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -12,19 +15,24 @@ def _fs(df: DataFrame, path: str):
 
 
 def write_report(df: DataFrame, folder: str, name: str, order: list | None = None) -> str:
-    """One tab-separated file ``folder/name.txt``, replaced if it is there. For reports, whose rows are few; the
-    rows are sorted by ``order`` where it is given, else they keep the order of ``df``."""
+    """A tab-separated report ``folder/name.txt``, replaced if it is there. Rows are sorted by ``order`` where it is given, else they
+    keep the order of ``df``. They are written by all tasks; up to ONE_FILE_BYTES the parts are put together to one file, a
+    larger report stays a folder of parts in order."""
     staged = f"{folder}/.{name}-staged"
     out = df.orderBy(*order) if order else df
-    out.coalesce(1).write.mode("overwrite").csv(staged, sep="\t", emptyValue="", nullValue="")
+    out.write.mode("overwrite").csv(staged, sep="\t", emptyValue="", nullValue="")
     jvm, fs, path = _fs(df, staged)
     target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.txt")
-    part = next((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), None)
-    fs.delete(target, False)
-    if part is None:
-        fs.create(target).close()
-    elif not fs.rename(part, target):
-        raise OSError(f"can't rename {part} to {target}")
+    parts = sorted((s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    fs.delete(target, True)
+    if sum(s.getLen() for s in parts) > ONE_FILE_BYTES:
+        if not fs.rename(path, target):
+            raise OSError(f"can't rename {path} to {target}")
+        return f"{folder}/{name}.txt"
+    whole = fs.create(target)
+    for s in parts:
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(s.getPath()), whole, 1 << 16, False)
+    whole.close()
     fs.delete(path, True)
     return f"{folder}/{name}.txt"
 

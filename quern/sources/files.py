@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import logs as L
-from ..schemas import ALIGNMENT, RATING, WIKI_STAT
+from ..schemas import ALIGNMENT, RATING, SEQUENCE, WIKI_STAT
 
 # Fixed value: how log files carry their hour in their name.
 DATED_NAME = r".*\.(\d+-\d+-\d+-\d+)\..*"
+# Bases of a chunk of a sequence, and how far chunks overlap unless told otherwise.
+CHUNK, OVERLAP = 65_535, 1_024
+PIECE_BASES = 65_535
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,17 +74,117 @@ def parse_titles(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(shape)).select(F.regexp_extract("line", shape, 1).alias("item"), F.regexp_extract("line", shape, 3).alias("name"))
 
 
+PIECES = "file string, block bigint, nth int, at bigint, header string, seq string"
+
+
+def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, file, block) in order to PIECES: the bases of each record in a block of a file, in pieces. ``nth`` counts the headers
+    of the block, 0 being what continues the record of the block before; ``at`` counts the record's bases within the block."""
+    unknown = {c: "N" for c in map(chr, range(33, 127)) if c not in "ACGT"}
+    table = str.maketrans(unknown)
+    rows: list[tuple] = []
+    held: list[str] = []
+    where, nth, at, size, header = None, 0, 0, 0, None
+
+    def close() -> None:
+        nonlocal at, size, header
+        if held or header is not None:
+            rows.append((*where, nth, at, header, "".join(held)))
+        at, size, header = at + size, 0, None
+        held.clear()
+
+    def packed() -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * 6
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], ["file", "block", "nth", "at", "header", "seq"])
+
+    for batch in batches:
+        for line, *place in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if place != where:
+                close()
+                where, nth, at = place, 0, 0
+            if line.startswith(">"):
+                close()
+                nth, at, header = nth + 1, 0, line[1:].strip()
+                continue
+            bases = "".join(line.split()).upper().translate(table)
+            held.append(bases)
+            size += len(bases)
+            if size >= PIECE_BASES:
+                close()
+        yield packed()
+    close()
+    yield packed()
+
+
+def _numbered_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, offset, header, seq): pieces of records with the record's number, from 1 in file and header order, and their place in it.
+
+    Files are read in blocks by many tasks; only one row per block, its headers and the bases after the last of them, is put in order in one place.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = lines.mapInArrow(_cut_records, PIECES).where("nth > 0 or block > 0")
+    records = pieces.groupBy("file", "block", "nth").agg(F.sum(F.length("seq")).alias("bases"))
+    blocks = records.groupBy("file", "block").agg(F.max("nth").alias("headers"), F.max_by("bases", "nth").alias("tail"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    run = blocks.select("file", "block", "headers", F.coalesce(F.sum("headers").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("tail").over(before), F.lit(0)).alias("tails"))
+    # The bases that the open record has before a block: all tails since the last block with a header.
+    begun = F.last(F.when(F.col("headers") > 0, F.col("tails")), ignorenulls=True).over(before)
+    run = run.select("file", "block", "first", (F.col("tails") - F.coalesce(begun, F.lit(0))).alias("carried"))
+    carried = F.when(F.col("nth") == 0, F.col("carried")).otherwise(0)
+    return pieces.join(run, ["file", "block"]).select((F.col("first") + F.col("nth")).alias("seq_id"), (F.col("at") + carried).alias("offset"), "header", "seq")
+
+
+def _joined(pieces: DataFrame, *keys: str) -> DataFrame:
+    return pieces.groupBy(*keys).agg(F.max("header").alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "seq"))), lambda p: p["seq"]), "").alias("seq"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, header, seq): sequences in normal form, numbered from 1 in file and header order.
+    """(seq_id, header, seq): whole sequences in normal form, numbered from 1 in file and header order. For reads and other short
+    records; long ones are read by :func:`read_sequences`. Bases before a file's first header are left out."""
+    return _joined(_numbered_pieces(spark, path), "seq_id").select("seq_id", "header", "seq")
 
-    Headers only are numbered through one ordered window; bases are joined per record, which is read as one value.
-    """
-    records = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
-    parts = F.split("value", r"\r?\n", 2)
-    rows = records.select("file", "at", F.trim(parts[0]).alias("header"), F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s+", "")), "[^ACGT]", "N").alias("seq"))
-    ids = rows.select("file", "at").withColumn("seq_id", F.row_number().over(Window.orderBy("file", "at")))
-    return rows.join(ids, ["file", "at"]).select("seq_id", "header", "seq")
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, header) of the same records."""
+    return _numbered_pieces(spark, path).where("header is not null").select("seq_id", "header")
+
+
+def read_sequences(spark: SparkSession, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(seq_id, chunk, offset, last_chunk, seq): the same sequences in chunks of ``chunk`` bases and up to ``overlap`` further ones, whatever
+    their length. A record without bases has one empty chunk."""
+    pieces = _numbered_pieces(spark, path)
+    end = F.col("offset") + F.length("seq")
+    first, last = F.floor(F.greatest(F.lit(0), F.col("offset") - overlap) / chunk), F.floor(F.greatest(F.col("offset"), end - 1) / chunk)
+    each = pieces.select("seq_id", "offset", "seq", F.explode(F.sequence(first, last)).alias("chunk"))
+    start = F.greatest("offset", F.col("chunk") * chunk)
+    n = F.least(end, (F.col("chunk") + 1) * chunk + overlap) - start
+    cut = each.select("seq_id", "chunk", start.alias("offset"), F.lit(None).cast("string").alias("header"), F.substr("seq", (start - F.col("offset") + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int")).alias("seq"))
+    sizes = pieces.groupBy("seq_id").agg(F.max(end).alias("size"))
+    whole = _joined(cut, "seq_id", "chunk").join(sizes, "seq_id").withColumn("offset", F.col("chunk") * chunk)
+    return whole.withColumn("last_chunk", F.col("size") <= F.col("offset") + chunk).select(*SEQUENCE.names)
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ALIGNMENT).parquet(path)
+
+
+def register_partitions(spark: SparkSession, name: str, path: str, schema: T.StructType, *columns: str, source: str = "parquet") -> DataFrame:
+    """A table of the catalog over the partition folders ``column=value`` below a path, all of which are registered; folders that
+    appear later are registered by calling again. Gives the table."""
+    if not spark.catalog.tableExists(name):
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({listed}) USING {source} PARTITIONED BY ({', '.join(columns)}) LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+def add_partition(spark: SparkSession, name: str, path: str, **values: str) -> None:
+    """Register one partition of such a table, whatever its folder is called; nothing happens if it is registered."""
+    spec = ", ".join(f"{k} = '{v}'" for k, v in values.items())
+    spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{path}'")
+
+
+def partitions(spark: SparkSession, name: str) -> DataFrame:
+    """(partition) of all that are registered, as ``column=value/...``."""
+    return spark.sql(f"SHOW PARTITIONS {name}")

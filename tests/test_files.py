@@ -2,12 +2,14 @@
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern import cli, schemas
 from quern.sinks.kv import KVSink, ParquetStore, Retry
+from quern.sinks import tables
 from quern.sinks.tables import export_delimited, overwrite_partitions, write_report
 from quern.sources import files
 from quern.streaming import volumes
@@ -37,6 +39,59 @@ def test_ratings_titles_fasta(spark, tmp_path):
     assert rows(files.parse_ratings(spark.createDataFrame([("2  1\t5",), ("x",), ("1 2 y",)], "line string"))) == [("2", "1", 5)]
     (tmp_path / "a.fa").write_text(">one x\nACgt\nNNAx\n\n>two\n\n>three\nGG")
     assert rows(files.read_fasta(spark, str(tmp_path / "a.fa"))) == [(1, "one x", "ACGTNNAN"), (2, "two", ""), (3, "three", "GG")]
+    assert rows(files.read_headers(spark, str(tmp_path / "a.fa"))) == [(1, "one x"), (2, "two"), (3, "three")]
+
+
+@pytest.mark.parametrize("block", [37, 400, 1 << 20])
+def test_sequences_in_chunks(spark, tmp_path, monkeypatch, block):
+    """Records that run over many blocks of two files, in chunks on a grid of their own."""
+    import random
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(files, "PIECE_BASES", 50)
+    sizes = [0, 1, 100, 739, 16, 300, 0, 17]
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in sizes]
+    for f, part in (("a.fa", range(5)), ("b.fa", range(5, 8))):
+        with open(tmp_path / f, "w") as out:
+            out.write("ACGT\n" * (f == "b.fa"))  # bases without a header
+            for i in part:
+                out.write(f">seq {i}\n" + "".join(seqs[i][k : k + 23] + "\n" for k in range(0, sizes[i], 23)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        whole = {r.seq_id: (r.header, r.seq) for r in files.read_fasta(spark, str(tmp_path)).collect()}
+        assert whole == {i + 1: (f"seq {i}", x) for i, x in enumerate(seqs)}
+        got = rows(files.read_sequences(spark, str(tmp_path), chunk=16, overlap=5))
+        want = [(i + 1, k, 16 * k, 16 * (k + 1) >= len(x), x[16 * k : 16 * k + 21]) for i, x in enumerate(seqs) for k in range(max(1, -(-len(x) // 16)))]
+        assert got == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_registered_partitions(spark, tmp_path):
+    for k in ("a", "b"):
+        spark.createDataFrame([(1,), (2,)], "n int").write.parquet(str(tmp_path / "t" / f"k={k}"))
+    schema = spark.createDataFrame([], "n int, k string").schema
+    read = lambda: files.register_partitions(spark, "registered", str(tmp_path / "t"), schema, "k")
+    assert read().count() == 4
+    spark.createDataFrame([(3,)], "n int").write.parquet(str(tmp_path / "t" / "k=c"))
+    spark.createDataFrame([(4,)], "n int").write.parquet(str(tmp_path / "elsewhere"))
+    assert rows(read().where("k = 'c'")) == [(3, "c")]
+    files.add_partition(spark, "registered", str(tmp_path / "elsewhere"), k="d")
+    assert rows(spark.table("registered").where("k = 'd'")) == [(4, "d")]
+    assert rows(files.partitions(spark, "registered")) == [("k=a",), ("k=b",), ("k=c",), ("k=d",)]
+    spark.sql("DROP TABLE registered")
+
+
+def test_scratch_scope(spark):
+    from quern.scratch import Scratch, scope
+
+    with scope():
+        kept = Scratch(spark).write(spark.range(3), "t")
+        assert kept.count() == 3
+        root = kept.inputFiles()[0].rsplit("/", 2)[0][7:]
+        assert os.path.isdir(root)
+    assert not os.path.exists(root)
 
 
 def test_json_tables_and_documents(spark, tmp_path):
@@ -54,10 +109,15 @@ def test_json_tables_and_documents(spark, tmp_path):
     assert rows(files.read_table(spark, str(tmp_path / "wiki.txt"))) == [("en", "Main", 5, 100), ("en", "Other", None, 7)]
 
 
-def test_report_and_partition_sinks(spark, tmp_path):
+def test_report_and_partition_sinks(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("", None)], "k string, n int")
     path = write_report(df, str(tmp_path), "top", [F.desc_nulls_last("n")])
     assert open(path).read() == "a\t2\nb\t1\n\t\n"
+    many = write_report(spark.range(1000, numPartitions=9), str(tmp_path), "many", ["id"])
+    assert open(many).read().split() == [str(k) for k in range(1000)]
+    monkeypatch.setattr(tables, "ONE_FILE_BYTES", 10)
+    parts = write_report(spark.range(1000, numPartitions=9), str(tmp_path), "many")
+    assert os.path.isdir(parts) and spark.read.text(parts).count() == 1000
     write_report(df.limit(0), str(tmp_path), "top")
     assert open(path).read() == ""
     day = lambda d, n: spark.createDataFrame([(d, "00", n)], "day string, hour string, n int")
@@ -108,6 +168,7 @@ def test_parquet_store_upserts(spark, tmp_path):
     put([("a", "Ann"), ("b", "Bob")], "id string, Name string")
     items = lambda: {r.name: r.attributes for r in store.items(spark, "d").collect()}
     assert items() == {"a": {"Count": ["3"], "Name": ["Ann"]}, "b": {"Name": ["Bob"]}}
+    (tmp_path / "d" / "v000000099").mkdir()  # what a failed upsert leaves
     put([("b", "Bo")], "id string, Name string", replace=False)
     assert items()["b"] == {"Name": ["Bo", "Bob"]}
 
