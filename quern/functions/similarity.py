@@ -23,8 +23,9 @@ def sample_probability(cutoff: float, user_count: Column, item_count: Column) ->
 
 
 def hash_uniform(seed: int, *cols: Column) -> Column:
-    """A number in [0, 1) that depends on the values and the seed alone, not on partitioning."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    """A number in [0, 1) that depends on the values' texts and the seed alone, not on partitioning: 60 bits of their MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in cols), F.lit(str(seed)))), 1, 15)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 60))
 
 
 def pearson(sxx: Column, sx: Column, sxy: Column, sy: Column, syy: Column, n: Column) -> Column:

@@ -42,10 +42,16 @@ def kmers(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     return at.select("seq_id", F.substr("seq", F.col("at") + 1, F.lit(k)).cast("string").alias("kmer"), (F.col("offset") + F.col("at")).alias("position"))
 
 
-def kmer_count(seqs: DataFrame, k: int, with_positions: bool = False) -> DataFrame:
-    """(kmer, n), optionally with its places (seq_id, position) in order - one list per k-mer, meant for rare ones."""
-    places = [F.array_sort(F.collect_list(F.struct("seq_id", "position"))).alias("places")] if with_positions else []
-    return kmers(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), *places)
+def kmer_count(seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, n)."""
+    return kmers(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kmer_places(seqs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """(kmer, seq_id, chunk, positions): where each k-mer lies, in order; one list for every chunk of a sequence, so that none
+    is longer than a chunk however frequent the k-mer is."""
+    rows = kmers(seqs, k, chunk).withColumn("chunk", F.floor(F.col("position") / chunk))
+    return rows.groupBy("kmer", "seq_id", "chunk").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def kmer_distinct(counted: DataFrame) -> DataFrame:
@@ -199,6 +205,8 @@ def align_chunks(chunks: DataFrame, reads: DataFrame, *, k: int, min_len: int, m
         flanks = [bases(F.col("begin"), F.col("at") - F.col("begin")).cast("string"), F.substr("s", F.lit(1), F.col("i")), bases(F.col("at") + seed_len, after + k).cast("string"), F.substr("s", F.col("i") + seed_len + 1, after)]
         x = _extend_udf(k, seed_len)(*flanks)
         found = same.withColumn("x", x).where("x.differences is not null").select("read_id", "ref_id", (F.col("at") - F.col("x.used_left")).cast("int").alias("ref_start"), (F.col("at") + seed_len + F.col("x.used_right")).cast("int").alias("ref_end"), "x.differences", "is_rc")
+        # A missing base in a run of equal ones can be seen on either side of a seed, so two seeds may tell of one alignment.
+        found = found.groupBy("read_id", "ref_id", "ref_start", "ref_end", "is_rc").agg(F.min("differences").alias("differences")).select(*(x.split(" ")[0] for x in FOUND.split(", ")))
     return unique_best(found) if unique else found
 
 
@@ -208,7 +216,7 @@ def align(refs: DataFrame, reads: DataFrame, *, k: int, read_len: int | None = N
     ``refs``: ref_id, seq of any length; ``reads``: read_id, seq. Mode 'mismatch' allows substitutions, 'difference' also gaps and
     extra bases. By the pigeonhole principle a read with at most k differences has a seed of min_len // (k + 1)
     bases without any; seeds are joined, flanks compared, and an alignment is kept only from its leftmost exact
-    seed, so mismatch mode reports each once without a shuffle. Positions are 0-based, the end excluded; the
+    seed, so mismatch mode reports each once without a shuffle; in difference mode repeats of an alignment are put together. Positions are 0-based, the end excluded; the
     whole read must fit. N equals N in flanks and never seeds, so a read whose every exact seed holds an N isn't found. ``ref_id`` must be unique. Empty and null sequences align nowhere.
     """
     min_len, max_len = min_len or read_len, max_len or read_len

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import logs as L
 from ..functions.dna import BASES, reverse_complement
 from ..functions.ids import clean_id
+from ..functions.times import partition_window
 from ..operators import ads, alignment, counting, keyed, log_reports, related
 from ..scratch import Scratch
 from ..streaming import volumes
 
-PERIOD = ("2009-03-01-00-00", "2009-04-01-00-00")
 N_USERS, MIN_CORATINGS, K_RELATED = 147160, 5, 25
 READ_LEN, K_DIFFS, KMER = 32, 1, 6
 
@@ -158,13 +158,23 @@ for _report, _field in log_reports.CDN_REPORTS.items():
 # Ads
 
 
+def period(spark: SparkSession, d: str) -> tuple[str, str, str]:
+    """Bounds around all partitions of impressions: midnight of the day before the first and after the last; and 20 minutes more."""
+    day = lambda c, by: F.date_add(F.to_date(F.substring(c, 1, 10)), by)
+    valid = table(spark, d, "impressions").where(F.try_to_timestamp("dt", F.lit("yyyy-MM-dd-HH-mm")).isNotNull())
+    a, b = valid.agg(day(F.min("dt"), -1).cast("string"), day(F.max("dt"), 1).cast("string")).first()
+    return f"{a}-00-00", f"{b}-00-00", f"{b}-00-20"
+
+
 def _joined(spark: SparkSession, d: str, **how) -> DataFrame:
-    return ads.click_join(table(spark, d, "impressions"), table(spark, d, "clicks"), *PERIOD, "2009-04-01-00-20", **how)
+    return ads.click_join(table(spark, d, "impressions"), table(spark, d, "clicks"), *period(spark, d), **how)
 
 
 _MS = "CASE WHEN regexp_full_match(trim(\"requestBeginTime\", ' ' || chr(9)), '[0-9]+') THEN strftime(make_timestamp(trim(\"requestBeginTime\", ' ' || chr(9))::BIGINT // 1000 * 1000000), '%Y-%m-%d %H:%M:%S') END AS \"requestBeginTime\""
-_JOIN = f"""(SELECT i.* EXCLUDE dt, c.id IS NOT NULL AS clicked FROM (SELECT {_MS}, "adId", "impressionId", referrer, "userAgent", "userCookie", ip, dt FROM impressions WHERE dt > '{PERIOD[0]}' AND dt < '{PERIOD[1]}') i
-  LEFT JOIN (SELECT {{0}} "impressionId" AS id FROM clicks WHERE "impressionId" IS NOT NULL AND dt > '{PERIOD[0]}' AND dt < '2009-04-01-00-20') c ON i."impressionId" = c.id)"""
+_BOUND = "(SELECT strftime(strptime({0}(dt), '%Y-%m-%d-%H-%M') {1} INTERVAL 1 DAY, '%Y-%m-%d-00-') FROM impressions WHERE try_strptime(dt, '%Y-%m-%d-%H-%M') IS NOT NULL) || '{2}'"
+_FROM, _TO, _LATE = _BOUND.format("min", "-", "00"), _BOUND.format("max", "+", "00"), _BOUND.format("max", "+", "20")
+_JOIN = f"""(SELECT i.* EXCLUDE dt, c.id IS NOT NULL AS clicked FROM (SELECT {_MS}, "adId", "impressionId", referrer, "userAgent", "userCookie", ip, dt FROM impressions WHERE dt > {_FROM} AND dt < {_TO}) i
+  LEFT JOIN (SELECT {{0}} "impressionId" AS id FROM clicks WHERE "impressionId" IS NOT NULL AND dt > {_FROM} AND dt < {_LATE}) c ON i."impressionId" = c.id)"""
 
 
 @query(f"SELECT * FROM {_JOIN.replace('{0}', '')}")
@@ -208,22 +218,24 @@ def request_time_stats(spark: SparkSession, d: str) -> DataFrame:
     return ads.response_stats(ads.request_times(_requests(spark, d))).withColumn("tavg", F.round("tavg", 6))
 
 
-@query("""SELECT "name", count(*) AS n FROM (SELECT unnest(['open', 'closed', 'late', 'equal']) AS "name", unnest([dt > '2009-03-09-10-00' AND dt < '2009-03-09-11-00',
-    dt >= '2009-03-09-10-00' AND dt < '2009-03-09-11-00', dt > '2009-03-09-10-00' AND dt < '2009-03-09-11-20', dt = '2009-03-09-10-00']) AS inside FROM impressions) WHERE inside GROUP BY 1""")
+@query("""SELECT hour, "name", count(*) AS n FROM (SELECT unnest([h, h, h, h, before]) AS hour, unnest(['open', 'closed', 'late', 'equal', 'late']) AS "name", unnest([m > 0, true, m > 0, m = 0, m < 20]) AS inside
+    FROM (SELECT dt[:13] AS h, dt[15:16]::INTEGER AS m, strftime(try_strptime(dt, '%Y-%m-%d-%H-%M') - INTERVAL 1 HOUR, '%Y-%m-%d-%H') AS before FROM impressions WHERE try_strptime(dt, '%Y-%m-%d-%H-%M') IS NOT NULL)) WHERE inside GROUP BY 1, 2""")
 def window_filters(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of one hour's partitions under each of the four kinds of bounds."""
-    from ..functions.times import partition_window
-
-    dt, a, b = F.col("dt"), "2009-03-09-10-00", "2009-03-09-11-00"
-    kinds = {"open": partition_window(dt, a, b), "closed": partition_window(dt, a, b, True), "late": partition_window(dt, a, "2009-03-09-11-20"), "equal": dt == a}
+    """Rows of every hour's partitions under each of the four kinds of bounds."""
+    at = F.try_to_timestamp("dt", F.lit("yyyy-MM-dd-HH-mm"))
+    name = lambda t: F.date_format(t, "yyyy-MM-dd-HH-mm")
+    hours = F.explode(F.array(*(F.date_trunc("hour", at) - F.expr(f"interval {k} hours") for k in (0, 1)))).alias("hour")
+    rows = table(spark, d, "impressions").where(at.isNotNull()).select("dt", hours)
+    dt, a, b, late = F.col("dt"), name(F.col("hour")), name(F.col("hour") + F.expr("interval 1 hour")), name(F.col("hour") + F.expr("interval 80 minutes"))
+    kinds = {"open": partition_window(dt, a, b), "closed": partition_window(dt, a, b, True), "late": partition_window(dt, a, late), "equal": dt == a}
     each = F.explode(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items()))).alias("name")
-    return table(spark, d, "impressions").select(each).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.date_format("hour", "yyyy-MM-dd-HH").alias("hour"), each).where("name is not null").groupBy("hour", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT {_MS}, "adId", "impressionId", referrer, "userAgent", "userCookie", ip FROM impressions
-  WHERE dt >= '{PERIOD[0]}' AND dt < '{PERIOD[1]}' AND referrer = 'http://www.elderbay.example/copper' AND "userAgent" LIKE '%Mozilla%'""")
+  WHERE dt >= {_FROM} AND dt < {_TO} AND referrer = 'http://www.elderbay.example/copper' AND "userAgent" LIKE '%Mozilla%'""")
 def filtered_export(spark: SparkSession, d: str) -> DataFrame:
-    return ads.filtered_impressions(table(spark, d, "impressions"), "http://www.elderbay.example/copper", "Mozilla", *PERIOD)
+    return ads.filtered_impressions(table(spark, d, "impressions"), "http://www.elderbay.example/copper", "Mozilla", *period(spark, d)[:2])
 
 
 # Similarity
@@ -256,11 +268,11 @@ def user_counts(spark: SparkSession, d: str) -> DataFrame:
     return related.user_counts(ratings(spark, d)).withColumnRenamed("user", "user_key")
 
 
-@query(f"SELECT u AS user_key, count(*) AS n, sum(r)::BIGINT AS total, string_agg(i || ',' || r, ' ' ORDER BY i) AS postings FROM {_SCALED} GROUP BY 1")
+@query(f"SELECT u AS user_key, 0 AS block, count(*) AS n, sum(r)::BIGINT AS total, string_agg(i || ',' || r, ' ' ORDER BY i) AS postings FROM {_SCALED} GROUP BY 1")
 def user_postings(spark: SparkSession, d: str) -> DataFrame:
     rows = related.user_postings(related.scaled(ratings(spark, d), "log", "sum"))
     text = F.array_join(F.transform("postings", lambda p: F.concat_ws(",", p["item"], p["rating"].cast("string"))), " ")
-    return rows.select(F.col("user").alias("user_key"), "n", "total", text.alias("postings"))
+    return rows.select(F.col("user").alias("user_key"), "block", "n", "total", text.alias("postings"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -281,10 +293,16 @@ def related_items_topk(spark: SparkSession, d: str) -> DataFrame:
     return related.related_items(pairs, names, min_coratings=MIN_CORATINGS, k=K_RELATED)
 
 
-@query()
+CUTOFF = 20
+_REAL = f"(SELECT u, i::VARCHAR AS i, sum(r) AS r FROM {_RATINGS} GROUP BY u, i)"
+_KEPT = f"""(SELECT u, i, r FROM (SELECT *, count(*) OVER (PARTITION BY u) AS nu, count(*) OVER (PARTITION BY i) AS ni FROM {_REAL})
+  WHERE ('0x' || md5(concat_ws('|', u, i, '42'))[:15])::BIGINT::DOUBLE / 1152921504606846976 < greatest({CUTOFF}.0 / nu, {CUTOFF}.0 / ni))"""
+
+
+@query(f"SELECT item_x, item_y, n, round(sim, 6) AS sim FROM {_PAIRS.replace(_SCALED, _KEPT)}")
 def item_similarity_sampled(spark: SparkSession, d: str) -> DataFrame:
-    """With a cutoff low enough to sample prolific users, by hash."""
-    return related.item_similarity(ratings(spark, d), scale="real", cutoff=20, n_users=N_USERS)
+    """With a cutoff below the number of ratings of most users and items, which keeps a part of these by hash."""
+    return related.item_similarity(ratings(spark, d), scale="real", cutoff=CUTOFF, n_users=N_USERS).withColumn("sim", F.round("sim", 6))
 
 
 # Keyed data and activity
@@ -383,9 +401,36 @@ def align_stats(spark: SparkSession, d: str) -> DataFrame:
     return alignment.alignment_stats(_aligned(spark, d))
 
 
-@query()
+def edited_reads(spark: SparkSession, d: str) -> DataFrame:
+    """(read_id, seq): as :func:`reads`, but one base is changed, missing or added, by the id; the read keeps its length."""
+    ids = table(spark, d, "clicks").select(clean_id(F.col("impressionId")).alias("id")).where("id is not null").distinct()
+    rows = ids.select(F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("bigint").alias("read_id"), _bases(F.col("id")).alias("own"), _bases(F.concat("id", F.lit("r"))).alias("next"))
+    at = F.pmod("read_id", F.lit(READ_LEN)).cast("int")
+    before, here, after = F.substr("own", F.lit(1), at), F.substr("own", at + 1, F.lit(1)), F.substr("own", at + 2, F.lit(READ_LEN))
+    other = F.translate(here, BASES, "CGTA")
+    kind = F.pmod("read_id", F.lit(3))
+    edited = F.when(kind == 0, F.concat(before, other, after)).when(kind == 1, F.concat(before, after, F.substring("next", 1, 1))).otherwise(F.substring(F.concat(before, other, here, after), 1, READ_LEN))
+    return rows.select("read_id", F.when(F.pmod("read_id", F.lit(2)) == 0, reverse_complement(edited)).otherwise(edited).alias("seq"))
+
+
+_EDITED = f"""(SELECT read_id, CASE WHEN read_id % 2 = 0 THEN translate(reverse(c), 'ACGT', 'TGCA') ELSE c END AS q FROM (
+  SELECT read_id, CASE read_id % 3 WHEN 0 THEN own[:p] || o || own[p + 2:] WHEN 1 THEN own[:p] || own[p + 2:] || nxt[1:1] ELSE (own[:p] || o || own[p + 1:])[:{READ_LEN}] END AS c FROM (SELECT *, translate(own[p + 1:p + 1], 'ACGT', 'CGTA') AS o FROM (
+    SELECT read_id, own, nxt, (read_id % {READ_LEN})::INTEGER AS p FROM (SELECT ('0x' || md5(id)[:15])::BIGINT AS read_id, {_B.format('id')} AS own, {_B.format('id || chr(114)')} AS nxt FROM (SELECT DISTINCT {_CLEAN} AS id FROM clicks) WHERE id IS NOT NULL)))))"""
+# Each seed match with its flanks aligned on their own: of the reference lengths one apart at most, those with fewest edits, the shortest
+# of them; the second seed counts only if the first one is edited, which a missing base right between the two is not.
+_SEEDED = f"""(SELECT r.ref_id, r.s, e.read_id, e.is_rc, r.a, e.i, e.q[:e.i] AS ql, e.q[e.i + 17:] AS qr FROM (SELECT ref_id, s, unnest(range(0, {3 * READ_LEN - 15})) AS a, s[a + 1:a + 16] AS seed FROM {_REFS}) r
+  JOIN (SELECT read_id, q, is_rc, unnest([0, 16]) AS i, q[i + 1:i + 16] AS seed FROM (SELECT read_id, q, false AS is_rc FROM {_EDITED} UNION ALL SELECT read_id, translate(reverse(q), 'ACGT', 'TGCA'), true FROM {_EDITED})) e ON r.seed = e.seed)"""
+_KDIFF = f"""SELECT read_id, ref_id, (a - nl)::INTEGER AS ref_start, (a + 16 + nr)::INTEGER AS ref_end, min(el + er)::INTEGER AS differences, is_rc FROM (
+  SELECT *, row_number() OVER (PARTITION BY read_id, ref_id, is_rc, a, i ORDER BY el, nl, er, nr) AS best FROM (
+    SELECT *, CASE WHEN i = 0 THEN 0 ELSE levenshtein(s[a - nl + 1:a], ql) END AS el, CASE WHEN i = 16 THEN 0 ELSE levenshtein(s[a + 17:a + 16 + nr], qr) END AS er FROM (
+      SELECT *, unnest(CASE WHEN i = 0 THEN [0] ELSE [15, 16, 17] END) AS nl FROM (SELECT *, unnest(CASE WHEN i = 16 THEN [0] ELSE [15, 16, 17] END) AS nr FROM {_SEEDED}))
+    WHERE a >= nl AND a + 16 + nr <= length(s)))
+  WHERE best = 1 AND el + er <= {K_DIFFS} AND (i = 0 OR el > 0 AND s[a - 16:a - 1] <> ql) GROUP BY ALL"""
+
+
+@query(_KDIFF)
 def align_kdifference(spark: SparkSession, d: str) -> DataFrame:
-    return _aligned(spark, d, mode="difference")
+    return alignment.align(sequences(spark, d).select("ref_id", "seq"), edited_reads(spark, d), k=K_DIFFS, read_len=READ_LEN, mode="difference")
 
 
 _KMERS = f"(SELECT unnest(range(1, {3 * READ_LEN - KMER + 2})) AS p, s[p:p + {KMER - 1}] AS kmer FROM {_REFS})"
@@ -396,6 +441,14 @@ def kmer_count(spark: SparkSession, d: str) -> DataFrame:
     return alignment.kmer_count(sequences(spark, d).select(F.col("ref_id").alias("seq_id"), "seq"), KMER)
 
 
+@query(f"""SELECT kmer, ref_id AS seq_id, 0::BIGINT AS chunk, string_agg(p - 1, ' ' ORDER BY p) AS positions FROM (SELECT ref_id, unnest(range(1, {3 * READ_LEN - KMER + 2})) AS p, s[p:p + {KMER - 1}] AS kmer FROM {_REFS})
+  GROUP BY 1, 2 HAVING count(*) > 1""")
+def kmer_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The places of the k-mers that a sequence holds more than once."""
+    places = alignment.kmer_places(sequences(spark, d).select(F.col("ref_id").alias("seq_id"), "seq"), KMER).where(F.size("positions") > 1)
+    return places.withColumn("positions", F.array_join("positions", " "))
+
+
 @query(f"SELECT count(DISTINCT kmer) AS n_kmers, count(*)::BIGINT AS n_places FROM {_KMERS}")
 def kmer_distinct(spark: SparkSession, d: str) -> DataFrame:
     return alignment.kmer_distinct(kmer_count(spark, d))

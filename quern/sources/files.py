@@ -77,44 +77,48 @@ def parse_titles(lines: DataFrame) -> DataFrame:
 PIECES = "file string, block bigint, nth int, at bigint, header string, seq string"
 
 
-def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_records(piece_bases: int):
     """(line, file, block) in order to PIECES: the bases of each record in a block of a file, in pieces. ``nth`` counts the headers
     of the block, 0 being what continues the record of the block before; ``at`` counts the record's bases within the block."""
-    unknown = {c: "N" for c in map(chr, range(33, 127)) if c not in "ACGT"}
-    table = str.maketrans(unknown)
-    rows: list[tuple] = []
-    held: list[str] = []
-    where, nth, at, size, header = None, 0, 0, 0, None
-
-    def close() -> None:
-        nonlocal at, size, header
-        if held or header is not None:
-            rows.append((*where, nth, at, header, "".join(held)))
-        at, size, header = at + size, 0, None
-        held.clear()
-
-    def packed() -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [()] * 6
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], ["file", "block", "nth", "at", "header", "seq"])
-
-    for batch in batches:
-        for line, *place in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if place != where:
-                close()
-                where, nth, at = place, 0, 0
-            if line.startswith(">"):
-                close()
-                nth, at, header = nth + 1, 0, line[1:].strip()
-                continue
-            bases = "".join(line.split()).upper().translate(table)
-            held.append(bases)
-            size += len(bases)
-            if size >= PIECE_BASES:
-                close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = {c: "N" for c in map(chr, range(33, 127)) if c not in "ACGT"}
+        table = str.maketrans(unknown)
+        rows: list[tuple] = []
+        held: list[str] = []
+        where, nth, at, size, header = None, 0, 0, 0, None
+
+        def close() -> None:
+            nonlocal at, size, header
+            if held or header is not None:
+                rows.append((*where, nth, at, header, "".join(held)))
+            at, size, header = at + size, 0, None
+            held.clear()
+
+        def packed() -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * 6
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], ["file", "block", "nth", "at", "header", "seq"])
+
+        for batch in batches:
+            for line, *place in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if place != where:
+                    close()
+                    where, nth, at = place, 0, 0
+                if line.startswith(">"):
+                    close()
+                    nth, at, header = nth + 1, 0, line[1:].strip()
+                    continue
+                bases = "".join(line.split()).upper().translate(table)
+                held.append(bases)
+                size += len(bases)
+                if size >= piece_bases:
+                    close()
+            yield packed()
+        close()
         yield packed()
-    close()
-    yield packed()
+
+    return run
 
 
 def _numbered_pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +127,7 @@ def _numbered_pieces(spark: SparkSession, path: str) -> DataFrame:
     Files are read in blocks by many tasks; only one row per block, its headers and the bases after the last of them, is put in order in one place.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    pieces = lines.mapInArrow(_cut_records, PIECES).where("nth > 0 or block > 0")
+    pieces = lines.mapInArrow(_cut_records(PIECE_BASES), PIECES).where("nth > 0 or block > 0")
     records = pieces.groupBy("file", "block", "nth").agg(F.sum(F.length("seq")).alias("bases"))
     blocks = records.groupBy("file", "block").agg(F.max("nth").alias("headers"), F.max_by("bases", "nth").alias("tail"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)

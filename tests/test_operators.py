@@ -147,14 +147,36 @@ def test_no_ratings_are_dropped_above_the_cutoff(spark, tmp_path, monkeypatch):
     assert tuple(got) == (200 * 199 // 2, 200 * 199 // 2 + 149 * (60 * 59 // 2))
 
 
+@pytest.mark.parametrize(("block", "held"), [(3, 2_000_000), (1000, 50), (4, 1)])
+def test_pair_sums_in_cells(spark, monkeypatch, block, held):
+    """Prolific users over several cells, sums let go early, text order of whole-number items, repeated ratings."""
+    monkeypatch.setattr(related, "BLOCK", block)
+    monkeypatch.setattr(related, "HELD_PAIRS", held)
+    rnd = random.Random(7)
+    data = [(rnd.randrange(8), rnd.choice([2, 10, 9, 100, 33, 4]), rnd.randrange(1, 9)) for _ in range(90)]
+    want = defaultdict(lambda: [0] * 6)
+    for u in range(8):
+        own = sorted(((str(i), r) for k, i, r in data if k == u))
+        for a in range(len(own)):
+            for b in range(a + 1, len(own)):
+                (x, v), (y, w) = own[a], own[b]
+                for k, add in enumerate((1, v * v, v, v * w, w, w * w)):
+                    want[x, y][k] += add
+    got = related.pair_sums(frame(spark, data, "user bigint, item bigint, rating bigint"))
+    assert {(r.item_x, r.item_y): [r.n, r.sxx, r.sx, r.sxy, r.sy, r.syy] for r in got.collect()} == dict(want)
+    assert related.pair_sums(frame(spark, [], "user bigint, item bigint, rating bigint")).count() == 0
+
+
 def test_postings_and_related(spark):
     data = [("17", "70", 3), ("35", "21", 1), ("49", "19", 2), ("49", "21", 1), ("49", "70", 4), ("87", "19", 1), ("87", "21", 2), ("98", "19", 2)]
     df = frame(spark, data, "user string, item string, rating bigint")
+    halves = related.user_postings(df, block=2).where("user = '49'").collect()
+    assert {(r.n, r.total) for r in halves} == {(3, 7)} and sorted(p.item for r in halves for p in r.postings) == ["19", "21", "70"]
     got = {r.user: (r.n, r.total, [tuple(p) for p in r.postings]) for r in related.user_postings(df).collect()}
     assert got["49"] == (3, 7, [("19", 2), ("21", 1), ("70", 4)]) and got["87"] == (2, 3, [("19", 1), ("21", 2)])
     sums = {(r.item_x, r.item_y): r.n for r in related.pair_sums(df).collect()}
     assert sums == {("19", "21"): 2, ("19", "70"): 1, ("21", "70"): 1}
-    twice = related.pair_sums(frame(spark, [("u", "a", 1), ("u", "a", 2), ("u", "b", 3)], "user string, item string, rating bigint"), "pairwise")
+    twice = related.pair_sums(frame(spark, [("u", "a", 1), ("u", "a", 2), ("u", "b", 3)], "user string, item string, rating bigint"))
     assert {(r.item_x, r.item_y): r.n for r in twice.collect()} == {("a", "a"): 1, ("a", "b"): 2}
     pairs = frame(spark, [("a", "b", 0.5, 9), ("a", "c", 0.5, 9), ("a", "d", 0.9, 2), ("b", "c", 0.1, 9)], "item_x string, item_y string, sim double, n bigint")
     names = frame(spark, [("a", "Ann")], "item string, name string")
@@ -241,8 +263,8 @@ def test_align_rejects_lengths(spark):
 def test_kmers(spark):
     seqs = frame(spark, [(1, "ACGTAC"), (2, "AC"), (3, ""), (4, None)], "seq_id bigint, seq string")
     assert rows(alignment.kmer_count(seqs, 2)) == [("AC", 3), ("CG", 1), ("GT", 1), ("TA", 1)]
-    places = {r.kmer: [tuple(p) for p in r.places] for r in alignment.kmer_count(seqs, 2, with_positions=True).collect()}
-    assert places["AC"] == [(1, 0), (1, 4), (2, 0)]
+    places = lambda chunk: sorted((r.seq_id, r.chunk, r.positions) for r in alignment.kmer_places(seqs, 2, chunk).where("kmer = 'AC'").collect())
+    assert places(100) == [(1, 0, [0, 4]), (2, 0, [0])] and places(3) == [(1, 0, [0]), (1, 1, [4]), (2, 0, [0])]
     assert rows(alignment.kmer_distinct(alignment.kmer_count(seqs, 2))) == [(4, 6)]
     text = "".join(random.Random(6).choice("ACGT") for _ in range(500))
     one = frame(spark, [(7, text)], "seq_id bigint, seq string")
