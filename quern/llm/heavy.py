@@ -6,7 +6,8 @@ to groups, and per group and position the symbols are counted: a value with at l
 makes its symbol heavy at every position. A group in which some position has no heavy symbol holds no
 frequent value; where at least ten positions have exactly one, they determine the only possible
 codeword, the others being erasures; the rest (two frequent values met) goes into another round with
-other groups, twice as many. The candidates, at most one per group, are then counted exactly by value.
+other groups, twice as many. The candidates, at most one per group, are then counted exactly by value, and so
+are all values of groups that are still open after the last round.
 
 Counters have a fixed size per task (groups x 14 x 16), and their sums stream through the reducers,
 so memory depends neither on the rows nor on the number of distinct values.
@@ -25,7 +26,7 @@ GROUPS = 2048
 DATA, CHECK = 10, 4
 POSITIONS, SYMBOLS = DATA + CHECK, 16
 PRIMITIVE = 0b10011  # x^4 + x + 1, a primitive polynomial of GF(16)
-MAX_ROUNDS = 16
+ROUNDS = 16
 MAX_DOUBLINGS = 5
 
 
@@ -133,12 +134,12 @@ def _decode(least: int):
     return run
 
 
-def frequent_items(df: DataFrame, columns: list[str], one_in: int = 200, skip: tuple[str, ...] = ("", "-"), groups: int = GROUPS) -> DataFrame:
+def frequent_items(df: DataFrame, columns: list[str], one_in: int = 200, skip: tuple[str, ...] = ("", "-"), groups: int = GROUPS, rounds: int = ROUNDS) -> DataFrame:
     """(field, item, n, share): the values of each column found in at least one of ``one_in`` of all rows.
 
     Values are compared exactly as they are; nulls and those in ``skip`` are no items but count as rows.
     Counts are exact: the code only identifies candidates, of which there are at most ``groups`` a column
-    and round. An empty table has no frequent item. Ties all qualify.
+    and round; what ``rounds`` rounds leave undecided is counted by value. An empty table has no frequent item. Ties all qualify.
     """
     spark = df.sparkSession
     total = df.count()
@@ -155,7 +156,7 @@ def frequent_items(df: DataFrame, columns: list[str], one_in: int = 200, skip: t
 
     found: list[tuple[int, int]] = []
     open_groups: list[tuple[int, int, int]] = []  # (round, field, group) not decided yet, at most ``groups`` a column
-    for k in range(MAX_ROUNDS if total else 0):
+    for k in range(rounds if total else 0):
         rows = items
         if k:
             last = spark.createDataFrame([(f, g) for r, f, g in open_groups if r == k - 1], "field int, was int")
@@ -167,11 +168,13 @@ def frequent_items(df: DataFrame, columns: list[str], one_in: int = 200, skip: t
         open_groups = [(k, r.field, r.grp) for r in decided if r.print is None]
         if not open_groups:
             break
-    else:
-        if open_groups:
-            raise RuntimeError(f"frequent values still share groups after {MAX_ROUNDS} rounds; take more groups")
     # At most one candidate per group was decoded, so this table has a bounded size whatever the input.
     candidates = spark.createDataFrame(sorted(set(found)), "field int, print bigint")
-    counted = items.withColumn("print", coded(0)[1]).join(F.broadcast(candidates), ["field", "print"], "left_semi").groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
+    rows = items.withColumn("print", coded(0)[1]).join(F.broadcast(candidates), ["field", "print"], "left_semi").select("field", "item")
+    if open_groups:
+        last = spark.createDataFrame([(f, g) for _, f, g in open_groups], "field int, was int")
+        known = items.withColumns({"print": coded(0)[1], "was": coded(open_groups[0][0])[0]})
+        rows = rows.unionByName(known.join(F.broadcast(last), ["field", "was"], "left_semi").join(F.broadcast(candidates), ["field", "print"], "left_anti").select("field", "item"))
+    counted = rows.groupBy("field", "item").agg(F.count(F.lit(1)).alias("n"))
     named = F.element_at(F.array(*map(F.lit, columns)), F.col("field") + 1)
     return counted.where(F.col("n") * one_in >= total).select(named.alias("field"), "item", "n", (F.col("n") / total).alias("share"))

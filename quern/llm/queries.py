@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,41 +40,64 @@ def p4_within_stated_error(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("hostname", "dt").agg(F.max("n").alias("n"), F.every(ok).alias("within"))
 
 
-_COUNTED = [(c, per) for c in ("userCookie", "ip") for per in ("day", "ad", "ad_referrer")] + [("adId", "day")]
+_IDENTS = ("userCookie", "ip")
+
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda c: present(trimmed(F.col(c))).alias(c)
+    return table(spark, d, "impressions").select(F.substring("dt", 1, 10).alias("day"), *map(name, ("userCookie", "ip", "adId", "referrer")))
 
-def _memberships(spark: SparkSession, d: str) -> DataFrame:
-    name = lambda c: present(trimmed(F.col(c)))
-    rows = table(spark, d, "impressions").select(F.substring("dt", 1, 10).alias("day"), *(name(c).alias(c) for c in ("userCookie", "ip", "adId", "referrer")))
-    keys = {"day": [], "ad": [F.col("adId")], "ad_referrer": [F.col("adId"), F.col("referrer")]}
-    return distinct.memberships(rows, [(F.col(c), keys[per]) for c, per in _COUNTED], F.col("day"))
 
+def _levels(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    """Membership tables of userCookie and ip per ad and referrer, per ad and over all, and of adId over all."""
+    rows = _names(spark, d)
+    levels = distinct.memberships(rows, {c: F.col(c) for c in _IDENTS}, [F.col("adId"), F.col("referrer")], F.col("day"))
+    ads = distinct.memberships(rows, {"adId": F.col("adId")}, [], F.col("day"))[0].withColumn("field", F.lit(len(_IDENTS)))
+    return [*zip(("ad_referrer", "ad", "day"), levels), ("day", ads)]
 
-def _named(df: DataFrame) -> DataFrame:
-    names = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(per).alias("per")) for c, per in _COUNTED))[F.col("what")]
-    return df.withColumns({"field": names["field"], "per": names["per"]}).withColumnsRenamed({"k1": "adId", "k2": "referrer"}).drop("what")
+
+def _named(df: DataFrame, per: str, period: str | None) -> DataFrame:
+    field = F.array(*map(F.lit, (*_IDENTS, "adId")))[F.col("field")].alias("field")
+    null = F.lit(None).cast("string")
+    key = lambda k: F.col(k) if k in df.columns else null
+    return df.select(field, F.lit(per).alias("per"), *([key("period").alias(period)] if period else []), key("k1").alias("adId"), key("k2").alias("referrer"), "n_distinct")
 
 
 def p6_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct userCookie and ip per day, ad, and ad and referrer, and adId per day; exact (error 0)."""
-    counts = distinct.distinct_by_day(distinct.pattern_totals(_memberships(spark, d)), F.col("k1").isNull())
-    return _named(counts).select("field", "per", "day", "adId", "referrer", "n_distinct", F.lit(0.0).alias("error"))
+    out = [_named(distinct.distinct_by_period(distinct.pattern_totals(m)) if per == "day" else distinct.distinct_in_all(m), per, "day") for per, m in _levels(spark, d)]
+    return reduce(DataFrame.unionByName, out).withColumn("error", F.lit(0.0))
+
 
+def p6_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts over the days of each week from Monday on, from pattern totals."""
+    monday = lambda day: F.date_trunc("week", day).cast("date")
+    out = [_named(distinct.distinct_by_period(distinct.pattern_totals(m), monday), per, "week") for per, m in _levels(spark, d)]
+    return reduce(DataFrame.unionByName, out)
 
-def p6_two_weeks(spark: SparkSession, d: str) -> DataFrame:
-    """The same counts over two unions of days, 2009-03-02 to 08 and 2009-03-09 to 15, from pattern totals."""
-    patterns = Scratch(spark).write(distinct.pattern_totals(_memberships(spark, d)), "patterns")
-    weeks = {"2009-03-02": [f"2009-03-{x:02}" for x in range(2, 9)], "2009-03-09": [f"2009-03-{x:02}" for x in range(9, 16)]}
-    out = [_named(distinct.distinct_over(patterns, days)).withColumn("week", F.lit(w)) for w, days in weeks.items()]
-    return out[0].unionByName(out[1]).select("week", "field", "per", "adId", "referrer", "n_distinct")
+
+def _ad_patterns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _names(spark, d).select(F.col("userCookie").alias("cookie"), F.col("adId").alias("ad"))
+    return rows, *distinct.group_patterns(rows, F.col("cookie"), F.col("ad"))
 
 
 def p6_ad_series(spark: SparkSession, d: str) -> DataFrame:
     """Distinct cookies of each series of ads (first four characters of adId), through patterns over all ads."""
-    rows = table(spark, d, "impressions").select(present(trimmed(F.col("userCookie"))).alias("cookie"), present(trimmed(F.col("adId"))).alias("ad"))
-    totals, members = distinct.group_patterns(rows, F.col("cookie"), F.col("ad"))
-    combos = rows.where("ad is not null").select(F.substring("ad", 1, 4).alias("combo"), F.col("ad").alias("grp")).distinct()
-    return distinct.distinct_in_groups(totals, members, combos).select(F.col("combo").alias("series"), "n_distinct")
+    rows, totals, members = _ad_patterns(spark, d)
+    combos = rows.where("ad is not null").select(F.substring("ad", 1, 4).alias("combo"), F.col("ad").alias("grp"), F.lit("any").alias("role")).distinct()
+    return distinct.combined(totals, members, combos).select(F.col("combo").alias("series"), "n_distinct")
+
+
+def p6_ad_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct cookies that saw both of, either of, and only the first of the two most shown ads of each series, through the same patterns."""
+    rows, totals, members = _ad_patterns(spark, d)
+    shown = rows.where("ad is not null").groupBy("ad").agg(F.count(F.lit(1)).alias("n")).withColumn("series", F.substring("ad", 1, 4))
+    two = shown.groupBy("series").agg(F.max_by("ad", F.struct("n", "ad")).alias("first"), F.max("n").alias("n"))
+    second = shown.join(two.select("series", "first"), "series").where("ad <> first").groupBy("series", "first").agg(F.max_by("ad", F.struct("n", "ad")).alias("second"))
+    asked = {"both": ("all", "all"), "either": ("any", "any"), "only_first": ("all", "not")}
+    each = [F.struct(F.concat_ws(" ", F.lit(k), "series").alias("combo"), F.col(ad).alias("grp"), F.lit(role).alias("role")) for k, roles in asked.items() for ad, role in zip(("first", "second"), roles)]
+    found = distinct.combined(totals, members, second.select(F.explode(F.array(*each)).alias("x")).select("x.*"))
+    return found.select(F.substring_index("combo", " ", 1).alias("kind"), F.expr("substring(combo, position(' ', combo) + 1)").alias("series"), "n_distinct")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,9 +112,12 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return Scratch(spark).write(tokens.token_counts(table(spark, d, "documents")), "tokens")
 
 
+def _capacities(spark: SparkSession, d: str) -> list[int]:
+    return sorted(r.capacity for r in table(spark, d, "container_sizes").where("capacity > 0").select("capacity").distinct().collect())  # a fixed table of a few rows
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    capacities = sorted(r.capacity for r in table(spark, d, "container_sizes").where("capacity > 0").select("capacity").distinct().collect())  # a fixed table of a few rows
-    return packing.pack(_counts(spark, d), capacities)
+    return packing.pack(_counts(spark, d), _capacities(spark, d))
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +128,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p8_over_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Containers beyond a limit that aren't a single uncut text: none."""
+    return packing.over_limits(_packed(spark, d))
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    counts = _counts(spark, d)
+    return packing.checks(Scratch(spark).write(packing.pack(counts, _capacities(spark, d)), "packed"), counts)
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").withColumn("source", mixing.source_key(F.col("source")))
     return Scratch(spark).write(tokens.token_counts(documents, keep=("source",)).select("doc_id", "source", "n_tokens"), "sized")
@@ -116,6 +154,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(mixing.draw(sized, plan), plan)
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.checks(p9_shares(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -127,8 +169,8 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_percentiles, p4_host_percentiles, p4_within_stated_error, p6_distinct_counts, p6_two_weeks, p6_ad_series,
-        p7_found, p7_frequent, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored,
+        p4_percentiles, p4_host_percentiles, p4_within_stated_error, p6_distinct_counts, p6_weeks, p6_ad_series, p6_ad_combinations,
+        p7_found, p7_frequent, p8_packing, p8_fill, p8_over_limits, p8_checks, p9_mixture, p9_shares, p9_checks, p10_found, p10_restored,
     )
 }
 
@@ -137,15 +179,15 @@ _ROWS = f"""(SELECT {_NAME.format('"userCookie"')} AS "userCookie", {_NAME.forma
   FROM impressions WHERE try_strptime(dt[:10], '%Y-%m-%d') IS NOT NULL)"""
 
 
-def _distinct_sql(where: str, daily: bool) -> str:
+def _distinct_sql(period: str | None, name: str) -> str:
+    """Per ad, and per ad and referrer, over ``period`` (all if None); per day, or the period, over all."""
     out = []
     for field, per in (("userCookie", "day"), ("ip", "day"), ("adId", "day"), ("userCookie", "ad"), ("ip", "ad"), ("userCookie", "ad_referrer"), ("ip", "ad_referrer")):
-        ad = '"adId"' if per != "day" else "NULL::VARCHAR"
-        referrer = "referrer" if per == "ad_referrer" else "NULL::VARCHAR"
-        day = ", day" if daily and per == "day" else ", NULL::VARCHAR AS day" if daily else ""
-        group = [x for x in (day[2:] if day == ", day" else "", ad if per != "day" else "", referrer if per == "ad_referrer" else "") if x]
-        need = [f'"{field}" IS NOT NULL', *(f"{x} IS NOT NULL" for x in group)]
-        out.append(f"""SELECT '{field}' AS field, '{per}' AS per, {ad} AS "adId", {referrer} AS referrer, count(DISTINCT "{field}") AS n_distinct{day} FROM {_ROWS} WHERE {where} AND {' AND '.join(need)} {'GROUP BY ' + ', '.join(group) if group else 'HAVING count(*) > 0'}""")
+        own = period or ("day" if per == "day" else None)
+        keys = ['"adId"'] * (per != "day") + ["referrer"] * (per == "ad_referrer")
+        need = " AND ".join(f"{c} IS NOT NULL" for c in (f'"{field}"', *keys))
+        shown = [f"{own or 'NULL::VARCHAR'} AS {name}", f'{keys[0] if keys else "NULL::VARCHAR"} AS "adId"', f"{keys[1] if len(keys) > 1 else 'NULL::VARCHAR'} AS referrer"]
+        out.append(f"""SELECT '{field}' AS field, '{per}' AS per, {', '.join(shown)}, count(DISTINCT "{field}") AS n_distinct FROM {_ROWS} WHERE {need} GROUP BY {', '.join([*([own] if own else []), *keys])}""")
     return " UNION ALL ".join(out)
 
 
@@ -156,10 +198,18 @@ _FREQUENT = " UNION ALL ".join(
 ORACLE: dict[str, str] = {
     "p4_within_stated_error": """SELECT hostname, dt, count(*) AS n, true AS "within" FROM local_metrics
       WHERE hostname IS NOT NULL AND dt IS NOT NULL AND isfinite("requestTime") GROUP BY 1, 2""",
-    "p6_distinct_counts": f"SELECT *, 0.0::DOUBLE AS error FROM ({_distinct_sql('true', True)})",
-    "p6_two_weeks": " UNION ALL ".join(f"SELECT '{w}' AS week, * FROM ({_distinct_sql(f'''day BETWEEN '{w}' AND '{e}' ''', False)})" for w, e in (("2009-03-02", "2009-03-08"), ("2009-03-09", "2009-03-15"))),
+    "p6_distinct_counts": f"SELECT *, 0.0::DOUBLE AS error FROM ({_distinct_sql(None, 'day')})",
+    "p6_weeks": _distinct_sql("strftime(date_trunc('week', strptime(day, '%Y-%m-%d')), '%Y-%m-%d')", "week"),
+    "p6_ad_combinations": f"""WITH seen AS (SELECT DISTINCT "userCookie" AS u, "adId" AS a FROM (SELECT {_NAME.format('"userCookie"')} AS "userCookie", {_NAME.format('"adId"')} AS "adId" FROM impressions) WHERE "userCookie" IS NOT NULL AND "adId" IS NOT NULL),
+      top AS (SELECT a[:4] AS series, max(a) FILTER (k = 1) AS a1, max(a) FILTER (k = 2) AS a2 FROM (SELECT a, row_number() OVER (PARTITION BY a[:4] ORDER BY count(*) DESC, a DESC) AS k FROM (SELECT {_NAME.format('"adId"')} AS a FROM impressions) WHERE a IS NOT NULL GROUP BY a) GROUP BY 1),
+      ids AS (SELECT series, u, bool_or(a = a1) AS x, bool_or(a = a2) AS y FROM seen JOIN top ON a IN (a1, a2) WHERE a2 IS NOT NULL GROUP BY 1, 2)
+      SELECT kind, series, count(*) AS n_distinct FROM (SELECT series, unnest(['both', 'either', 'only_first']) AS kind, unnest([x AND y, x OR y, x AND NOT y]) AS inside FROM ids) WHERE inside GROUP BY 1, 2""",
     "p6_ad_series": f"""SELECT "adId"[:4] AS series, count(DISTINCT "userCookie") AS n_distinct FROM (SELECT {_NAME.format('"userCookie"')} AS "userCookie", {_NAME.format('"adId"')} AS "adId" FROM impressions)
       WHERE "adId" IS NOT NULL AND "userCookie" IS NOT NULL GROUP BY 1""",
+    "p8_over_limits": "SELECT 0::INTEGER AS capacity, 0::BIGINT AS container, 0::BIGINT AS used, 0::BIGINT AS segments, 0::BIGINT AS loss WHERE false",
+    "p8_checks": """SELECT capacity, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, true AS tokens_once, true AS within_limits, true AS well_filled FROM container_sizes""",
+    "p9_checks": """SELECT lower(trim(t.source, ' ' || chr(9))) AS source, max_repeats, count(doc_id) AS n_docs, true AS reached, true AS capped
+      FROM mix_targets t LEFT JOIN documents d ON lower(trim(t.source, ' ' || chr(9))) = lower(trim(d.source, ' ' || chr(9))) GROUP BY 1, 2""",
     "p7_found": f"SELECT field, item FROM ({_FREQUENT})",
     "p7_frequent": _FREQUENT,
 }

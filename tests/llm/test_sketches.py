@@ -79,26 +79,35 @@ def member_rows(seed, n):
 def test_distinct_counts_exact_over_any_days(spark, n):
     data = member_rows(2, n)
     df = spark.createDataFrame(data, "day string, who string, ad string, ref string").withColumn("id", F.lit("clash"))
-    counts = [(present(trimmed(F.col("who"))), keys) for keys in ([], [F.col("ad")], [F.col("ad"), F.col("ref")])]
-    members = distinct.memberships(df, counts, F.col("day"))
+    idents = {"who": present(trimmed(F.col("who")))}
+    keys = [F.col("ad"), F.col("ref")]
     sets = defaultdict(set)
     for day, who, ad, ref in data:
         who = (who or "").strip(" \t")
         if day and day != "bad" and who not in ("", "-"):
-            for what, key in ((0, ()), (1, (ad,)), (2, (ad, ref))):
+            for key in ((), (ad,), (ad, ref)):
                 if None not in key:
-                    sets[(what, *key), day].add(who)
-    for days in (["2009-03-02"], ["2009-03-03", "2009-07-01"], None):
-        want = defaultdict(set)
-        for (key, day), who in sets.items():
-            if days is None or day in days:
-                want[key] |= who
-        got = {(r.what, *(k for k in (r.k1, r.k2) if k is not None)): r.n_distinct for r in distinct.distinct_over(distinct.pattern_totals(members), days).collect()}
-        assert got == {k: len(v) for k, v in want.items()}
-    daily = {((r.what, *(k for k in (r.k1, r.k2) if k is not None)), r.day): r.n_distinct for r in distinct.distinct_by_day(distinct.pattern_totals(members)).collect()}
-    assert daily == {k: len(v) for k, v in sets.items()}
-    parts = [distinct.memberships(df.where(c), counts, F.col("day")) for c in ("day = '2009-03-02'", "day <> '2009-03-02'")]
-    assert rows(distinct.pattern_totals(distinct.merge(*parts)).select("what", "k1", "k2", "n_ids")) == rows(distinct.pattern_totals(members).select("what", "k1", "k2", "n_ids"))
+                    sets[key, day].add(who)
+    key_of = lambda r: tuple(r[k] for k in ("k1", "k2") if k in r)
+    level = lambda n: {(k, day): who for (k, day), who in sets.items() if len(k) == n}
+    parts = [distinct.memberships(df.where(c), idents, keys, F.col("day")) for c in ("day = '2009-03-02'", "day <> '2009-03-02'")]
+    for n, members in zip((2, 1, 0), distinct.memberships(df, idents, keys, F.col("day"))):
+        patterns = distinct.pattern_totals(members)
+        for days in (["2009-03-02"], ["2009-03-03", "2009-07-01"], None):
+            want = defaultdict(set)
+            for (key, day), who in level(n).items():
+                if days is None or day in days:
+                    want[key] |= who
+            for found in [distinct.distinct_over(patterns, days), *([distinct.distinct_in_all(members)] if days is None else [])]:
+                assert {key_of(r.asDict()): r.n_distinct for r in found.collect()} == {k: len(v) for k, v in want.items()}
+        assert {(key_of(r.asDict()), r.period): r.n_distinct for r in distinct.distinct_by_period(patterns).collect()} == {k: len(v) for k, v in level(n).items()}
+        months = defaultdict(set)
+        for (key, day), who in level(n).items():
+            months[key, day[:7] + "-01"] |= who
+        got = distinct.distinct_by_period(patterns, lambda d: F.trunc(d, "month"))
+        assert {(key_of(r.asDict()), r.period): r.n_distinct for r in got.collect()} == {k: len(v) for k, v in months.items()}
+        merged = distinct.pattern_totals(distinct.merge(*(p[2 - n] for p in parts)))
+        assert rows(merged.select(*distinct.key_columns(merged), "n_ids")) == rows(patterns.select(*distinct.key_columns(merged), "n_ids"))
 
 
 def test_packed_identifiers_stay_apart(spark):
@@ -112,12 +121,20 @@ def test_group_patterns_any_combination(spark):
     data = [(rnd.choice([None, "hot", *(f"u{k}" for k in range(50))]), rnd.choice([None, *(f"g{k}" for k in range(12))])) for _ in range(700)]
     df = spark.createDataFrame(data, "u string, g string")
     totals, members = distinct.group_patterns(df, F.col("u"), F.col("g"))
-    combos = [(f"c{k}", f"g{g}") for k in range(6) for g in rnd.sample(range(12), 4)]
-    got = {r.combo: r.n_distinct for r in distinct.distinct_in_groups(totals, members, spark.createDataFrame(combos, "combo string, grp string")).collect()}
-    want = defaultdict(set)
-    for c, g in combos:
-        want[c] |= {u for u, x in data if x == g and u is not None}
-    assert got == {c: len(v) for c, v in want.items()}
+    combos = [(f"c{k}", f"g{g}", rnd.choice(["all", "any", "any", "not"])) for k in range(30) for g in rnd.sample(range(12), 4)]
+    got = {r.combo: r.n_distinct for r in distinct.combined(totals, members, spark.createDataFrame(combos, "combo string, grp string, role string")).collect()}
+    groups = defaultdict(set)
+    for u, g in data:
+        if u is not None and g is not None:
+            groups[g].add(u)
+    want = {}
+    for k in range(30):
+        role = lambda r: [groups[g] for c, g, x in combos if c == f"c{k}" and x == r]  # noqa: B023, E731
+        if role("all") or role("any"):
+            inside = set.intersection(*role("all")) if role("all") else set.union(*role("any"))
+            inside = inside & set.union(*role("any")) if role("any") else inside
+            want[f"c{k}"] = len(inside - set().union(*role("not")))
+    assert got == {k: n for k, n in want.items() if n}
 
 
 def test_code_has_its_distance():
@@ -133,13 +150,13 @@ def test_code_has_its_distance():
         assert (heavy._solve(mul, inv, code[at], word[at, None])[:, 0] == data).all()
 
 
-@pytest.mark.parametrize(("groups", "n"), [(2048, 4000), (4, 4000), (64, 0), (64, 7)])
-def test_frequent_items_exact(spark, groups, n):
+@pytest.mark.parametrize(("groups", "n", "rounds"), [(2048, 4000, 16), (4, 4000, 16), (1, 4000, 1), (3, 4000, 2), (64, 0, 16), (64, 7, 16)])
+def test_frequent_items_exact(spark, groups, n, rounds):
     rnd = random.Random(5)
     pick = lambda: rnd.choice([None, "", "-"]) if rnd.random() < 0.2 else f"heavy{int(rnd.expovariate(0.2))}" if rnd.random() < 0.6 else f"x{rnd.randrange(10**6)}"
     data = [(pick(), pick()) for _ in range(n)]
     df = spark.createDataFrame(data, "a string, item string").repartition(5)
-    got = rows(heavy.frequent_items(df, ["a", "item"], one_in=50, groups=groups).select("field", "item", "n"))
+    got = rows(heavy.frequent_items(df, ["a", "item"], one_in=50, groups=groups, rounds=rounds).select("field", "item", "n"))
     want = [(c, k, v) for i, c in enumerate(("a", "item")) for k, v in Counter(x[i] for x in data).items() if k not in (None, "", "-") and v * 50 >= n]
     assert got == sorted(want, key=repr)
 
