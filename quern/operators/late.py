@@ -7,7 +7,7 @@ holds is counted and published; when the clock passes its closing - the lateness
 the buffer, sorted by arrival, for the final aggregation. That one depends on the order: the first
 delivery of an id decides whether the id was on time or corrects what was published, later ones are
 repeats, and each release step adds what is new to the hour's running figures. What arrives after closing
-counts as dropped. Repeats of an id in one slot are reduced to one row before the shuffle.
+counts as dropped. Of each id only the first and the last delivery are shuffled.
 
 An hour's deliveries are held once and looked at twice, at its publication and at its closing. A task
 holds the deliveries of at most one lateness bound of arrivals, so the size of its buffer follows the arrival rate
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import begin_ms, clean_id, hour_name, hour_slot, slot_minutes, slot_number
@@ -32,36 +32,44 @@ RELEASED = "src string, id string, evhour bigint, arrival bigint, phase string,
 
 
 def id_arrivals(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
-    """One row per id: ``evhour`` (hours since 1970 of its valid begin time, else null) and the sorted distinct
-    arrivals (minutes since 1970) of its impressions and of its clicks, empty where there are none.
+    """One row per id: ``evhour`` (hours since 1970 of its valid begin time, else null) and the
+    first and last arrival (minutes since 1970) of its impressions and of its clicks, null where there is none.
 
-    Rows without an id and arrivals that are no ``yyyy-MM-dd-HH-mm`` count as nothing delivered. An id has at
-    most one entry for every slot of time, however many rows it has.
+    Rows without an id and arrivals that are no ``yyyy-MM-dd-HH-mm`` count as nothing delivered. Deliveries between the first and the
+    last are repeats that change no figure, so an id with a third of all rows is one row per task.
     """
     none = F.lit(None).cast("bigint")
     ident, arrival = clean_id(F.col("impressionId")).alias("id"), slot_number(F.col("dt"))
     seen = impressions.select(ident, begin_ms(F.col("requestBeginTime")).alias("ms"), arrival.alias("imp"), none.alias("clk"), F.lit(True).alias("known"))
     hits = clicks.select(ident, none.alias("ms"), none.alias("imp"), arrival.alias("clk"), F.lit(False).alias("known"))
-    per_id = seen.unionByName(hits).where("id is not null").groupBy("id").agg(F.min("ms").alias("ms"), F.max("known").alias("known"), *(F.collect_set(c).alias(c) for c in ("imp", "clk")))
-    minutes = [F.array_sort(F.filter(F.transform(c, slot_minutes), F.isnotnull)).alias(f"{c}_at") for c in ("imp", "clk")]
+    ends = [f(c).alias(f"{c}_{n}") for c in ("imp", "clk") for n, f in (("first", F.min), ("last", F.max))]
+    per_id = seen.unionByName(hits).where("id is not null").groupBy("id").agg(F.min("ms").alias("ms"), F.max("known").alias("known"), *ends)
+    minutes = [slot_minutes(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for c in ("imp", "clk") for n in ("first", "last")]
     return per_id.select("id", "known", F.floor(F.col("ms") / 3_600_000).cast("bigint").alias("evhour"), *minutes)
 
 
+def _ends(src: str, what: str) -> list[Column]:
+    """The first delivery, and the last one where it is another."""
+    first, last = F.col(f"{what}_first"), F.col(f"{what}_last")
+    entry = lambda at, repeat: F.struct(F.lit(src).alias("src"), at.alias("arrival"), F.lit(repeat).alias("repeat"))
+    return [F.when(first.isNotNull(), entry(first, False)), F.when(last > first, entry(last, True))]
+
+
 def deliveries(ids: DataFrame) -> DataFrame:
-    """(src, id, evhour, arrival, repeat) of every impression and click slot of each id with an event hour; ``repeat``
+    """(src, id, evhour, arrival, repeat) of the first and the last impression and click of each id with an event hour; ``repeat``
     tells whether the id was delivered before."""
-    each = F.explode(F.array(F.struct(F.lit("impressions").alias("src"), F.col("imp_at").alias("at")), F.struct(F.lit("clicks").alias("src"), F.col("clk_at").alias("at")))).alias("x")
-    sides = ids.where("known and evhour is not null").select("id", "evhour", each).select("id", "evhour", "x.src", F.posexplode("x.at").alias("nth", "arrival"))
-    return sides.select("src", "id", "evhour", "arrival", (F.col("nth") > 0).alias("repeat"))
+    each = F.explode(F.array(*_ends("impressions", "imp"), *_ends("clicks", "clk"))).alias("x")
+    return ids.where("known and evhour is not null").select("id", "evhour", each).where("x is not null").select("x.src", "id", "evhour", "x.arrival", "x.repeat")
 
 
 def stale_publications(joined: DataFrame, ids: DataFrame) -> DataFrame:
     """(src, id, evhour, arrival, repeat) of published rows whose ``clicked`` is not true although the id was
-    clicked: the clicks' arrivals against the hour the row was published under."""
+    clicked: its first and last click against the hour the row was published under."""
     rows = joined.where(~F.coalesce(F.col("clicked"), F.lit(False))).select(clean_id(F.col("impressionId")).alias("id"), hour_slot(F.col("day"), F.col("hour")).alias("evhour"))
     rows = rows.where("id is not null and evhour is not null").distinct()
-    clicked = ids.where("size(clk_at) > 0").select("id", "clk_at")
-    return rows.join(clicked, "id").select("id", "evhour", F.posexplode("clk_at").alias("nth", "arrival")).select(F.lit("joined_impressions").alias("src"), "id", "evhour", "arrival", (F.col("nth") > 0).alias("repeat"))
+    clicked = ids.where("clk_first is not null").select("id", "clk_first", "clk_last")
+    each = F.explode(F.array(*_ends("joined_impressions", "clk"))).alias("x")
+    return rows.join(clicked, "id").select("id", "evhour", each).where("x is not null").select("x.src", "id", "evhour", "x.arrival", "x.repeat")
 
 
 def _first_of_each(src: pa.Array, ident: pa.Array) -> np.ndarray:

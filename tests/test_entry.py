@@ -5,14 +5,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from quern.plans import files, numbered, reports
 from tools.compare import compare
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = numbered.QUERIES | reports.QUERIES | files.QUERIES, numbered.ORACLE | reports.ORACLE | files.ORACLE
 
 
 def test_names():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert len(QUERIES) > 40
 
 
