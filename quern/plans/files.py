@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators import alignment, keyed, log_reports
 from ..schemas import CLICK, IMPRESSION
 from ..scratch import Scratch
-from ..sinks.kv import ParquetStore
+from ..sinks.kv import FolderStore, KVSink, ParquetStore
 from ..sinks.tables import export_delimited, overwrite_partitions, write_report
 from ..sources import files
 from . import reports
@@ -186,3 +186,38 @@ def file_overwritten_partitions(spark: SparkSession, d: str) -> DataFrame:
     overwrite_partitions(rows, path, "day", "hour")
     read = spark.read.schema("impressionId string, clicked boolean, day string, hour string").parquet(path)
     return read.groupBy("day", "hour").agg(F.count(F.lit(1)).alias("n"), F.count_if("clicked").alias("n_clicked"))
+
+
+@query("""SELECT hostname || ':' || dt AS name, count(*)::VARCHAR AS "count", max("requestTime") AS most FROM local_metrics WHERE isfinite("requestTime") AND hostname IS NOT NULL AND dt IS NOT NULL GROUP BY 1""")
+def kv_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Figures per host and day written item by item, in batches, to a key-value store, twice, the second time in place of the first."""
+    store = FolderStore(f"{Scratch(spark).root}/kv")
+    rows = table(spark, d, "local_metrics").where(F.col("hostname").isNotNull() & F.col("dt").isNotNull() & (F.abs("requestTime") < float("inf")))
+    figures = rows.groupBy("hostname", "dt").agg(F.count(F.lit(1)).alias("count"), F.max("requestTime").alias("most"), F.lit("").alias("blank"))
+    sink = KVSink(store, "hosts", ("hostname", "dt"))
+    sink.write(figures.withColumn("count", F.lit(0)))
+    sink.write(figures)
+    one = lambda k: F.max(F.when(F.col("attribute") == k, F.col("values")[0])).alias(k)
+    return store.items(spark, "hosts").groupBy("name").agg(one("count"), one("most")).withColumn("most", F.col("most").cast("double"))
+
+
+@query(f"""SELECT "IP", count(*) AS n, sum("Bytes")::HUGEINT::VARCHAR AS total FROM {reports._CDN} WHERE ts IS NOT NULL GROUP BY 1""")
+def file_cdn_logs(spark: SparkSession, d: str) -> DataFrame:
+    """CDN logs through compressed files whose names carry their date, beside one without a date, which isn't read."""
+    root = Scratch(spark).root
+    lines = reports.cdn_lines(table(spark, d, "logs_base")).where("line not like '#%'")
+    day = F.to_date(F.try_to_timestamp(F.substring("line", 1, 10), F.lit("yyyy-MM-dd"))).cast("string")
+    dated = lines.select("line", day.alias("day")).where("day is not null")
+    dated.repartition("day").write.partitionBy("day").option("compression", "gzip").text(f"{root}/staged")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{root}/cdn"))
+    for folder in fs.listStatus(path(f"{root}/staged")):  # a folder for each day
+        if folder.isDirectory():
+            for k, part in enumerate(fs.listStatus(folder.getPath())):
+                fs.rename(part.getPath(), path(f"{root}/cdn/X.{folder.getPath().getName()[4:]}-00.{k}.gz"))
+    spark.range(1).select(F.lit("not a log").alias("line")).write.text(f"{root}/cdn/other")
+    days = sorted(s.getPath().getName()[2:12] for s in fs.listStatus(path(f"{root}/cdn")) if s.isFile())
+    logs = files.read_cdn_logs(spark, f"{root}/cdn", f"{days[0]}-00", f"{days[-1]}-23") if days else files.L.parse_cdn(lines)
+    return logs.groupBy("IP").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("Bytes").cast("decimal(38,0)")).cast("string").alias("total"))

@@ -1,12 +1,15 @@
 """Writing rows as items of a key-value store, in batches, with retries.
 
 A store is any picklable object with ``put(domain, items, replace)``, ``items`` being (name, attributes)
-pairs whose attributes are name -> list of texts. :class:`ParquetStore` is one on files.
+pairs whose attributes are name -> list of texts. :class:`FolderStore` is one on files; :class:`ParquetStore` merges whole frames.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -76,6 +79,33 @@ class KVSink:
         df.foreachPartition(send)
 
 
+@dataclass
+class FolderStore:
+    """A store for :class:`KVSink` on a folder that all executors mount (``file:`` or a plain path): every batch is a file of its own, renamed into
+    place once it is written. Reading puts them together."""
+
+    path: str
+
+    def _folder(self, domain: str) -> str:
+        return f"{self.path.removeprefix('file://').removeprefix('file:')}/{domain}"
+
+    def put(self, domain: str, items: list, replace: bool) -> None:
+        folder, name = self._folder(domain), uuid.uuid4().hex
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/.{name}", "w", encoding="utf-8") as f:
+            for item, attributes in items:
+                for k, values in attributes.items():
+                    f.write(json.dumps({"name": item, "attribute": k, "values": values, "replace": replace, "at": time.time_ns()}) + "\n")
+        os.rename(f"{folder}/.{name}", f"{folder}/{name}.json")
+
+    def items(self, spark, domain: str) -> DataFrame:
+        """(name, attribute, values in order): of replaced attributes the last batch counts, and what was appended after it."""
+        rows = spark.read.schema("name string, attribute string, `values` array<string>, replace boolean, at bigint").json(f"file://{self._folder(domain)}")
+        last = rows.groupBy("name", "attribute").agg(F.max(F.when(F.col("replace"), F.col("at"))).alias("last"))
+        kept = rows.join(last, ["name", "attribute"]).where("last is null or at >= last")
+        return kept.select("name", "attribute", F.explode("values").alias("v")).groupBy("name", "attribute").agg(F.array_sort(F.collect_set("v")).alias("values"))
+
+
 class ParquetStore:
     """The same item semantics as one Parquet table per domain, (name, attribute, values), in versions. One writer per domain at a time."""
 
