@@ -26,19 +26,13 @@ def day_number(day: Column) -> Column:
     return F.when(day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.unix_date(F.try_to_date(day, "yyyy-MM-dd")))
 
 
-def packed(ident: Column) -> Column:
-    """An identifier as bytes, the same only for the same text; lower-case hex digits take half their length."""
-    is_hex = ident.rlike(r"\A(?:[0-9a-f]{2})+\z")
-    return F.when(is_hex, F.concat(F.lit(bytearray(b"\0")), F.unhex(ident))).otherwise(F.concat(F.lit(bytearray(b"\1")), F.encode(ident, "UTF-8")))
-
-
 def mask_columns(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if c.startswith("m_"))
 
 
-def memberships(rows: DataFrame, idents: dict[str, Column], keys: list[Column], day: Column) -> list[DataFrame]:
+def memberships(rows: DataFrame, idents: dict[str, Column], keys: list[Column], day: Column, keyless: dict[str, Column] | None = None) -> list[DataFrame]:
     """The mergeable partial results, one for all keys, one for all but the last, and so on to none: (field, k1, k2, ..., id, m_<word>...), the
-    days of each identifier under each key.
+    days of each identifier under each key. ``field`` is the identifier's number, those of ``keyless`` coming last; these count under no key.
 
     Rows without a day or without identifier belong to none; a null key stays null and counts nowhere (see
     :func:`pattern_totals`), though the row counts for coarser keys. There is one mask column for every 62 days in
@@ -47,11 +41,13 @@ def memberships(rows: DataFrame, idents: dict[str, Column], keys: list[Column],
     number = day_number(day)
     words = sorted(r.w for r in rows.select(F.floor(number / WORD).cast("int").alias("w")).where("w is not null").distinct().collect()) or [0]
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int"))
-    each = F.explode(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(i).alias("field"), packed(c).alias("id"))) for i, c in enumerate(idents.values())))).alias("x")
     names = [f"k{i + 1}" for i in range(len(keys))]
-    cut = rows.select(number.alias("number"), bit.alias("bit"), *(k.alias(n) for k, n in zip(keys, names)), each).where("x is not null and number is not null")
+    none = [F.lit(None).cast("string")] * len(keys)
+    each = [*((c, keys) for c in idents.values()), *((c, none) for c in (keyless or {}).values())]
+    structs = [F.when(c.isNotNull(), F.struct(F.lit(i).alias("field"), c.alias("id"), *(k.cast("string").alias(n) for k, n in zip(own, names)))) for i, (c, own) in enumerate(each)]
+    cut = rows.select(number.alias("number"), bit.alias("bit"), F.explode(F.array(*structs)).alias("x")).where("x is not null and number is not null")
     masks = [F.bit_or(F.when(F.floor(F.col("number") / WORD) == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"m_{w}") for w in words]
-    levels = [cut.groupBy("x.field", *names, "x.id").agg(*masks)]
+    levels = [cut.groupBy("x.field", *(f"x.{n}" for n in names), "x.id").agg(*masks)]
     for n in range(len(names) - 1, -1, -1):
         levels.append(levels[-1].groupBy("field", *names[:n], "id").agg(*(F.bit_or(f"m_{w}").alias(f"m_{w}") for w in words)))
     return levels

@@ -312,3 +312,19 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     hits = garbled_hits(units, pairs, originals).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "original", "side", "hunk")).alias("hits"))
     texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null")
     return texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_restore, RESTORED)
+
+
+def checks(documents: DataFrame, restored: DataFrame) -> DataFrame:
+    """(check, holds) of RESTORED rows against the texts they come from: each document once, texts changed only where something was
+    replaced, as many lines as before, lines of ASCII untouched, and lost characters counted. All hold for an empty result."""
+    both = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(restored, "doc_id")
+    lines = lambda c: F.split(c, "\n")
+    was = F.zip_with(lines("text"), lines("restored"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept = F.forall(was, lambda x: ~x["a"].rlike(r"\A[\x00-\x7f]*\z") | (x["a"] == x["b"]))
+    lost = F.length("restored") - F.length(F.replace("restored", F.lit(LOST), F.lit("")))
+    held = {
+        "one_row_each": F.count(F.lit(1)) == F.count_distinct("doc_id"), "changed_only_where_replaced": F.every((F.col("n_replaced") > 0) | (F.col("text") == F.col("restored"))),
+        "lines_kept": F.every(F.size(lines("text")) == F.size(lines("restored"))), "ascii_lines_kept": F.every(kept), "lost_counted": F.every(lost == F.col("n_lost")),
+    }
+    row = both.agg(*(F.coalesce(v, F.lit(True)).alias(k) for k, v in held.items()))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("holds")) for k in held))).alias("x")).select("x.*")

@@ -33,11 +33,18 @@ def p4_host_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digests.certified(values, digests.estimates(merged, ["hostname"]), ["hostname"])
 
 
-def p4_within_stated_error(spark: SparkSession, d: str) -> DataFrame:
-    """Per hostname and day: rows and whether every quantile is within the stated rank error, a row at least being one rank."""
-    found = p4_percentiles(spark, d)
+def _within(found: DataFrame, *keys: str) -> DataFrame:
+    """Rows of each key and whether every quantile is within the stated rank error, a row at least being one rank."""
     ok = F.col("rank_error") <= F.greatest(F.lit(digests.STATED_RANK_ERROR), 1 / F.col("n"))
-    return found.groupBy("hostname", "dt").agg(F.max("n").alias("n"), F.every(ok).alias("within"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_quantiles"), F.every(ok).alias("within"))
+
+
+def p4_within_stated_error(spark: SparkSession, d: str) -> DataFrame:
+    return _within(p4_percentiles(spark, d), "hostname", "dt").drop("n_quantiles")
+
+
+def p4_hosts_within_stated_error(spark: SparkSession, d: str) -> DataFrame:
+    return _within(p4_host_percentiles(spark, d), "hostname")
 
 
 _IDENTS = ("userCookie", "ip")
@@ -51,9 +58,8 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
 def _levels(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     """Membership tables of userCookie and ip per ad and referrer, per ad and over all, and of adId over all."""
     rows = _names(spark, d)
-    levels = distinct.memberships(rows, {c: F.col(c) for c in _IDENTS}, [F.col("adId"), F.col("referrer")], F.col("day"))
-    ads = distinct.memberships(rows, {"adId": F.col("adId")}, [], F.col("day"))[0].withColumn("field", F.lit(len(_IDENTS)))
-    return [*zip(("ad_referrer", "ad", "day"), levels), ("day", ads)]
+    levels = distinct.memberships(rows, {c: F.col(c) for c in _IDENTS}, [F.col("adId"), F.col("referrer")], F.col("day"), {"adId": F.col("adId")})
+    return [*zip(("ad_referrer", "ad", "day"), levels)]
 
 
 def _named(df: DataFrame, per: str, period: str | None) -> DataFrame:
@@ -166,11 +172,17 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_documents(table(spark, d, "documents"))
 
 
+def p10_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each check holds for all documents: see :func:`mojibake.checks`."""
+    documents = table(spark, d, "documents")
+    return mojibake.checks(documents, Scratch(spark).write(mojibake.restored_documents(documents), "restored"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_percentiles, p4_host_percentiles, p4_within_stated_error, p6_distinct_counts, p6_weeks, p6_ad_series, p6_ad_combinations,
-        p7_found, p7_frequent, p8_packing, p8_fill, p8_over_limits, p8_checks, p9_mixture, p9_shares, p9_checks, p10_found, p10_restored,
+        p4_percentiles, p4_host_percentiles, p4_within_stated_error, p4_hosts_within_stated_error, p6_distinct_counts, p6_weeks, p6_ad_series, p6_ad_combinations,
+        p7_found, p7_frequent, p8_packing, p8_fill, p8_over_limits, p8_checks, p9_mixture, p9_shares, p9_checks, p10_found, p10_restored, p10_checks,
     )
 }
 
@@ -198,6 +210,9 @@ _FREQUENT = " UNION ALL ".join(
 ORACLE: dict[str, str] = {
     "p4_within_stated_error": """SELECT hostname, dt, count(*) AS n, true AS "within" FROM local_metrics
       WHERE hostname IS NOT NULL AND dt IS NOT NULL AND isfinite("requestTime") GROUP BY 1, 2""",
+    "p4_hosts_within_stated_error": f"""SELECT hostname, count(*) AS n, {len(digests.QUANTILES)}::BIGINT AS n_quantiles, true AS "within" FROM local_metrics
+      WHERE hostname IS NOT NULL AND dt IS NOT NULL AND isfinite("requestTime") GROUP BY 1""",
+    "p10_checks": "SELECT unnest(['one_row_each', 'changed_only_where_replaced', 'lines_kept', 'ascii_lines_kept', 'lost_counted']) AS \"check\", true AS holds",
     "p6_distinct_counts": f"SELECT *, 0.0::DOUBLE AS error FROM ({_distinct_sql(None, 'day')})",
     "p6_weeks": _distinct_sql("strftime(date_trunc('week', strptime(day, '%Y-%m-%d')), '%Y-%m-%d')", "week"),
     "p6_ad_combinations": f"""WITH seen AS (SELECT DISTINCT "userCookie" AS u, "adId" AS a FROM (SELECT {_NAME.format('"userCookie"')} AS "userCookie", {_NAME.format('"adId"')} AS "adId" FROM impressions) WHERE "userCookie" IS NOT NULL AND "adId" IS NOT NULL),

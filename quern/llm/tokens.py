@@ -20,8 +20,9 @@ def _count(path: str, split: str):
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -45,7 +46,8 @@ def _count(path: str, split: str):
 def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, response_from: str = "\ndiff --git ", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, columns to keep..., n_tokens, n_prompt) of every whole text: all tokens, and those of the prompt - header and message, up to the
     first file of the diff - which bear no loss; prompt and response are encoded separately. Null and
-    empty texts have 0 tokens."""
+    empty texts have 0 tokens. The vocabulary file needs to lie on the driver only, which sends it to the executors."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
     rows = documents.select(F.col("doc_id").cast("bigint"), *keep, "text")
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("n_tokens", T.LongType()).add("n_prompt", T.LongType())
     return rows.mapInArrow(_count(vocabulary, response_from), schema)

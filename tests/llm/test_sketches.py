@@ -110,12 +110,6 @@ def test_distinct_counts_exact_over_any_days(spark, n):
         assert rows(merged.select(*distinct.key_columns(merged), "n_ids")) == rows(patterns.select(*distinct.key_columns(merged), "n_ids"))
 
 
-def test_packed_identifiers_stay_apart(spark):
-    texts = ["6162", "ab", "AB", "\0ab", "\1ab", "", "61626", "00"]
-    got = spark.createDataFrame([(x,) for x in texts], "t string").select(distinct.packed(F.col("t"))).distinct().count()
-    assert got == len(texts)
-
-
 def test_group_patterns_any_combination(spark):
     rnd = random.Random(3)
     data = [(rnd.choice([None, "hot", *(f"u{k}" for k in range(50))]), rnd.choice([None, *(f"g{k}" for k in range(12))])) for _ in range(700)]
