@@ -3,8 +3,9 @@
 Keys are spread over ranges of a 64-bit hash of the id, so every range holds about the
 same number of parents whatever the ids look like. In each range the parents are sorted
 arrays; references stream past in Arrow batches and are looked up by binary search. Equal
-hashes are told apart by the id itself. References are pre-aggregated before the shuffle,
-so an id with a third of all references arrives as one row per period.
+hashes are told apart by the id itself. Parents and references are combined by id in their tasks, HELD_ROWS at a time,
+and shuffled once, to the ranges, where they are combined again; an id with a third of all rows arrives as a few
+rows per task. Only misses, which are few, are shuffled a second time, to be added up.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from ..functions.ids import clean_id, slot_number
 
 MISSES = "src string, id string, period string, reason string, n_refs bigint"
+STATE = {"present": "max", "first_at": "min", "removed": "max", "removed_at": "min"}
 PARENTS_PER_RANGE = 500_000
+HELD_ROWS = 200_000
 
 
 def parent_states(parents: DataFrame, removals: DataFrame) -> DataFrame:
-    """One row per id: ``present`` (ever delivered), ``first_at``, ``removed`` and ``removed_at`` (slot numbers).
+    """Few rows per id, to be combined: ``present`` (ever delivered), ``first_at``, ``removed`` and ``removed_at`` (slot numbers).
 
     Rows without an id are left out; a dt that is no partition name counts as delivered at no known time.
     """
@@ -36,9 +39,7 @@ def parent_states(parents: DataFrame, removals: DataFrame) -> DataFrame:
             F.lit(gone).alias("removed"), (at if gone else none).alias("removed_at"),
         ).where("id is not null")
 
-    return side(parents, False).unionByName(side(removals, True)).groupBy("id").agg(
-        F.max("present").alias("present"), F.min("first_at").alias("first_at"), F.max("removed").alias("removed"), F.min("removed_at").alias("removed_at")
-    )
+    return side(parents, False).unionByName(side(removals, True)).mapInArrow(_combine(["id"], STATE), "id string, present boolean, first_at bigint, removed boolean, removed_at bigint")
 
 
 def timed_references(df: DataFrame, src: str) -> DataFrame:
@@ -52,6 +53,29 @@ def lasting_references(df: DataFrame, src: str) -> DataFrame:
     return df.select(F.lit(src).alias("src"), clean_id(F.col("impressionId")).alias("id"), period.alias("period"), F.lit(False).alias("timed")).where("id is not null")
 
 
+def _combined(table: pa.Table, keys: list[str], figures: dict[str, str]) -> pa.Table:
+    out = table.group_by(keys, use_threads=False).aggregate(list(figures.items()))
+    return out.select([*keys, *(f"{c}_{how}" for c, how in figures.items())]).rename_columns([*keys, *figures])
+
+
+def _combine(keys: list[str], figures: dict[str, str]):
+    """Rows of equal keys to one, among HELD_ROWS rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield from _combined(pa.Table.from_batches(held), keys, figures).to_batches()
+                held, n = [], 0
+        if held:
+            yield from _combined(pa.Table.from_batches(held), keys, figures).to_batches()
+
+    return run
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parents come first, sorted by hash; then each batch of references is searched for in them."""
     held: list[pa.Table] = []
@@ -65,7 +89,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not refs.num_rows:
             continue
         if keys is None:
-            parents = pa.concat_tables(held).combine_chunks() if held else table.slice(0, 0)
+            parents = _combined(pa.concat_tables(held), ["h", "id"], STATE).sort_by("h").combine_chunks() if held else table.slice(0, 0)
             keys, held = parents["h"].to_numpy(), []
         wanted = refs["h"].to_numpy()
         at = np.searchsorted(keys, wanted)
@@ -107,11 +131,12 @@ def orphan_references(references: DataFrame, states: DataFrame, n_parents: int)
     """
     spark = references.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_parents // PARENTS_PER_RANGE))
-    refs = references.groupBy("src", "id", "period", "timed").agg(F.count(F.lit(1)).alias("n_refs"))
+    refs = references.select("src", "id", "period", "timed", F.lit(1).cast("bigint").alias("n_refs")).mapInArrow(_combine(["src", "id", "period", "timed"], {"n_refs": "sum"}), "src string, id string, period string, timed boolean, n_refs bigint")
     asked = refs.select(F.lit(1).alias("kind"), "*", F.when(F.col("timed"), slot_number(F.col("period"))).alias("asof"))
     both = states.select(F.lit(0).alias("kind"), "*").unionByName(asked, allowMissingColumns=True).withColumn("h", F.xxhash64("id"))
     at = F.shiftright((F.shiftright("h", 32) + (1 << 31)) * ranges, 32).cast("int")
-    return both.repartitionById(ranges, at).sortWithinPartitions("kind", "h").mapInArrow(_probe, MISSES)
+    misses = both.repartitionById(ranges, at).sortWithinPartitions("kind", "h").mapInArrow(_probe, MISSES)
+    return misses.groupBy("src", "id", "period", "reason").agg(F.sum("n_refs").alias("n_refs"))
 
 
 def orphans_by_period(misses: DataFrame) -> DataFrame:
