@@ -72,10 +72,12 @@ def stale_publications(joined: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(clicked, "id").select("id", "evhour", each).where("x is not null").select("x.src", "id", "evhour", "x.arrival", "x.repeat")
 
 
-def _first_of_each(src: pa.Array, ident: pa.Array) -> np.ndarray:
-    """Positions of the first row of each (src, id), in order."""
-    s, i = src.dictionary_encode(), ident.dictionary_encode()
-    key = i.indices.to_numpy().astype(np.int64) * len(s.dictionary) + s.indices.to_numpy()
+def _first_of_each(*columns: pa.ChunkedArray) -> np.ndarray:
+    """Positions of the first row of each combination of values, in order."""
+    key = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        coded = c.combine_chunks().dictionary_encode()
+        _, key = np.unique(key * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
     return np.sort(np.unique(key, return_index=True)[1])
 
 
@@ -86,46 +88,46 @@ def _k_slack(publish: int, close: int):
         buffer: dict[int, list[pa.Table]] = {}
         due: list[tuple[int, int, int]] = []  # (minute, what, event hour): 0 to publish, 1 to close
 
-        def counts(hours: pa.Array, table: pa.Table, what: str, by_arrival: bool = False) -> Iterator[pa.RecordBatch]:
-            """Rows of each (src, event hour), or of each step of arrival of them, under one of the three figures."""
+        def counts(table: pa.Table, what: str, *more: str) -> Iterator[pa.RecordBatch]:
+            """Rows of each (src, event hour, ...) under one of the three figures."""
             if not table.num_rows:
                 return
-            keyed = pa.table({"src": table["src"], "evhour": hours, **({"arrival": table["arrival"]} if by_arrival else {})})
-            sums = keyed.group_by(keyed.column_names).aggregate([([], "count_all")])
-            n = sums.num_rows
-            own = {"src": sums["src"], "evhour": sums["evhour"], "arrival": sums["arrival"] if by_arrival else pa.nulls(n, pa.int64()), what: sums["count_all"]}
+            sums = table.group_by(["src", "evhour", *more]).aggregate([([], "count_all")])
+            own = {c: sums[c] for c in ("src", "evhour", *more)} | {what: sums["count_all"]}
             kinds = {"id": pa.string(), "phase": pa.string()}
-            yield from pa.table({c: own[c] if c in own else pa.nulls(n, kinds.get(c, pa.int64())) for c in columns}).to_batches()
-
-        def held(hour: int) -> pa.Table:
-            """What the buffer has of an hour, in order of arrival, each id once: its first delivery."""
-            whole = pa.concat_tables(buffer[hour]).combine_chunks().sort_by("arrival")
-            buffer[hour] = [whole]
-            return whole.take(pa.array(_first_of_each(whole["src"].combine_chunks(), whole["id"].combine_chunks())))
-
-        def publish_hour(hour: int) -> Iterator[pa.RecordBatch]:
-            table = held(hour)
-            early = table.filter(pa.array(table["arrival"].to_numpy() < hour * 60 + publish))
-            yield from counts(pa.repeat(pa.scalar(hour, pa.int64()), early.num_rows), early, "provisional")
-
-        def close_hour(hour: int) -> Iterator[pa.RecordBatch]:
-            table = held(hour)
-            del buffer[hour]
-            hours = pa.repeat(pa.scalar(hour, pa.int64()), table.num_rows)
-            yield from counts(hours, table, "final", by_arrival=True)
-            late = table["arrival"].to_numpy() >= hour * 60 + publish
+            yield from pa.table({c: own[c] if c in own else pa.nulls(sums.num_rows, kinds.get(c, pa.int64())) for c in columns}).to_batches()
+
+        def held(hours: list[int]) -> pa.Table:
+            """What the buffer has of some hours, each in order of arrival and each id once in it: its first delivery."""
+            whole = pa.concat_tables([t for h in hours for t in buffer[h]]).sort_by([("evhour", "ascending"), ("arrival", "ascending")])
+            return whole.take(pa.array(_first_of_each(whole["evhour"], whole["src"], whole["id"])))
+
+        def publish_hours(hours: list[int]) -> Iterator[pa.RecordBatch]:
+            table = held(hours)
+            yield from counts(table.filter(pa.array(table["arrival"].to_numpy() < table["evhour"].to_numpy() * 60 + publish)), "provisional")
+
+        def close_hours(hours: list[int]) -> Iterator[pa.RecordBatch]:
+            table = held(hours)
+            for h in hours:
+                del buffer[h]
+            yield from counts(table, "final", "arrival")
+            late = table["arrival"].to_numpy() >= table["evhour"].to_numpy() * 60 + publish
             wrong = late | (table["src"].to_numpy() == "joined_impressions")
             n = int(wrong.sum())
             if n:
                 chosen = table.filter(pa.array(wrong))
                 phase = pa.array(np.where(late[wrong], "correction", "on_time").astype(object), pa.string())
-                yield from pa.table({"src": chosen["src"], "id": chosen["id"], "evhour": hours[:n], "arrival": chosen["arrival"], "phase": phase, **{c: pa.nulls(n, pa.int64()) for c in columns[5:]}}).to_batches()
+                yield from pa.table({**{c: chosen[c] for c in columns[:4]}, "phase": phase, **{c: pa.nulls(n, pa.int64()) for c in columns[5:]}}).to_batches()
 
         def turn(clock: int) -> Iterator[pa.RecordBatch]:
             """Everything that is due when the clock stands there."""
+            now: tuple[list[int], list[int]] = ([], [])
             while due and due[0][0] <= clock:
                 _, what, hour = heapq.heappop(due)
-                yield from (close_hour if what else publish_hour)(hour)
+                now[what].append(hour)
+            for what, hours in zip((publish_hours, close_hours), now):
+                if hours:
+                    yield from what(hours)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -134,10 +136,10 @@ def _k_slack(publish: int, close: int):
             hour, at = table["evhour"].to_numpy(), table["arrival"].to_numpy()
             over = at >= hour * 60 + close
             lost = table.filter(pa.array(over & ~table["repeat"].to_numpy()))
-            yield from counts(lost["evhour"], lost, "dropped")
+            yield from counts(lost, "dropped")
             order = np.argsort(hour, kind="stable")
             order = order[~over[order]]
-            fresh = table.select(["src", "id", "arrival"]).take(pa.array(order))
+            fresh = table.select(["src", "id", "evhour", "arrival"]).take(pa.array(order))
             hours, starts = np.unique(hour[order], return_index=True)
             for h, a, b in zip(hours.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
                 if h not in buffer:
