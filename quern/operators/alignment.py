@@ -21,12 +21,12 @@ EXTENDED = "struct<used_left int, used_right int, differences int>"
 
 def chunked(seqs: DataFrame, ident: str, overlap: int, chunk: int = CHUNK) -> DataFrame:
     """(ident, chunk, offset, last_chunk, seq as bytes): sequences in chunks of ``chunk`` bases and, where there are
-    more, ``overlap`` further ones, spread over all tasks. Null sequences have none, empty ones one chunk.
+    more, ``overlap`` further ones, spread over all tasks. Null sequences and those without an id have none, empty ones one chunk.
 
     Sequences are cut as bytes, in which a piece costs its own length wherever it lies, so the work is linear in
     the length of a sequence. Every position belongs to one chunk: the one it lies in before the overlap.
     """
-    rows = seqs.where("seq is not null").select(F.col(ident).cast("bigint").alias(ident), F.encode("seq", "UTF-8").alias("whole"))
+    rows = seqs.where(F.col("seq").isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias(ident), F.encode("seq", "UTF-8").alias("whole"))
     last = F.floor((F.octet_length("whole") - 1) / chunk)
     cut = rows.select(ident, "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0).cast("bigint")))).alias("chunk"))
     offset = F.col("chunk") * chunk
@@ -64,6 +64,7 @@ def length_range(seqs: DataFrame) -> DataFrame:
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values of a text or byte column in a row, and where each starts and the last ends."""
+    column = column.cast(pa.binary())
     at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data else np.zeros(0, dtype=np.uint8), at - at[0]
@@ -131,8 +132,8 @@ def read_seeds(reads: DataFrame, seed_len: int, redundancy: int) -> DataFrame:
 
 
 def usable_reads(reads: DataFrame, min_len: int, max_len: int, k: int) -> DataFrame:
-    """Reads in normal form; a length outside [min_len, max_len] raises, more than k Ns drop the read."""
-    rows = reads.where("seq is not null").select("read_id", F.explode(F.array(dna.normal_bases(F.col("seq")))).alias("seq"))
+    """Reads in normal form, those without an id or bases left out; a length outside [min_len, max_len] raises, more than k Ns drop the read."""
+    rows = reads.where("seq is not null and read_id is not null").select("read_id", F.explode(F.array(dna.normal_bases(F.col("seq")))).alias("seq"))
     size = F.length("seq")
     wrong = F.raise_error(F.concat(F.lit(f"read length must be {min_len} to {max_len}, is "), size.cast("string"))).cast("boolean")
     return rows.where(F.when(size.between(min_len, max_len), size - F.length(F.replace("seq", F.lit("N"), F.lit(""))) <= k).otherwise(wrong))
@@ -217,7 +218,8 @@ def align(refs: DataFrame, reads: DataFrame, *, k: int, read_len: int | None = N
     extra bases. By the pigeonhole principle a read with at most k differences has a seed of min_len // (k + 1)
     bases without any; seeds are joined, flanks compared, and an alignment is kept only from its leftmost exact
     seed, so mismatch mode reports each once without a shuffle; in difference mode repeats of an alignment are put together. Positions are 0-based, the end excluded; the
-    whole read must fit. N equals N in flanks and never seeds, so a read whose every exact seed holds an N isn't found. ``ref_id`` must be unique. Empty and null sequences align nowhere.
+    whole read must fit. N equals N in flanks and never seeds, so a read whose every exact seed holds an N isn't found. ``ref_id`` must be unique. Empty and null sequences, and those without an id, align nowhere; repeated
+    reads are aligned each.
     """
     min_len, max_len = min_len or read_len, max_len or read_len
     pieces = chunked(refs.select("ref_id", dna.normal_bases(F.col("seq")).alias("seq")), "ref_id", max_len + 2 * k, chunk)

@@ -82,7 +82,7 @@ class KVSink:
 @dataclass
 class FolderStore:
     """A store for :class:`KVSink` on a folder that all executors mount (``file:`` or a plain path): every batch is a file of its own, renamed into
-    place once it is written. Reading puts them together."""
+    place once it is written. Reading puts them together; the executors' clocks tell which batch is later."""
 
     path: str
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import cli, schemas
-from quern.sinks.kv import KVSink, ParquetStore, Retry
+from quern.sinks.kv import FolderStore, KVSink, ParquetStore, Retry
 from quern.sinks import tables
 from quern.sinks.tables import export_delimited, overwrite_partitions, write_report
 from quern.sources import files
@@ -48,7 +48,7 @@ def test_sequences_in_chunks(spark, tmp_path, monkeypatch, block):
     import random
 
     rnd = random.Random(5)
-    monkeypatch.setattr(files, "PIECE_BASES", 50)
+    monkeypatch.setattr(files, "PIECE_BASES", 50)  # taken when the plan is made
     sizes = [0, 1, 100, 739, 16, 300, 0, 17]
     seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in sizes]
     for f, part in (("a.fa", range(5)), ("b.fa", range(5, 8))):
@@ -161,6 +161,16 @@ def test_kv_sink_retries_and_batches(spark, tmp_path):
         KVSink(Flaky(str(tmp_path)), "dom", ("host",), retry=Retry(times=1, sleep=no_sleep)).write(df)
 
 
+def test_folder_store(spark, tmp_path):
+    store = FolderStore(f"file://{tmp_path}")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v string, w string")
+    KVSink(store, "d", ("k",)).write(frame([("a", "1", "x"), ("b", "1", None)]))
+    KVSink(store, "d", ("k",), mode="append").write(frame([("a", "0", ""), ("b", "2", None)]))
+    KVSink(store, "d", ("k",)).write(frame([("b", "9", None)]))
+    KVSink(store, "d", ("k",), mode="append").write(frame([("b", "8", "y")]))
+    assert rows(store.items(spark, "d")) == [("a", "v", ["0", "1"]), ("a", "w", ["x"]), ("b", "v", ["8", "9"]), ("b", "w", ["y"])]
+
+
 def test_parquet_store_upserts(spark, tmp_path):
     store = ParquetStore(str(tmp_path))
     put = lambda data, schema, **kw: store.upsert(spark.createDataFrame(data, schema), "d", "id", **kw)

@@ -245,7 +245,8 @@ def test_align_with_unknown_bases_and_varied_lengths(spark):
     """N equals N in flanks and never seeds; reads of several lengths; empty and null sequences."""
     ref = "ACGTTGCAAGNNCTTACGGATCCATGCA"
     refs = frame(spark, [(1, ref), (2, ""), (3, None)], "ref_id bigint, seq string")
-    reads = frame(spark, [(1, ref[2:12]), (2, ref[8:20]), (3, ref[14:25]), (4, ref[2:12].replace("N", "A")), (5, None)], "read_id bigint, seq string")
+    reads = frame(spark, [(1, ref[2:12]), (2, ref[8:20]), (3, ref[14:25]), (4, ref[2:12].replace("N", "A")), (5, None), (None, ref[2:12])], "read_id bigint, seq string").withColumns({c: F.lit("clash") for c in ("h", "salt", "chunk", "offset", "i", "s")})
+    refs = refs.unionByName(frame(spark, [(None, ref)], "ref_id bigint, seq string")).withColumns({c: F.lit("clash") for c in ("h", "chunk", "offset", "at")})
     got = alignment.align(refs, reads, k=2, min_len=10, max_len=12)
     assert {(r.read_id, r.ref_start, r.ref_end, r.differences) for r in got.collect() if not r.is_rc} == {(1, 2, 12, 0), (2, 8, 20, 0), (3, 14, 25, 0), (4, 2, 12, 2)}
     assert alignment.align(refs.limit(0), reads, k=2, min_len=10, max_len=12).count() == 0
