@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # What a word is, and what separates tokens.
 WORD = r"[a-zA-Z][a-zA-Z0-9]*"
+BETWEEN_WORDS = r"(?:^|[^a-zA-Z0-9])[^a-zA-Z]*"
 SPACE_OR_COMMA = r"[\s,]+"
 AGENT_SEPARATORS = r"[;/,() ]"
 FIRST_TWO_OCTETS = r"^([0-9]{1,3}[.][0-9]{1,3}).*"
@@ -27,6 +28,12 @@ def words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.lower)
 
 
+def word_pieces(c: Column) -> Column:
+    """Array of the same words as they are written, and perhaps an empty text before the first: the text split at everything
+    that isn't of a word. Faster than :func:`words` where the array is exploded anyway."""
+    return F.split(c, BETWEEN_WORDS)
+
+
 def _without_empty(a: Column) -> Column:
     return F.filter(a, lambda x: x != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import list_tokens, words
+from ..functions.text import list_tokens, word_pieces
 
 
 def top(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
@@ -15,7 +15,8 @@ def top(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
 
 def word_count(df: DataFrame, text: str) -> DataFrame:
     """(word, n): lower-cased words of all rows; null texts hold none."""
-    return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select(F.explode(word_pieces(F.col(text))).alias("word")).where("word <> ''")
+    return each.groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_count(df: DataFrame, text: str, prefix: str, anywhere: bool = False) -> DataFrame:

@@ -21,6 +21,8 @@ def test_words_and_tokens(spark):
     assert one(spark, text.words(t), t=("string", "Ab1 9x, foo-bar")) == ["ab1", "x", "foo", "bar"]
     assert one(spark, text.words(t), t=("string", "")) == []
     assert one(spark, text.words(t), t=("string", None)) is None
+    for x in ("Ab1 9x, foo-bar", "", "12", "9a", "a9 9", "é9b1-2c", "  \n", "K\u212aİi", "-a", "x_y1__2z"):
+        assert [w.lower() for w in one(spark, text.word_pieces(t), t=("string", x)) if w] == one(spark, text.words(t), t=("string", x)), x
     assert one(spark, text.agent_tokens(t), t=("string", "Mozilla/5.0 (X11; Linux)")) == ["Mozilla", "5.0", "X11", "Linux"]
     assert one(spark, text.list_tokens(t), t=("string", " a,b  c,,\n")) == ["a", "b", "c"]
     assert one(spark, text.extract_or_null(t, "(x+)"), t=("string", "abc")) is None
