@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logs as L
-from ..functions.dna import BASES, reverse_complement
+from ..functions.dna import BASES, pack_seed, reverse_complement, unpack_seed
 from ..functions.ids import clean_id
 from ..functions.times import partition_window
 from ..operators import ads, alignment, counting, keyed, log_reports, related
@@ -452,3 +452,15 @@ def kmer_repeats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT count(DISTINCT kmer) AS n_kmers, count(*)::BIGINT AS n_places FROM {_KMERS}")
 def kmer_distinct(spark: SparkSession, d: str) -> DataFrame:
     return alignment.kmer_distinct(kmer_count(spark, d))
+
+
+@query(f"SELECT min(length(s))::INTEGER AS min_len, max(length(s))::INTEGER AS max_len FROM {_REFS}")
+def sequence_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.length_range(sequences(spark, d))
+
+
+@query(f"""SELECT ref_id, list_reduce(list_transform(range(1, {READ_LEN // 2 + 1}), lambda i: (strpos('ACGT', s[i]) - 1)::BIGINT), lambda a, b: a * 4 + b) AS packed, s[:{READ_LEN // 2}] AS seed FROM {_REFS}""")
+def packed_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The first seed of every sequence as a number, and spelled from it again."""
+    rows = sequences(spark, d).select("ref_id", pack_seed(F.substring("seq", 1, READ_LEN // 2)).alias("packed"))
+    return rows.withColumn("seed", unpack_seed(F.col("packed"), READ_LEN // 2))
