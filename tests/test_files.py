@@ -207,6 +207,14 @@ def test_command_line(spark, tmp_path):
     names = sorted(p.name for p in (tmp_path / "out").glob("*.txt"))
     assert names == [f"client-ip-{m}_2009-02-01-00_2009-02-01-03.txt" for m in ("bytes-transferred", "request-count-by-httpresponse", "request-count")]
     cli.main(["wait-for", "2000-01-01 00:00:00"])
+    ref = "GATTACACCGTTAGGCATCGATCGGCTAAGCTTTGACCA"
+    (tmp_path / "refs.fa").write_text(f">r\n{ref[:20]}\n{ref[20:]}\n")
+    (tmp_path / "reads.fa").write_text(f">a\n{ref[4:16]}\n>b\n{ref[20:31]}A\n")
+    cli.main(["align", str(tmp_path / "refs.fa"), str(tmp_path / "reads.fa"), str(tmp_path / "found"), "--read-len", "12", "--k", "1"])
+    assert {(r.read_id, r.ref_id, r.ref_start, r.differences) for r in files.read_alignments(spark, str(tmp_path / "found")).collect() if not r.is_rc} == {(1, 1, 4, 0), (2, 1, 20, int(ref[31] != "A"))}
+    (tmp_path / "ratings.txt").write_text("".join(f"u{u} i{i} {1 + (u * i) % 7}\n" for u in range(9) for i in range(3)))
+    cli.main(["related-items", str(tmp_path / "ratings.txt"), str(tmp_path / "related"), "--users", "100", "--min", "2", "--k", "1"])
+    assert {r[0] for r in rows(spark.read.csv(str(tmp_path / "related"), sep="\t"))} == {"i0", "i1", "i2"}
     (tmp_path / "w.txt").write_text("A b a")
     cli.main(["word-count", str(tmp_path / "w.txt"), str(tmp_path / "words")])
     assert rows(spark.read.csv(str(tmp_path / "words"), sep="\t")) == [("a", "2"), ("b", "1")]
