@@ -69,7 +69,7 @@ class Stock:
 
 def fill(tokens: np.ndarray, loss: np.ndarray, whole: np.ndarray, start: np.ndarray, capacity: int, max_segments: int, max_loss: int) -> list[tuple[int, int, int, int, int]]:
     """(row, container, first token, tokens, loss-bearing tokens) of all pieces of one shard. No container is beyond a limit but those
-    of a whole text that is so by itself, which gets one of its own. Loss-bearing tokens are the last ones of each row."""
+    of a whole text that is so by itself, which gets one of its own. Loss-bearing tokens are the last ones of each row; ``max_loss`` is at least 1."""
     rows = np.flatnonzero(whole)
     order = rows[np.lexsort((-loss[rows], -tokens[rows]))]
     t, b = tokens[order].astype(np.float64), loss[order].astype(np.float64)
@@ -81,12 +81,15 @@ def fill(tokens: np.ndarray, loss: np.ndarray, whole: np.ndarray, start: np.ndar
     scarce = np.array([tokens.sum() / capacity, len(tokens) / max_segments, loss.sum() / max_loss])
     scarce /= scarce.max()
     ta, sa, la = scarce[0] * t / capacity**2, scarce[1] / max_segments**2, scarce[2] * b / max_loss**2
-    least = max(1, capacity // LEAST_PIECE)
-    left = np.ones(n, dtype=bool)
+    least = max(1, min(max_loss, capacity // LEAST_PIECE))
+    left, descending = np.ones(n, dtype=bool), -t
     remaining, whole_left, first, container = n, float(t.sum()), 0, -1
     out: list[tuple[int, int, int, int, int]] = []
     while remaining or losses.left or prompts.left:
         container += 1
+        if 2 * remaining < len(t):  # what is placed needn't be looked at again
+            order, t, b, ta, la, descending = (x[left] for x in (order, t, b, ta, la, descending))
+            n, first, left = len(t), 0, np.ones(len(t), dtype=bool)
         room, segments, may_lose = capacity, max_segments, max_loss
         stock = losses.left + prompts.left
         # Whole texts may take their share of the container, the first one more than that.
@@ -95,7 +98,7 @@ def fill(tokens: np.ndarray, loss: np.ndarray, whole: np.ndarray, start: np.ndar
             while not left[first]:
                 first += 1
             fits = room if segments == max_segments else min(room, quota)
-            at = max(first, int(np.searchsorted(-t, -fits)))  # sorted by tokens, so those that fit are a suffix
+            at = max(first, int(np.searchsorted(descending, -fits)))  # sorted by tokens, so those that fit are a suffix
             if at >= n:
                 break
             ok = left[at:] & (b[at:] <= may_lose)
@@ -141,10 +144,12 @@ def pack(counts: DataFrame, capacities: list[int], max_segments: int = MAX_SEGME
     ``capacity`` tokens, ``max_segments`` pieces and ``loss_share * capacity`` loss-bearing tokens; only a text that fits the
     capacity, so that it may not be cut, but has more loss-bearing tokens is beyond that, alone in its container. Texts are placed in
     doc_id order where they are equal, so the result doesn't depend on how rows arrive; repeated and null doc_ids are placed as often as they occur.
+    Limits that leave no room for one loss-bearing token or one piece raise ValueError.
     """
+    if max_segments < 1 or any(int(loss_share * c) < 1 for c in capacities):
+        raise ValueError("the limits leave no room for a token")
     if not capacities:
-        capacities = [1]
-        counts = counts.limit(0)
+        capacities, counts = [1], counts.limit(0)
     parts = [F.sum(F.when(F.col("n_tokens") > c, F.ceil(F.col("n_tokens") / (c * PART_CONTAINERS))).otherwise(1)).alias(str(c)) for c in capacities]
     n_items = counts.where("n_tokens > 0").agg(*parts).first()
     shards = F.create_map(*(F.lit(x) for c in capacities for x in (c, max(1, -(-(n_items[str(c)] or 0) // SHARD_PIECES)))))

@@ -33,7 +33,7 @@ def test_token_counts(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.one_of(st.integers(1, 100), st.integers(101, 900)), st.floats(0, 1)), min_size=1, max_size=80), st.integers(1, 6), st.sampled_from([0.3, 0.8, 1.0]))
+@given(st.lists(st.tuples(st.one_of(st.integers(1, 100), st.integers(101, 900)), st.floats(0, 1)), min_size=1, max_size=80), st.integers(1, 6), st.sampled_from([0.01, 0.3, 0.8, 1.0]))
 def test_fill_obeys_all_limits(sizes, max_segments, loss_share):
     t = np.array([a for a, _ in sizes])
     b = np.array([int(a * x) for a, x in sizes])
@@ -89,6 +89,8 @@ def test_pack_places_every_token_once(spark, monkeypatch):
     assert all(r.tokens_once and r.n_docs == sum(n > 0 for _, n, _ in counts) for r in packing.checks(packed, df).collect())
     assert rows(packing.pack(df.repartition(3), [100, 200], max_segments=8, loss_share=0.9)) == rows(packed)
     assert packing.pack(df.limit(0), [100]).count() == 0 and packing.pack(df, []).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(df, [100, 1])
 
 
 def test_repeated_ids_are_spread_over_shards(spark, monkeypatch):
