@@ -183,15 +183,13 @@ def certified(values: DataFrame, found: DataFrame, keys: list[str], quantiles: t
     """(keys..., q, n, value, rank_low, rank_high, rank_error) from a second pass over ``values``.
 
     The share of rows below the value and up to it are its true ranks; the error is how far q lies
-    outside them. Rows and estimates are joined by key and salt, the estimates repeated over SALTS salts so that
-    a hot key's rows are counted in as many tasks; Spark broadcasts the estimates where their table is small.
+    outside them. How rows and estimates are joined is Spark's choice: small estimates are broadcast, so that rows
+    are counted where they are; otherwise both are shuffled, and adaptive execution splits a hot key's rows among tasks.
     """
     ok = F.abs("value") < float("inf")
     rows = values.where(ok).select(*(F.col(k).cast("string").alias(k) for k in keys), F.col("value").cast("double").alias("value"))
     spread = found.select(*keys, "n", *(F.col("values")[i].alias(f"v{i}") for i in range(len(quantiles))))
-    # Salted by value and task, so that a value which many rows share is spread too.
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    joined = rows.join(spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
+    joined = rows.join(spread, keys)
     counts = []
     for i in range(len(quantiles)):
         counts += [F.sum(F.when(F.col("value") < F.col(f"v{i}"), 1).otherwise(0)).alias(f"b{i}"), F.sum(F.when(F.col("value") <= F.col(f"v{i}"), 1).otherwise(0)).alias(f"u{i}"), F.first(f"v{i}").alias(f"w{i}")]
