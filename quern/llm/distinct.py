@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 WORD = 62
 def day_number(day: Column) -> Column:
     """Days since 1970 of ``yyyy-MM-dd``, null if it is none."""
-    return F.when(day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.unix_date(F.try_to_date(day, "yyyy-MM-dd")))
+    return F.when(day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.unix_date(day.try_cast("date")))
 
 
 def mask_columns(df: DataFrame) -> list[str]:
@@ -39,7 +39,8 @@ def memberships(rows: DataFrame, idents: dict[str, Column], keys: list[Column],
     which the table has a row; which these are is found first, and is all the driver gets.
     """
     number = day_number(day)
-    words = sorted(r.w for r in rows.select(F.floor(number / WORD).cast("int").alias("w")).where("w is not null").distinct().collect()) or [0]
+    days = rows.select(day.alias("day")).distinct()  # days are few, so only these are read as dates
+    words = sorted(r.w for r in days.select(F.floor(day_number(F.col("day")) / WORD).cast("int").alias("w")).where("w is not null").distinct().collect()) or [0]
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD)).cast("int"))
     names = [f"k{i + 1}" for i in range(len(keys))]
     none = [F.lit(None).cast("string")] * len(keys)
