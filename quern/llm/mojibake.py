@@ -74,8 +74,17 @@ def text_units(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.col("text")).mapInArrow(_units, UNITS)
 
 
-def _garble(single: tuple[str, ...], multi: tuple[str, ...], lost: str):
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct characters of a task's units."""
+    seen: set[str] = set()
+    for batch in batches:
+        seen.update(*batch.column(0).to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["c"])
+
+
+def _garble(single: tuple[str, ...], multi: tuple[str, ...], lost: str, alphabet: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        possible = frozenset(alphabet).issuperset if alphabet is not None else lambda form: True
         tables = {}
         for e in single:  # what each byte becomes: passed through, lost, or dropped where the encoding has no character
             known = [bytes([b]).decode(e, "ignore") for b in range(256)]
@@ -126,7 +135,7 @@ def _garble(single: tuple[str, ...], multi: tuple[str, ...], lost: str):
                         continue
                     seen.add(form)
                     held += len(form)
-                    if form != unit and form and not form.isascii() and not (is_run and not certain):
+                    if form != unit and form and not form.isascii() and not (is_run and not certain) and possible(form):
                         rows.append((form, unit, chain, certain))
                         held += len(unit)
                     if held > HELD_CHARS:  # a long unit's forms go out in parts; one that comes again is only a repeated pair
@@ -137,10 +146,10 @@ def _garble(single: tuple[str, ...], multi: tuple[str, ...], lost: str):
     return run
 
 
-def garbled_forms(vocabulary: DataFrame) -> DataFrame:
-    """FORMS of each (unit, is_run): all ways one or two wrong readings turn it into other non-ASCII text.
-    ``certain``: the form can't be somebody's original and the unit its garbled form."""
-    return vocabulary.select("unit", "is_run").mapInArrow(_garble(SINGLE_BYTE, MULTI_BYTE, LOST), FORMS)
+def garbled_forms(vocabulary: DataFrame, alphabet: str | None = None) -> DataFrame:
+    """FORMS of each (unit, is_run): all ways one or two wrong readings turn it into other non-ASCII text, those left out that
+    hold a character which isn't in the ``alphabet``, if it is given. ``certain``: the form can't be somebody's original and the unit its garbled form."""
+    return vocabulary.select("unit", "is_run").mapInArrow(_garble(SINGLE_BYTE, MULTI_BYTE, LOST, alphabet), FORMS)
 
 
 def _oddness(word: str) -> int:
@@ -211,7 +220,9 @@ def verified_pairs(units: DataFrame) -> DataFrame:
     vocabulary = scratch.write(units.groupBy("unit").agg(F.count_distinct("text_id").alias("n_texts"), F.min("is_run").alias("is_run")), "vocabulary")
     clean = vocabulary.where(~F.contains("unit", F.lit(LOST)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.count() // UNITS_PER_TASK))
-    forms = garbled_forms(clean.repartition(tasks, "unit"))
+    # A form with a character that no unit has is no unit's; the characters are at most as many as Unicode has.
+    alphabet = "".join(r.c for r in vocabulary.select("unit").mapInArrow(_characters, "c string").distinct().collect())
+    forms = garbled_forms(clean.repartition(tasks, "unit"), alphabet)
     held = vocabulary.select(F.col("unit").alias("form"), F.col("n_texts").alias("form_texts"))
     origin = vocabulary.select(F.col("unit").alias("original"), F.col("n_texts").alias("original_texts"))
     pairs = scratch.write(forms.join(held, "form").join(origin, "original"), "candidates")
